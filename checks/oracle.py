@@ -244,3 +244,46 @@ def q(name: str, deps: tuple[str, ...], final: str) -> None:
 
 
 q("extract_outlines", ("outline_flat",), "select * from outline_flat")
+
+# ---------------------------------------------------------- inference parts
+cte("span_fonts", ("spans",), """select doc_id, page_num, line_no, font from (
+ select doc_id, page_num, line_no, font, row_number() over (partition by doc_id, page_num, line_no order by count(*) desc, font) as rn
+ from spans where block_type = 0 group by doc_id, page_num, line_no, font) where rn = 1""")
+
+q("spans_to_lines", ("spans", "span_fonts"), f"""select * from (
+ select s.doc_id, s.page_num, s.line_no,
+  coalesce(string_agg({strip('s.text')}, ' ' order by s.span_no) filter (where {strip('s.text')} <> ''), '') as text,
+  min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1, round(avg(size), 9) as size, any_value(f.font) as font,
+  max(page_width) as page_width, max(page_height) as page_height
+ from spans s join span_fonts f using (doc_id, page_num, line_no) where s.block_type = 0
+ group by s.doc_id, s.page_num, s.line_no) where length(text) > 0""")
+
+q("group_lines", ("grouped_lines",), "select doc_id, page_num, line_no, block_no from grouped_lines")
+q("lines_to_blocks", ("blocks",), "select * from blocks")
+q("text_features", ("block_feats0",), """select doc_id, page_num, block_no, font_weight, norm_x, norm_y, text_length,
+ num_words, is_all_caps, is_centered, numbering_depth, percent_punct from block_feats0""")
+q("body_font_size_infer", ("body_infer",), "select * from body_infer")
+q("relative_font_size", ("block_feats",), "select doc_id, page_num, block_no, body_font_size, relative_font_size from block_feats")
+FEATS = ("font_size, font_weight, norm_x, norm_y, text_length, num_words, is_all_caps, is_centered, numbering_depth, "
+         "relative_font_size, percent_punct")
+q("block_features", ("block_feats",), f"select doc_id, page_num, block_no, text, {FEATS} from block_feats")
+q("select_features", ("block_feats",), f"select {FEATS} from block_feats")
+q("coerce_numeric", ("spans",), """select doc_id, line_no, span_no, coalesce(case when isnan(v) then 0.0 else v end, 0.0) as value
+ from (select doc_id, line_no, span_no, try_cast(trim(text) as double) as v from spans)""")
+q("running_headers", ("running_headers",), "select * from running_headers")
+q("drop_running_headers", ("block_feats", "running_headers"), """select doc_id, page_num, block_no from block_feats f
+ where not exists (select 1 from running_headers r where r.doc_id = f.doc_id and r.text = f.text)""")
+q("heading_rules", ("block_feats",), f"select doc_id, page_num, block_no, text from block_feats where {RULES}")
+q("score_blocks", ("fixed_scored",), """select doc_id, page_num, block_no, round(score, 9) as score,
+ case when score > 0 then 1 else 0 end as is_heading from fixed_scored""")
+q("order_headings", ("ordered_headings",), "select doc_id, seq, page_num, block_no from ordered_headings")
+q("outline_levels", ("leveled_headings",), "select doc_id, seq, level from leveled_headings")
+q("detect_title", ("leveled_headings", "titles"), """select d.doc_id, coalesce(t.title, '') as title
+ from (select distinct doc_id from leveled_headings) d left join titles t using (doc_id)""")
+q("build_outline", ("outline_flat",), """select doc_id, any_value(title) as title, cast(count(seq) as int) as n_entries,
+ coalesce(string_agg(level || '|' || text || '|' || cast(page as string), chr(10) order by seq), '') as outline_text
+ from outline_flat group by doc_id""")
+q("find_blocks", ("block_feats",), f"""select doc_id, block_no, page_num, font_size, relative_font_size, numbering_depth,
+ percent_punct, is_all_caps, is_centered from block_feats where {strip('text')} = 'Document version'""")
+q("block_profile", ("block_feats",), """select doc_id, count(*) as n_blocks, count(distinct text) as n_texts
+ from block_feats group by doc_id""")

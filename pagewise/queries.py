@@ -33,3 +33,130 @@ def layout_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("extract_outlines")
 def q_extract_outlines(spark, sf_dir):
     return PO.extract_outlines(layout_lines(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ blocks
+from pyspark.sql import functions as F  # noqa: E402
+
+from pagewise.functions.text import py_strip  # noqa: E402
+from pagewise.operators import blocks as B  # noqa: E402
+from pagewise.operators import features as FE  # noqa: E402
+from pagewise.operators import outline as O  # noqa: E402
+from pagewise.operators import rules as R  # noqa: E402
+
+
+def block_feats(spark, sf_dir):
+    return PO.block_features(layout_lines(spark, sf_dir))
+
+
+def leveled(spark, sf_dir):
+    feats = block_feats(spark, sf_dir)
+    return PO.outline_entries(PO.heading_candidates(feats))
+
+
+@register("spans_to_lines")
+def q_spans_to_lines(spark, sf_dir):
+    lines = B.spans_to_lines(FX.spans(documents(spark, sf_dir)))
+    return lines.withColumn("size", F.round("size", 9))
+
+
+@register("group_lines")
+def q_group_lines(spark, sf_dir):
+    return B.group_lines(layout_lines(spark, sf_dir)).select("doc_id", "page_num", "line_no", "block_no")
+
+
+@register("lines_to_blocks")
+def q_lines_to_blocks(spark, sf_dir):
+    return B.merge_lines(layout_lines(spark, sf_dir))
+
+
+@register("text_features")
+def q_text_features(spark, sf_dir):
+    blocks = FE.block_text_features(B.merge_lines(layout_lines(spark, sf_dir)))
+    return blocks.select("doc_id", "page_num", "block_no", "font_weight", "norm_x", "norm_y", "text_length",
+                         "num_words", "is_all_caps", "is_centered", "numbering_depth", "percent_punct")
+
+
+@register("body_font_size_infer")
+def q_body_font_size_infer(spark, sf_dir):
+    feats = FE.block_text_features(B.merge_lines(layout_lines(spark, sf_dir)))
+    return FE.body_font_size(feats, min_words=FE.INFER_BODY_MIN_WORDS)
+
+
+@register("relative_font_size")
+def q_relative_font_size(spark, sf_dir):
+    return block_feats(spark, sf_dir).select("doc_id", "page_num", "block_no", "body_font_size",
+                                            "relative_font_size")
+
+
+@register("block_features")
+def q_block_features(spark, sf_dir):
+    return FE.select_features(block_feats(spark, sf_dir), keep=("doc_id", "page_num", "block_no", "text"))
+
+
+@register("select_features")
+def q_select_features(spark, sf_dir):
+    return FE.select_features(block_feats(spark, sf_dir))
+
+
+@register("coerce_numeric")
+def q_coerce_numeric(spark, sf_dir):
+    words = FX.spans(documents(spark, sf_dir)).select("doc_id", "line_no", "span_no",
+                                                       F.col("text").alias("value"))
+    return FE.coerce_numeric(words, ["value"])
+
+
+@register("running_headers")
+def q_running_headers(spark, sf_dir):
+    return R.running_headers(block_feats(spark, sf_dir))
+
+
+@register("drop_running_headers")
+def q_drop_running_headers(spark, sf_dir):
+    feats = block_feats(spark, sf_dir)
+    kept = R.drop_running_headers(feats, R.running_headers(feats))
+    return kept.select("doc_id", "page_num", "block_no")
+
+
+@register("heading_rules")
+def q_heading_rules(spark, sf_dir):
+    return R.apply_heading_rules(block_feats(spark, sf_dir)).select("doc_id", "page_num", "block_no", "text")
+
+
+@register("score_blocks")
+def q_score_blocks(spark, sf_dir):
+    scored = O.fixed_score(block_feats(spark, sf_dir))
+    return scored.select("doc_id", "page_num", "block_no", F.round("score", 9).alias("score"), "is_heading")
+
+
+@register("order_headings")
+def q_order_headings(spark, sf_dir):
+    return leveled(spark, sf_dir).select("doc_id", "seq", "page_num", "block_no")
+
+
+@register("outline_levels")
+def q_outline_levels(spark, sf_dir):
+    return leveled(spark, sf_dir).select("doc_id", "seq", "level")
+
+
+@register("detect_title")
+def q_detect_title(spark, sf_dir):
+    return O.detect_title(leveled(spark, sf_dir))
+
+
+@register("build_outline")
+def q_build_outline(spark, sf_dir):
+    nested = PO.nested_outline(PO.extract_outlines(layout_lines(spark, sf_dir)))
+    lines = F.transform("outline", lambda e: F.concat_ws("|", e["level"], e["text"], e["page"].cast("string")))
+    return nested.select("doc_id", "title", F.size("outline").alias("n_entries"),
+                         F.array_join(lines, "\n").alias("outline_text"))
+
+
+@register("find_blocks")
+def q_find_blocks(spark, sf_dir):
+    return FE.find_blocks(block_feats(spark, sf_dir), "Document version")
+
+
+@register("block_profile")
+def q_block_profile(spark, sf_dir):
+    return FE.block_profile(block_feats(spark, sf_dir))
