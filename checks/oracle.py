@@ -287,3 +287,103 @@ q("find_blocks", ("block_feats",), f"""select doc_id, block_no, page_num, font_s
  percent_punct, is_all_caps, is_centered from block_feats where {strip('text')} = 'Document version'""")
 q("block_profile", ("block_feats",), """select doc_id, count(*) as n_blocks, count(distinct text) as n_texts
  from block_feats group by doc_id""")
+
+# ---------------------------------------------------------------- labelling
+def pyround1(x: str) -> str:
+    n = f"cast(abs({x}) * 144115188075855872.0 as hugeint)"
+    q_ = f"(({n}) * 10 // 144115188075855872)"
+    r_ = f"(({n}) * 10 % 144115188075855872)"
+    up = f"(case when {r_} > 72057594037927936 or ({r_} = 72057594037927936 and {q_} % 2 = 1) then 1 else 0 end)"
+    return (f"(case when {x} is null then null when isnan({x}) or isinf({x}) then {x} "
+            f"when abs({x}) < 0.03125 then 0.0 "
+            f"when abs({x}) < 64 then sign({x}) * cast({q_} + {up} as double) / 10.0 "
+            f"else round_even({x}, 1) end)")
+
+
+cte("pages_cells", ("images", "cells"), """select i.*, c.* exclude (page_key), coalesce(i.coco_width, 1025.0) as page_width,
+ coalesce(i.coco_height, 1025.0) as page_height from (
+  select *, regexp_replace(regexp_extract(file_name, '([^/]*)$', 1), '^(.*[^.].*)\\.[^.]*$', '\\1') as page_key from images) i
+ join cells c using (page_key)""")
+
+cte("cell_box_pairs", ("pages_cells", "annotations", "categories"), """select p.*, a.ann_id, g.name, a.x as ax, a.y as ay, a.w as aw, a.h as ah
+ from pages_cells p join annotations a on a.image_id = p.image_id
+ left join categories g on g.category_id = a.category_id
+ where p.x + p.w / 2.0 >= a.x and p.x + p.w / 2.0 <= a.x + a.w and p.y + p.h / 2.0 >= a.y and p.y + p.h / 2.0 <= a.y + a.h""")
+
+cte("labeled_cells", ("cell_box_pairs", "pages_cells"), """select p.*, case l.prio when 3 then 'Title' when 2 then 'Section-header' else 'Text' end as original_category,
+ case when l.prio >= 2 then 1 else 0 end as is_heading from (
+  select image_id, cell_no, max(case name when 'Title' then 3 when 'Section-header' then 2 when 'Text' then 1 end) as prio
+  from cell_box_pairs where name in ('Title', 'Section-header', 'Text') group by image_id, cell_no) l
+ join pages_cells p using (image_id, cell_no)""")
+
+
+def noise_keep(x: str) -> str:
+    t = strip(x)
+    return (f"(length({t}) >= 3 and not regexp_matches({t}, '^{D}+\\n?\\z') "
+            f"and not regexp_matches({t}, '^[^\\p{{L}}\\p{{N}}_{WS}]*\\n?\\z'))")
+
+
+cte("cell_feats0", ("labeled_cells",), f"""select doc_name, page_no, original_category, is_heading,
+ [cast(x as double), cast(y as double), cast(w as double), cast(h as double)] as bbox, t as text, cast(font_size as double) as font_size,
+ {font_weight('font_name')} as font_weight, {ieee_div('x', 'page_width')} as norm_x, {ieee_div('y', 'page_height')} as norm_y,
+ cast(length(t) as int) as text_length, cast({num_words('t')} as int) as num_words,
+ case when {is_upper('t')} and length(t) > 1 then 1 else 0 end as is_all_caps,
+ case when abs(x + w / 2.0 - page_width / 2.0) < page_width * 0.15 then 1 else 0 end as is_centered,
+ cast({numbering_depth('t')} as int) as numbering_depth, {percent_punct('t')} as percent_punct, image_id, cell_no
+ from (select *, {strip('text')} as t from labeled_cells where {noise_keep('text')})""")
+
+cte("body_train", ("cell_feats0",), """select doc_name, font_size as body_font_size from (
+ select doc_name, font_size, row_number() over (partition by doc_name order by count(*) desc, font_size) as rn
+ from cell_feats0 where is_heading = 0 and num_words > 5 group by doc_name, font_size) where rn = 1""")
+
+cte("cell_dataset", ("cell_feats0", "body_train"), f"""select f.* exclude (image_id, cell_no), coalesce(b.body_font_size, 10.0) as body_font_size,
+ {ieee_div('f.font_size', 'coalesce(b.body_font_size, 10.0)')} as relative_font_size
+ from cell_feats0 f left join body_train b using (doc_name)""")
+
+cte("regions0", ("cell_box_pairs",), f"""select image_id, ann_id, any_value(name) as category, any_value(doc_name) as doc_name,
+ any_value(page_no) as page_no, any_value(page_width) as page_width, any_value(page_height) as page_height,
+ any_value(ax) as x, any_value(ay) as y, any_value(aw) as w, any_value(ah) as h, avg(font_size) as font_size,
+ {strip(f"string_agg({strip('text')}, ' ' order by x, cell_no)")} as text, first(font_name order by x, cell_no) as first_font
+ from cell_box_pairs where name in ('Title', 'Section-header') group by image_id, ann_id""")
+
+cte("regions", ("regions0",), f"""select doc_name, page_no, category, image_id, ann_id, [x, y, w, h] as bbox, text,
+ cast(font_size as double) as font_size, {font_weight('first_font')} as font_weight,
+ {ieee_div('x', 'page_width')} as norm_x, {ieee_div('y', 'page_height')} as norm_y,
+ cast(length(text) as int) as text_length, cast({num_words('text')} as int) as num_words,
+ case when {is_upper('text')} and length(text) > 1 then 1 else 0 end as is_all_caps,
+ case when abs(x + w / 2.0 - page_width / 2.0) < page_width * 0.15 then 1 else 0 end as is_centered,
+ cast({numbering_depth('text')} as int) as numbering_depth, {percent_punct('text')} as percent_punct
+ from regions0 where length(text) > 0""")
+
+cte("body_heading", ("regions",), """select doc_name, font_size as body_font_size from (
+ select doc_name, font_size, row_number() over (partition by doc_name order by count(*) desc, font_size) as rn
+ from regions where num_words > 5 group by doc_name, font_size) where rn = 1""")
+
+cte("heading_rel", ("regions", "body_heading"), f"""select r.*, coalesce(b.body_font_size, 10.0) as body_font_size,
+ {ieee_div('r.font_size', 'coalesce(b.body_font_size, 10.0)')} as relative_font_size
+ from regions r left join body_heading b using (doc_name)""")
+
+cte("heading_levels", ("heading_rel",), f"""select *, case when category = 'Title' then 'H1'
+  when lvl <= 6 then 'H' || cast(lvl as string) else 'Other-Heading' end as heading_level from (
+ select *, cast(sum(chg) over (partition by doc_name order by relative_font_size desc, font_weight desc, norm_y asc, page_no, ann_id
+   rows between unbounded preceding and current row) + 1 as int) as lvl from (
+  select *, case when lag(font_weight) over w is null then 0
+    when sr is not distinct from lag(sr) over w and font_weight = lag(font_weight) over w then 0 else 1 end as chg
+  from (select *, {pyround1('relative_font_size')} as sr from heading_rel)
+  window w as (partition by doc_name order by relative_font_size desc, font_weight desc, norm_y asc, page_no, ann_id)))""")
+
+q("join_pages_cells", ("pages_cells",), "select image_id, page_key, cell_no, doc_name, page_no from pages_cells")
+q("center_inside_join", ("cell_box_pairs",), "select image_id, cell_no, ann_id from cell_box_pairs")
+q("label_cells", ("labeled_cells",), "select image_id, cell_no, original_category, is_heading from labeled_cells")
+q("drop_noise_cells", ("cells",), f"select page_key, cell_no from cells where {noise_keep('text')}")
+q("build_cell_dataset", ("cell_dataset",), "select * from cell_dataset")
+q("body_font_size_train", ("body_train",), "select * from body_train")
+q("class_stats", ("cell_dataset",), """select is_heading, n, n * 100.0 / sum(n) over () as pct from (
+ select is_heading, count(*) as n from cell_dataset group by is_heading)""")
+q("region_text", ("regions",), """select image_id, ann_id, category, text, round(font_size, 9) as font_size, font_weight,
+ norm_x, norm_y, num_words from regions""")
+q("body_font_size_heading", ("body_heading",), "select * from body_heading")
+q("assign_heading_levels", ("heading_levels",), "select doc_name, image_id, ann_id, heading_level from heading_levels")
+q("build_heading_dataset", ("heading_levels",), """select doc_name, page_no, category, text, round(font_size, 9) as font_size,
+ font_weight, norm_x, norm_y, text_length, num_words, is_all_caps, is_centered, numbering_depth, percent_punct,
+ round(body_font_size, 9) as body_font_size, round(relative_font_size, 9) as relative_font_size, heading_level from heading_levels""")

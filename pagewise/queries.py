@@ -160,3 +160,92 @@ def q_find_blocks(spark, sf_dir):
 @register("block_profile")
 def q_block_profile(spark, sf_dir):
     return FE.block_profile(block_feats(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- labelling
+from pagewise.operators import labels as L  # noqa: E402
+from pagewise.plans import datasets as PD  # noqa: E402
+
+
+def coco(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return FX.images(docs), FX.annotations(docs), FX.categories(spark), FX.cells(docs)
+
+
+@register("join_pages_cells")
+def q_join_pages_cells(spark, sf_dir):
+    images, _, _, cells = coco(spark, sf_dir)
+    return L.join_pages_cells(images, cells).select("image_id", "page_key", "cell_no", "doc_name", "page_no")
+
+
+@register("center_inside_join")
+def q_center_inside_join(spark, sf_dir):
+    images, anns, cats, cells = coco(spark, sf_dir)
+    pc = L.join_pages_cells(images, cells)
+    boxes = anns.select("image_id", "ann_id", F.col("x").alias("ax"), F.col("y").alias("ay"),
+                        F.col("w").alias("aw"), F.col("h").alias("ah"))
+    return L.center_inside_join(pc, boxes).select("image_id", "cell_no", "ann_id")
+
+
+@register("label_cells")
+def q_label_cells(spark, sf_dir):
+    images, anns, cats, cells = coco(spark, sf_dir)
+    return L.label_cells(images, cells, anns, cats).select("image_id", "cell_no", "original_category", "is_heading")
+
+
+@register("drop_noise_cells")
+def q_drop_noise_cells(spark, sf_dir):
+    _, _, _, cells = coco(spark, sf_dir)
+    return L.drop_noise_cells(cells).select("page_key", "cell_no")
+
+
+@register("build_cell_dataset")
+def q_build_cell_dataset(spark, sf_dir):
+    images, anns, cats, cells = coco(spark, sf_dir)
+    return PD.build_cell_dataset(images, anns, cats, cells)
+
+
+@register("body_font_size_train")
+def q_body_font_size_train(spark, sf_dir):
+    images, anns, cats, cells = coco(spark, sf_dir)
+    feats = L.cell_features(L.drop_noise_cells(L.label_cells(images, cells, anns, cats)))
+    return FE.body_font_size(feats, key="doc_name", min_words=FE.TRAIN_BODY_MIN_WORDS,
+                             candidates=F.col("is_heading") == 0)
+
+
+@register("class_stats")
+def q_class_stats(spark, sf_dir):
+    images, anns, cats, cells = coco(spark, sf_dir)
+    return L.class_stats(PD.build_cell_dataset(images, anns, cats, cells))
+
+
+@register("region_text")
+def q_region_text(spark, sf_dir):
+    images, anns, cats, cells = coco(spark, sf_dir)
+    r = L.region_text(images, cells, anns, cats)
+    return r.select("image_id", "ann_id", "category", "text", F.round("font_size", 9).alias("font_size"),
+                    "font_weight", "norm_x", "norm_y", "num_words")
+
+
+@register("body_font_size_heading")
+def q_body_font_size_heading(spark, sf_dir):
+    images, anns, cats, cells = coco(spark, sf_dir)
+    return FE.body_font_size(L.region_text(images, cells, anns, cats), key="doc_name",
+                             min_words=FE.TRAIN_BODY_MIN_WORDS)
+
+
+@register("assign_heading_levels")
+def q_assign_heading_levels(spark, sf_dir):
+    images, anns, cats, cells = coco(spark, sf_dir)
+    return PD.build_heading_dataset(images, anns, cats, cells).select("doc_name", "image_id", "ann_id",
+                                                                     "heading_level")
+
+
+@register("build_heading_dataset")
+def q_build_heading_dataset(spark, sf_dir):
+    images, anns, cats, cells = coco(spark, sf_dir)
+    out = PD.build_heading_dataset(images, anns, cats, cells)
+    return out.select("doc_name", "page_no", "category", "text", F.round("font_size", 9).alias("font_size"),
+                      "font_weight", "norm_x", "norm_y", "text_length", "num_words", "is_all_caps", "is_centered",
+                      "numbering_depth", "percent_punct", F.round("body_font_size", 9).alias("body_font_size"),
+                      F.round("relative_font_size", 9).alias("relative_font_size"), "heading_level")
