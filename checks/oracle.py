@@ -233,6 +233,14 @@ def build(final: str, deps: tuple[str, ...]) -> str:
         visit(d)
     recursive = any(len(CTE[n]) > 2 for n in order)
     body = ",\n".join(f"{n} AS (\n{CTE[n][0]}\n)" for n in order)
+    stripped = final.lstrip()
+    if stripped.lower().startswith("with "):
+        # the final query brings its own CTEs: append them to the chain
+        if not order:
+            return stripped
+        return f"WITH {'RECURSIVE ' if recursive else ''}{body},\n{stripped[5:]}"
+    if not order:
+        return final
     return f"WITH {'RECURSIVE ' if recursive else ''}{body}\n{final}"
 
 
@@ -387,3 +395,106 @@ q("assign_heading_levels", ("heading_levels",), "select doc_name, image_id, ann_
 q("build_heading_dataset", ("heading_levels",), """select doc_name, page_no, category, text, round(font_size, 9) as font_size,
  font_weight, norm_x, norm_y, text_length, num_words, is_all_caps, is_centered, numbering_depth, percent_punct,
  round(body_font_size, 9) as body_font_size, round(relative_font_size, 9) as relative_font_size, heading_level from heading_levels""")
+
+# --------------------------------------------------------------- evaluation
+from pagewise.operators.metrics import sweep_thresholds  # noqa: E402
+
+cte("probs", ("scored",), """select *, cast(score_milli as double) / 1000.0 as probability,
+ case when cast(score_milli as double) / 1000.0 > 0.5 then 1 else 0 end as prediction from scored""")
+
+cte("conf", ("probs",), """select count(*) filter (where label = 0 and prediction = 0) as tn,
+ count(*) filter (where label = 0 and prediction = 1) as fp, count(*) filter (where label = 1 and prediction = 0) as fn,
+ count(*) filter (where label = 1 and prediction = 1) as tp from probs""")
+
+cte("ranked_scored", ("probs",), """select *, row_number() over (partition by label order by md5('42:' || cast(doc_id as varchar)), doc_id) - 1 as class_rank,
+ count(*) over (partition by label) as class_n from probs""")
+
+cte("split_scored", ("ranked_scored",), """select *, case when class_rank < ceil(class_n * 0.2) then 'test'
+ when class_rank < ceil(class_n * 0.2) + ceil((class_n - ceil(class_n * 0.2)) * 0.2) then 'val' else 'train' end as split,
+ cast(ceil(class_n * 0.2) as bigint) as n_test from ranked_scored""")
+
+cte("folds_scored", ("split_scored",), """select *, cast((class_rank - n_test) % 5 as int) as fold from split_scored where split <> 'test'""")
+
+_TS = ", ".join(f"({i}, cast({t!r} as double))" for i, t in enumerate(sweep_thresholds()))
+cte("thresholds", (), f"select * from (values {_TS}) v(i, threshold)")
+
+cte("sweep", ("thresholds", "probs"), """select i, threshold, tp, fp, fn,
+ case when 2 * tp + fp + fn > 0 then 2.0 * tp / (2 * tp + fp + fn) else 0.0 end as f1 from (
+ select t.i, t.threshold, count(*) filter (where p.label = 1 and p.probability > t.threshold) as tp,
+  count(*) filter (where p.label = 0 and p.probability > t.threshold) as fp,
+  count(*) filter (where p.label = 1 and not (p.probability > t.threshold)) as fn
+ from thresholds t cross join probs p group by t.i, t.threshold)""")
+
+q("apply_threshold", ("probs",), "select doc_id, label, prediction from probs")
+q("confusion_matrix", ("conf",), """select 0 as label, 0 as prediction, tn as n from conf union all select 0, 1, fp from conf
+ union all select 1, 0, fn from conf union all select 1, 1, tp from conf""")
+q("binary_metrics", ("conf",), """select tp + fp + fn + tn as n,
+ case when tp + fp + fn + tn > 0 then cast(tp + tn as double) / (tp + fp + fn + tn) else 0.0 end as accuracy,
+ pr as precision, rc as recall, case when pr + rc > 0 then 2 * pr * rc / (pr + rc) else 0.0 end as f1 from (
+ select *, case when tp + fp > 0 then cast(tp as double) / (tp + fp) else 0.0 end as pr,
+  case when tp + fn > 0 then cast(tp as double) / (tp + fn) else 0.0 end as rc from conf)""")
+q("classification_report", ("conf",), """with c as (select *, tp + fp + fn + tn as n,
+  case when tn + fn > 0 then cast(tn as double) / (tn + fn) else 0.0 end as p0, case when tn + fp > 0 then cast(tn as double) / (tn + fp) else 0.0 end as r0,
+  case when tp + fp > 0 then cast(tp as double) / (tp + fp) else 0.0 end as p1, case when tp + fn > 0 then cast(tp as double) / (tp + fn) else 0.0 end as r1,
+  tn + fp as s0, tp + fn as s1 from conf),
+ d as (select *, case when p0 + r0 > 0 then 2 * p0 * r0 / (p0 + r0) else 0.0 end as f0,
+  case when p1 + r1 > 0 then 2 * p1 * r1 / (p1 + r1) else 0.0 end as f1 from c)
+ select '0' as name, p0 as precision, r0 as recall, f0 as f1, s0 as support from d
+ union all select '1', p1, r1, f1, s1 from d
+ union all select 'accuracy', null, null, case when n > 0 then cast(tp + tn as double) / n else 0.0 end, n from d
+ union all select 'macro avg', (p0 + p1) / 2, (r0 + r1) / 2, (f0 + f1) / 2, n from d
+ union all select 'weighted avg', (p0 * s0 + p1 * s1) / n, (r0 * s0 + r1 * s1) / n, (f0 * s0 + f1 * s1) / n, n from d""")
+q("roc_auc", ("probs",), """select round(case when sum(pos) > 0 and sum(neg) > 0 then sum(pos * (nb + 0.5 * neg)) / (cast(sum(pos) as double) * sum(neg)) end, 12) as auc from (
+ select *, coalesce(sum(neg) over (order by score rows between unbounded preceding and 1 preceding), 0) as nb from (
+  select probability as score, count(*) filter (where label = 1) as pos, count(*) filter (where label = 0) as neg from probs group by probability))""")
+q("threshold_sweep", ("sweep",), "select * from sweep")
+q("best_threshold", ("sweep",), """select case when f1 > 0 then threshold else 0.5 end as threshold, greatest(f1, 0.0) as f1 from (
+ select * from sweep order by f1 desc, i limit 1)""")
+q("stratified_split", ("split_scored",), "select doc_id, label, split from split_scored")
+q("stratified_folds", ("folds_scored",), "select doc_id, label, fold from folds_scored")
+q("random_oversample", ("ranked_scored",), """with sizes as (select label, count(*) as n_c from scored group by label),
+ maj as (select label from sizes order by n_c desc, label desc limit 1),
+ need as (select label as c, n_c from sizes where label <> (select label from maj)),
+ draws as (select n.c as label, r.class_rank - n.n_c as draw, n.n_c from ranked_scored r join need n
+   on r.label = (select label from maj) and r.class_rank >= n.n_c),
+ picked as (select label, draw, cast('0x' || substr(md5('42:' || cast(label as varchar) || ':' || cast(draw as varchar)), 1, 15) as bigint) % n_c as class_rank from draws)
+ select doc_id, label, score_milli, cast(null as bigint) as draw from scored
+ union all select r.doc_id, r.label, r.score_milli, p.draw from picked p join ranked_scored r using (label, class_rank)""")
+q("balanced_weights", ("scored",), """select s.doc_id, s.label, round(w.weight, 12) as weight from scored s join (
+ select label, sum(count(*)) over () / (count(*) over () * count(*)) as weight from scored group by label) w using (label)""")
+q("cv_summary", ("folds_scored",), """select round(avg(auc), 12) as mean, round(stddev_pop(auc), 12) as std, round(2 * stddev_pop(auc), 12) as two_std,
+ count(auc) as folds from (
+ select fold, case when sum(pos) > 0 and sum(neg) > 0 then sum(pos * (nb + 0.5 * neg)) / (cast(sum(pos) as double) * sum(neg)) end as auc from (
+  select *, coalesce(sum(neg) over (partition by fold order by score rows between unbounded preceding and 1 preceding), 0) as nb from (
+   select fold, probability as score, count(*) filter (where label = 1) as pos, count(*) filter (where label = 0) as neg
+   from folds_scored group by fold, probability)) group by fold)""")
+
+_CT = strip("coalesce(text, '')")
+cte("exp_o", ("expected_outline",), f"select distinct doc_id, coalesce(level, '') as level, {_CT} as text from expected_outline")
+cte("act_o", ("actual_outline",), f"select distinct doc_id, coalesce(level, '') as level, {_CT} as text from actual_outline")
+cte("outline_per_doc", ("exp_o", "act_o"), """select d.doc_id,
+ coalesce(pe.n, 0) as p_exp, coalesce(pa.n, 0) as p_act, coalesce(pm.n, 0) as p_match,
+ coalesce(te.n, 0) as t_exp, coalesce(ta.n, 0) as t_act, coalesce(tm.n, 0) as t_match
+ from (select doc_id from documents where doc_id % 17 <> 3) d
+ left join (select doc_id, count(*) n from exp_o group by doc_id) pe using (doc_id)
+ left join (select doc_id, count(*) n from act_o group by doc_id) pa using (doc_id)
+ left join (select doc_id, count(*) n from (select * from exp_o intersect select * from act_o) group by doc_id) pm using (doc_id)
+ left join (select doc_id, count(distinct text) n from exp_o group by doc_id) te using (doc_id)
+ left join (select doc_id, count(distinct text) n from act_o group by doc_id) ta using (doc_id)
+ left join (select doc_id, count(*) n from (select doc_id, text from exp_o intersect select doc_id, text from act_o) group by doc_id) tm using (doc_id)""")
+cte("outline_metrics", ("outline_per_doc",), """select doc_id, p_exp as n_exp_pairs, p_act as n_act_pairs, t_match as text_matches,
+ tr as text_recall, tp as text_precision, p_match as pair_matches, pr as pair_recall, pp as pair_precision,
+ case when tr + tp > 0 then 2 * tp * tr / (tp + tr) else 0.0 end as text_f1,
+ case when pr + pp > 0 then 2 * pp * pr / (pp + pr) else 0.0 end as pair_f1 from (
+ select *, case when t_exp > 0 then cast(t_match as double) / t_exp else 1.0 end as tr,
+  case when t_act > 0 then cast(t_match as double) / t_act else 1.0 end as tp,
+  case when p_exp > 0 then cast(p_match as double) / p_exp else 1.0 end as pr,
+  case when p_act > 0 then cast(p_match as double) / p_act else 1.0 end as pp from outline_per_doc)""")
+
+q("outline_metrics", ("outline_metrics",), "select * from outline_metrics")
+q("outline_metrics_avg", ("outline_metrics",), """select count(*) as n_docs, round(avg(text_recall), 12) as avg_text_recall,
+ round(avg(text_precision), 12) as avg_text_precision, round(avg(text_f1), 12) as avg_text_f1,
+ round(avg(pair_recall), 12) as avg_pair_recall, round(avg(pair_precision), 12) as avg_pair_precision,
+ round(avg(pair_f1), 12) as avg_pair_f1 from outline_metrics""")
+q("outline_intersect", ("exp_o", "act_o"), "select * from exp_o intersect select * from act_o")
+q("outline_missing", (), "select doc_id from documents where doc_id % 17 = 3")

@@ -249,3 +249,108 @@ def q_build_heading_dataset(spark, sf_dir):
                       "font_weight", "norm_x", "norm_y", "text_length", "num_words", "is_all_caps", "is_centered",
                       "numbering_depth", "percent_punct", F.round("body_font_size", 9).alias("body_font_size"),
                       F.round("relative_font_size", 9).alias("relative_font_size"), "heading_level")
+
+
+# --------------------------------------------------------------- evaluation
+from pagewise.operators import metrics as M  # noqa: E402
+from pagewise.operators import sampling as S  # noqa: E402
+
+
+def scored_probs(spark, sf_dir):
+    """The scored fixture with ``probability`` in [0, 1] and the class at 0.5."""
+    s = FX.scored(FX.read_table(spark, sf_dir, "labels"))
+    s = s.withColumn("probability", F.col("score_milli") / 1000.0)
+    return O.apply_threshold(s, M.DEFAULT_THRESHOLD)
+
+
+@register("apply_threshold")
+def q_apply_threshold(spark, sf_dir):
+    return scored_probs(spark, sf_dir).select("doc_id", "label", "prediction")
+
+
+@register("confusion_matrix")
+def q_confusion_matrix(spark, sf_dir):
+    return M.confusion_matrix(scored_probs(spark, sf_dir))
+
+
+@register("binary_metrics")
+def q_binary_metrics(spark, sf_dir):
+    return M.binary_metrics(scored_probs(spark, sf_dir))
+
+
+@register("classification_report")
+def q_classification_report(spark, sf_dir):
+    return M.classification_report(scored_probs(spark, sf_dir))
+
+
+@register("roc_auc")
+def q_roc_auc(spark, sf_dir):
+    return M.roc_auc(scored_probs(spark, sf_dir)).select(F.round("auc", 12).alias("auc"))
+
+
+@register("threshold_sweep")
+def q_threshold_sweep(spark, sf_dir):
+    return M.threshold_sweep(scored_probs(spark, sf_dir))
+
+
+@register("best_threshold")
+def q_best_threshold(spark, sf_dir):
+    return M.best_threshold(M.threshold_sweep(scored_probs(spark, sf_dir)))
+
+
+@register("stratified_split")
+def q_stratified_split(spark, sf_dir):
+    return S.stratified_split(scored_probs(spark, sf_dir), "label", ["doc_id"]).select("doc_id", "label", "split")
+
+
+@register("stratified_folds")
+def q_stratified_folds(spark, sf_dir):
+    return S.stratified_folds(scored_probs(spark, sf_dir), "label", ["doc_id"]).select("doc_id", "label", "fold")
+
+
+@register("random_oversample")
+def q_random_oversample(spark, sf_dir):
+    s = FX.scored(FX.read_table(spark, sf_dir, "labels"))
+    return S.random_oversample(s, "label", ["doc_id"]).select("doc_id", "label", "score_milli", "draw")
+
+
+@register("balanced_weights")
+def q_balanced_weights(spark, sf_dir):
+    s = FX.scored(FX.read_table(spark, sf_dir, "labels"))
+    return S.balanced_weights(s, "label").select("doc_id", "label", F.round("weight", 12).alias("weight"))
+
+
+@register("cv_summary")
+def q_cv_summary(spark, sf_dir):
+    folds = S.stratified_folds(scored_probs(spark, sf_dir), "label", ["doc_id"])
+    return M.cv_summary(M.fold_auc(folds)).select(
+        F.round("mean", 12).alias("mean"), F.round("std", 12).alias("std"), F.round("two_std", 12).alias("two_std"),
+        "folds")
+
+
+def outlines_pair(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return (FX.expected_outline(docs), FX.actual_outline(docs), FX.expected_docs(docs), FX.actual_docs(docs))
+
+
+@register("outline_metrics")
+def q_outline_metrics(spark, sf_dir):
+    return M.outline_metrics(*outlines_pair(spark, sf_dir))
+
+
+@register("outline_metrics_avg")
+def q_outline_metrics_avg(spark, sf_dir):
+    avg = M.outline_metrics_avg(M.outline_metrics(*outlines_pair(spark, sf_dir)))
+    return avg.select("n_docs", *[F.round(c, 12).alias(c) for c in avg.columns if c != "n_docs"])
+
+
+@register("outline_intersect")
+def q_outline_intersect(spark, sf_dir):
+    e, a, _, _ = outlines_pair(spark, sf_dir)
+    return M.outline_intersect(e, a)
+
+
+@register("outline_missing")
+def q_outline_missing(spark, sf_dir):
+    _, _, ed, ad = outlines_pair(spark, sf_dir)
+    return M.outline_missing(ed, ad)

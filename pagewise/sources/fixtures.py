@@ -212,3 +212,13 @@ def spans(documents: DataFrame) -> DataFrame:
         "x0", "y0", (F.col("x0") + F.col("width")).alias("x1"), (F.col("y0") + F.col("height")).alias("y1"),
         "page_width", "page_height",
         F.when((F.col("doc_id") % 50 == 49) & (F.col("line_no") % 4 == 3), 1).otherwise(0).alias("block_type"))
+
+
+def expected_docs(documents: DataFrame) -> DataFrame:
+    """Documents that have a golden outline file (all of them; some empty)."""
+    return documents.select("doc_id")
+
+
+def actual_docs(documents: DataFrame) -> DataFrame:
+    """Documents that have a produced outline file (doc_id mod 17 = 3 missing)."""
+    return documents.select("doc_id").where(F.col("doc_id") % 17 != 3)
