@@ -498,3 +498,31 @@ q("outline_metrics_avg", ("outline_metrics",), """select count(*) as n_docs, rou
  round(avg(pair_f1), 12) as avg_pair_f1 from outline_metrics""")
 q("outline_intersect", ("exp_o", "act_o"), "select * from exp_o intersect select * from act_o")
 q("outline_missing", (), "select doc_id from documents where doc_id % 17 = 3")
+
+# ----------------------------------------------------------------- language
+def _grams_sql(src: str, key: str) -> str:
+    return f"""select {key}, gram, sum(cnt) as cnt from (
+  select {key}, cnt, unnest(list_concat(
+    list_transform(range(1, length(word) + 1), lambda i: substring(word, i, 1)),
+    case when length(word) + 2 >= 2 then list_transform(range(1, length(word) + 2), lambda i: substring(' ' || word || ' ', i, 2)) else [] end,
+    case when length(word) + 2 >= 3 then list_transform(range(1, length(word) + 1), lambda i: substring(' ' || word || ' ', i, 3)) else [] end)) as gram
+  from (select {key}, word, count(*) as cnt from (
+    select {key}, unnest(string_split(regexp_replace(lower(text), '[^\\p{{L}}]+', ' ', 'g'), ' ')) as word from {src})
+   where length(word) > 0 group by {key}, word)) group by {key}, gram"""
+
+
+cte("lang_profiles", (), f"""select lang, gram, rank from (
+ select lang, gram, row_number() over (partition by lang order by cnt desc, gram) as rank from (
+  {_grams_sql("(select lang, text from documents where lang is not null)", "lang")})) where rank <= 300""")
+cte("doc_profiles", (), f"""select doc_id, gram, rank from (
+ select doc_id, gram, row_number() over (partition by doc_id order by cnt desc, gram) as rank from (
+  {_grams_sql("documents", "doc_id")})) where rank <= 300""")
+cte("lang_best", ("lang_profiles", "doc_profiles"), """select doc_id, lang from (
+ select doc_id, lang, row_number() over (partition by doc_id order by score desc, lang) as rn from (
+  select d.doc_id, l.lang, sum(300 - abs(d.rank - l.rank)) as score from doc_profiles d join lang_profiles l using (gram)
+  group by d.doc_id, l.lang)) where rn = 1""")
+
+q("language_profiles", ("lang_profiles",), "select * from lang_profiles")
+q("detect_language", ("lang_best", "lang_profiles"), """select d.doc_id, case when not coalesce(regexp_matches(d.text, '\\p{L}'), false) then 'unknown'
+ else coalesce(b.lang, (select min(lang) from lang_profiles), 'unknown') end as language
+ from documents d left join lang_best b using (doc_id)""")

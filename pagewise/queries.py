@@ -354,3 +354,18 @@ def q_outline_intersect(spark, sf_dir):
 def q_outline_missing(spark, sf_dir):
     _, _, ed, ad = outlines_pair(spark, sf_dir)
     return M.outline_missing(ed, ad)
+
+
+# ----------------------------------------------------------------- language
+from pagewise.operators import language as LG  # noqa: E402
+
+
+@register("language_profiles")
+def q_language_profiles(spark, sf_dir):
+    return LG.language_profiles(documents(spark, sf_dir))
+
+
+@register("detect_language")
+def q_detect_language(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return LG.detect_language(docs, LG.language_profiles(docs))
