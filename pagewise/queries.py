@@ -369,3 +369,116 @@ def q_language_profiles(spark, sf_dir):
 def q_detect_language(spark, sf_dir):
     docs = documents(spark, sf_dir)
     return LG.detect_language(docs, LG.language_profiles(docs))
+
+
+# ----------------------------------------------------------- sources/plans
+from pagewise.plans import compare as PC  # noqa: E402
+from pagewise.sources import coco as CO  # noqa: E402
+
+
+@register("clean_cells")
+def q_clean_cells(spark, sf_dir):
+    return CO.clean_cells(FX.raw_cells(documents(spark, sf_dir)))
+
+
+@register("union_splits")
+def q_union_splits(spark, sf_dir):
+    return CO.union_splits(FX.image_splits(documents(spark, sf_dir))).select("image_id", "doc_name", "split")
+
+
+@register("score_corpus")
+def q_score_corpus(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    lines = FX.layout_lines(docs)
+    # documents whose id ends in 99 carry a broken page size: reported, not fatal
+    lines = lines.withColumn("page_width", F.when(F.col("doc_id") % 100 == 99, F.lit(0.0))
+                             .otherwise(F.col("page_width")))
+    return PO.score_corpus(docs, lines)
+
+
+@register("compare_outlines")
+def q_compare_outlines(spark, sf_dir):
+    s = PC.compare_summary(*outlines_pair(spark, sf_dir))
+    return s.select("n_docs", "n_missing", *[F.round(c, 12).alias(c) for c in s.columns if c.startswith("avg_")])
+
+
+# ----------------------------------------------------------- ML (rows only)
+from pagewise.operators import ml as ML  # noqa: E402
+from pagewise.plans import training as PT  # noqa: E402
+
+# Tree counts of the registered (check-sized) runs; early stopping applies.
+CHECK_TRAIN = ML.TrainConfig(max_iter=20, final_max_iter=40)
+CELL_IDS = ["image_id", "cell_no"]
+
+
+def cell_dataset(spark, sf_dir):
+    images, anns, cats, cells = coco(spark, sf_dir)
+    return PD.build_cell_dataset(images, anns, cats, cells, keep_ids=True)
+
+
+def trained(spark, sf_dir, cfg=CHECK_TRAIN, leaves=31, rate=0.05):
+    split = PT.split_and_balance(cell_dataset(spark, sf_dir), CELL_IDS)
+    tv = PT.training_frame(split, CELL_IDS)
+    model = ML.fit(tv, ML.LEAVES_TO_DEPTH[leaves], rate, cfg.final_max_iter, cfg, "weight", "is_val")
+    return split, model
+
+
+@register("train_heading_classifier")
+def q_train_heading_classifier(spark, sf_dir):
+    split, model = trained(spark, sf_dir)
+    test = split.where(F.col("split") == "test")
+    return ML.score(model, test).select(*CELL_IDS, "label", "probability", "prediction")
+
+
+@register("grid_search")
+def q_grid_search(spark, sf_dir):
+    split = PT.split_and_balance(cell_dataset(spark, sf_dir), CELL_IDS)
+    res = ML.grid_search(PT.training_frame(split, CELL_IDS), CHECK_TRAIN)
+    return spark.createDataFrame(res)
+
+
+@register("cross_validate")
+def q_cross_validate(spark, sf_dir):
+    split = PT.split_and_balance(cell_dataset(spark, sf_dir), CELL_IDS)
+    return PT.cross_validate(split, CELL_IDS, CHECK_TRAIN)
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf_dir):
+    _, model = trained(spark, sf_dir)
+    return spark.createDataFrame(ML.feature_importance(model), "feature string, importance double")
+
+
+@register("top_features")
+def q_top_features(spark, sf_dir):
+    return q_feature_importance(spark, sf_dir).orderBy(F.col("importance").desc(), "feature").limit(10)
+
+
+@register("score_blocks_model")
+def q_score_blocks_model(spark, sf_dir):
+    _, model = trained(spark, sf_dir)
+    return ML.score(model, ML.prepare(block_feats(spark, sf_dir).withColumn("is_heading", F.lit(0)))).select(
+        "doc_id", "page_num", "block_no", "probability", "prediction")
+
+
+@register("extract_outlines_model")
+def q_extract_outlines_model(spark, sf_dir):
+    _, model = trained(spark, sf_dir)
+
+    def scorer(feats):
+        s = ML.score(model, ML.prepare(feats.withColumn("is_heading", F.lit(0))).drop("label"))
+        return s.withColumn("is_heading", F.col("prediction"))
+    return PO.extract_outlines(layout_lines(spark, sf_dir), scorer)
+
+
+@register("train_and_evaluate")
+def q_train_and_evaluate(spark, sf_dir):
+    res = PT.train_and_evaluate(cell_dataset(spark, sf_dir), CELL_IDS, CHECK_TRAIN)
+    tm, vm = res["test_metrics"].first(), res["val_metrics"].first()
+    rows = [("best_num_leaves", float(res["best"]["num_leaves"])), ("best_learning_rate", res["best"]["learning_rate"]),
+            ("best_val_f1", res["best"]["val_f1"]), ("threshold", res["threshold"]),
+            ("val_accuracy", vm["accuracy"]), ("val_f1", vm["f1"]), ("val_auc", res["val_auc"].first()["auc"]),
+            ("test_accuracy", tm["accuracy"]), ("test_f1", tm["f1"]), ("test_auc", res["test_auc"].first()["auc"])]
+    cv = res["cv_summary"].first()
+    rows += [("cv_auc_mean", cv["mean"]), ("cv_auc_std", cv["std"])]
+    return spark.createDataFrame(rows, "metric string, value double")

@@ -222,3 +222,22 @@ def expected_docs(documents: DataFrame) -> DataFrame:
 def actual_docs(documents: DataFrame) -> DataFrame:
     """Documents that have a produced outline file (doc_id mod 17 = 3 missing)."""
     return documents.select("doc_id").where(F.col("doc_id") % 17 != 3)
+
+
+def raw_cells(documents: DataFrame) -> DataFrame:
+    """Page text cells in the nested shape of a parsed page file: a bbox
+    array (three numbers for some cells), optional text and font fields."""
+    c = cells(documents)
+    n = F.col("cell_no")
+    bbox = F.when(n % 13 == 5, F.array("x", "y", "w")).otherwise(F.array("x", "y", "w", "h"))
+    font = F.when(n % 17 == 3, F.lit(None)).otherwise(F.struct(F.col("font_size").alias("size"),
+                                                                 F.col("font_name").alias("name")))
+    return c.select("page_key", "cell_no", bbox.alias("bbox"),
+                    F.when(n % 11 == 7, F.lit(None)).otherwise(F.col("text")).alias("text"), font.alias("font"))
+
+
+def image_splits(documents: DataFrame) -> dict[str, DataFrame]:
+    """The image records divided into the three COCO splits by document."""
+    imgs = images(documents)
+    part = F.expr("image_id div 1000") % 10
+    return {"train": imgs.where(part < 7), "val": imgs.where((part >= 7) & (part < 9)), "test": imgs.where(part >= 9)}
