@@ -405,9 +405,10 @@ def q_compare_outlines(spark, sf_dir):
 # ----------------------------------------------------------- ML (rows only)
 from pagewise.operators import ml as ML  # noqa: E402
 from pagewise.plans import training as PT  # noqa: E402
+from pagewise.session import cut_lineage  # noqa: E402
 
 # Tree counts of the registered (check-sized) runs; early stopping applies.
-CHECK_TRAIN = ML.TrainConfig(max_iter=20, final_max_iter=40)
+CHECK_TRAIN = ML.TrainConfig(max_iter=8, final_max_iter=16, parallelism=4)
 CELL_IDS = ["image_id", "cell_no"]
 
 
@@ -417,8 +418,8 @@ def cell_dataset(spark, sf_dir):
 
 
 def trained(spark, sf_dir, cfg=CHECK_TRAIN, leaves=31, rate=0.05):
-    split = PT.split_and_balance(cell_dataset(spark, sf_dir), CELL_IDS)
-    tv = PT.training_frame(split, CELL_IDS)
+    split = cut_lineage(PT.split_and_balance(cut_lineage(cell_dataset(spark, sf_dir)), CELL_IDS))
+    tv = cut_lineage(PT.training_frame(split, CELL_IDS))
     model = ML.fit(tv, ML.LEAVES_TO_DEPTH[leaves], rate, cfg.final_max_iter, cfg, "weight", "is_val")
     return split, model
 
@@ -432,14 +433,14 @@ def q_train_heading_classifier(spark, sf_dir):
 
 @register("grid_search")
 def q_grid_search(spark, sf_dir):
-    split = PT.split_and_balance(cell_dataset(spark, sf_dir), CELL_IDS)
-    res = ML.grid_search(PT.training_frame(split, CELL_IDS), CHECK_TRAIN)
+    split = cut_lineage(PT.split_and_balance(cut_lineage(cell_dataset(spark, sf_dir)), CELL_IDS))
+    res = ML.grid_search(cut_lineage(PT.training_frame(split, CELL_IDS)), CHECK_TRAIN)
     return spark.createDataFrame(res)
 
 
 @register("cross_validate")
 def q_cross_validate(spark, sf_dir):
-    split = PT.split_and_balance(cell_dataset(spark, sf_dir), CELL_IDS)
+    split = cut_lineage(PT.split_and_balance(cut_lineage(cell_dataset(spark, sf_dir)), CELL_IDS))
     return PT.cross_validate(split, CELL_IDS, CHECK_TRAIN)
 
 

@@ -63,3 +63,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     local_dir = tempfile.mkdtemp(prefix="pagewise-ckpt-", dir="/tmp")
     sc.setCheckpointDir(local_dir)
     return local_dir
+
+
+def cut_lineage(df):
+    """Materialise ``df`` in the shared checkpoint folder and return a
+    DataFrame reading it back: later jobs neither re-plan nor recompute the
+    upstream plan, and a lost executor does not force recomputation from
+    the sources.  (Reliable ``checkpoint``, never a local one.)"""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
