@@ -103,10 +103,12 @@ def outline_levels(headings: DataFrame, key: str = "doc_id", rel_col: str = "rel
     return out.withColumn("level", F.concat(F.lit("H"), F.col("level_num").cast("string")))
 
 
-def detect_title(leveled: DataFrame, key: str = "doc_id") -> DataFrame:
+def detect_title(leveled: DataFrame, key: str = "doc_id", all_docs: bool = True) -> DataFrame:
     """Title per document: among page-1 headings, H1 rows if any, else all;
     the highest ``relative_font_size - norm_y``, first in reading order on
-    ties; stripped.  Documents without page-1 headings get ''.
+    ties; stripped.  Documents without page-1 headings get '' (only
+    documents with a page-1 heading are returned when ``all_docs`` is
+    false).
 
     One ``max_by`` aggregate over a struct (has H1, score, -seq): partial
     aggregation, no window over the document."""
@@ -116,5 +118,7 @@ def detect_title(leveled: DataFrame, key: str = "doc_id") -> DataFrame:
     rank = F.struct((F.col("level_num") == 1).cast("int").alias("h1"), score.alias("score"),
                     (-F.col("seq")).alias("neg_seq"))
     titles = p1.groupBy(key).agg(F.max_by(py_strip("text"), rank).alias("title"))
+    if not all_docs:
+        return titles
     docs = leveled.select(key).distinct()
     return docs.join(titles, key, "left").select(key, F.coalesce("title", F.lit("")).alias("title"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pagewise.operators import features as FE
 from pagewise.operators import labels as L
+from pagewise.session import materialize
 
 CELL_COLUMNS = ["doc_name", "page_no", "original_category", "is_heading", "bbox", "text", "font_size",
                 "font_weight", "norm_x", "norm_y", "text_length", "num_words", "is_all_caps", "is_centered",
@@ -21,9 +22,14 @@ CELL_COLUMNS = ["doc_name", "page_no", "original_category", "is_heading", "bbox"
 
 
 def build_cell_dataset(images: DataFrame, annotations: DataFrame, categories: DataFrame,
-                       cells: DataFrame, keep_ids: bool = False) -> DataFrame:
+                       cells: DataFrame, keep_ids: bool = False, materialize_cells: str | None = None) -> DataFrame:
+    """The labelled cell features are read twice (body-size aggregate and
+    the join back), so they are materialised once (``pagewise.materialize``
+    unless ``materialize_cells`` says otherwise)."""
     labeled = L.drop_noise_cells(L.label_cells(images, cells, annotations, categories))
     feats = L.cell_features(labeled)
+    if materialize_cells != "none":
+        feats = materialize(feats, materialize_cells)
     body = FE.body_font_size(feats, key="doc_name", min_words=FE.TRAIN_BODY_MIN_WORDS,
                              candidates=F.col("is_heading") == 0)
     out = FE.with_relative_font_size(feats, body, key="doc_name")
@@ -32,8 +38,10 @@ def build_cell_dataset(images: DataFrame, annotations: DataFrame, categories: Da
 
 
 def build_heading_dataset(images: DataFrame, annotations: DataFrame, categories: DataFrame,
-                          cells: DataFrame) -> DataFrame:
+                          cells: DataFrame, materialize_regions: str | None = None) -> DataFrame:
     regions = L.region_text(images, cells, annotations, categories)
+    if materialize_regions != "none":
+        regions = materialize(regions, materialize_regions)
     body = FE.body_font_size(regions, key="doc_name", min_words=FE.TRAIN_BODY_MIN_WORDS)
     rel = FE.with_relative_font_size(regions, body, key="doc_name")
     return L.assign_heading_levels(rel)

@@ -4,7 +4,10 @@
 order: the page window (doc, page), the per-document body size (partial
 ``mode``), the running-header aggregation, the join of body sizes and the
 anti join of running headers (AQE splits skewed keys), and the per-document
-fold over *surviving headings only*.
+fold over *surviving headings only*.  The block table feeds four branches
+(body size, join back, running headers, document list), so it is
+materialised once (``pagewise.materialize``: checkpoint by default) instead
+of re-running the scan and the page window per branch.
 """
 
 from __future__ import annotations
@@ -19,23 +22,31 @@ from pagewise.operators import blocks as B
 from pagewise.operators import features as FE
 from pagewise.operators import outline as O
 from pagewise.operators import rules as R
+from pagewise.session import materialize
 
 
-def block_features(lines: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Blocks with the eleven features plus ``body_font_size``."""
-    blocks = B.merge_lines(lines)
-    feats = FE.block_text_features(blocks)
-    body = FE.body_font_size(feats, key=key, min_words=FE.INFER_BODY_MIN_WORDS)
-    return FE.with_relative_font_size(feats, body, key=key)
+def block_features(lines: DataFrame, key: str = "doc_id", materialize_blocks: str | None = None) -> DataFrame:
+    """Blocks with the eleven features plus ``body_font_size``.
+
+    The per-page block table is read twice (body-size aggregate and the
+    join back); ``materialize_blocks`` ('checkpoint' / 'persist' / 'none')
+    materialises it once so the scan and the page window run once."""
+    blocks = FE.block_text_features(B.merge_lines(lines))
+    if materialize_blocks != "none":
+        blocks = materialize(blocks, materialize_blocks)
+    body = FE.body_font_size(blocks, key=key, min_words=FE.INFER_BODY_MIN_WORDS)
+    return FE.with_relative_font_size(blocks, body, key=key)
 
 
 def heading_candidates(feats: DataFrame, scorer: Callable[[DataFrame], DataFrame] = O.fixed_score,
-                       key: str = "doc_id") -> DataFrame:
+                       key: str = "doc_id", headers: DataFrame | None = None) -> DataFrame:
     """Scored blocks predicted as headings, minus running headers, minus the
     rule-based false positives."""
     scored = scorer(feats)
     cands = scored.where(F.col("is_heading") == 1)
-    cands = R.drop_running_headers(cands, R.running_headers(feats, key=key), key=key)
+    if headers is None:
+        headers = R.running_headers(feats, key=key)
+    cands = R.drop_running_headers(cands, headers, key=key)
     return R.apply_heading_rules(cands)
 
 
@@ -45,17 +56,27 @@ def outline_entries(cands: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def extract_outlines(lines: DataFrame, scorer: Callable[[DataFrame], DataFrame] = O.fixed_score,
-                     key: str = "doc_id") -> DataFrame:
+                     key: str = "doc_id", materialize_blocks: str | None = None) -> DataFrame:
     """Flat outline: one row per heading (doc_id, title, seq, level, text,
     page); a document with blocks but no heading keeps one row with a null
-    entry and title ''."""
-    feats = block_features(lines, key=key)
-    leveled = outline_entries(heading_candidates(feats, scorer, key), key)
-    return flat_outline(feats.select(key).distinct(), leveled, key)
+    entry and title ''.
+
+    The block table (features before the relative size) is materialised
+    once; the body sizes, the running headers and the document list are all
+    aggregates of it, and only the scored candidates need the body-size
+    join."""
+    blocks = FE.block_text_features(B.merge_lines(lines))
+    if materialize_blocks != "none":
+        blocks = materialize(blocks, materialize_blocks)
+    body = FE.body_font_size(blocks, key=key, min_words=FE.INFER_BODY_MIN_WORDS)
+    feats = FE.with_relative_font_size(blocks, body, key=key)
+    headers = R.running_headers(blocks, key=key)
+    leveled = outline_entries(heading_candidates(feats, scorer, key, headers), key)
+    return flat_outline(blocks.select(key).distinct(), leveled, key)
 
 
 def flat_outline(docs: DataFrame, leveled: DataFrame, key: str = "doc_id") -> DataFrame:
-    titles = O.detect_title(leveled, key=key)
+    titles = O.detect_title(leveled, key=key, all_docs=False)
     docs_titles = docs.join(titles, key, "left").select(key, F.coalesce("title", F.lit("")).alias("title"))
     entries = leveled.select(key, "seq", "level", py_strip("text").alias("text"),
                              F.col("page_num").cast("int").alias("page"))

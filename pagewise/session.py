@@ -72,3 +72,21 @@ def cut_lineage(df):
     the sources.  (Reliable ``checkpoint``, never a local one.)"""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize(df, how: str | None = None):
+    """Materialise a DataFrame that several branches of a plan read.
+
+    ``how`` (default: the session setting ``pagewise.materialize``, else
+    ``checkpoint``): ``checkpoint`` writes it once to the shared checkpoint
+    folder and cuts the lineage (survives executor loss without going back
+    to the sources); ``persist`` caches it on the executors (memory, then
+    disk; recomputed from lineage if an executor is lost); ``none`` leaves
+    the plan as is."""
+    from pyspark import StorageLevel
+    mode = how or df.sparkSession.conf.get("pagewise.materialize", "checkpoint")
+    if mode == "checkpoint":
+        return cut_lineage(df)
+    if mode == "persist":
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    return df
