@@ -543,3 +543,17 @@ q("compare_outlines", ("outline_metrics",), """select count(m.text_recall) as n_
  round(avg(text_recall), 12) as avg_text_recall, round(avg(text_precision), 12) as avg_text_precision, round(avg(text_f1), 12) as avg_text_f1,
  round(avg(pair_recall), 12) as avg_pair_recall, round(avg(pair_precision), 12) as avg_pair_precision, round(avg(pair_f1), 12) as avg_pair_f1
  from documents d left join outline_metrics m using (doc_id)""")
+
+cte("cell_texts", ("cell_feats0",), """select cast(image_id as varchar) || ':' || cast(cell_no as varchar) as cell_id, image_id, cell_no, text
+ from cell_feats0""")
+cte("cell_profiles", ("cell_texts",), f"""select cell_id, gram, rank from (
+ select cell_id, gram, row_number() over (partition by cell_id order by cnt desc, gram) as rank from (
+  {_grams_sql("cell_texts", "cell_id")})) where rank <= 300""")
+cte("cell_lang_best", ("lang_profiles", "cell_profiles"), """select cell_id, lang from (
+ select cell_id, lang, row_number() over (partition by cell_id order by score desc, lang) as rn from (
+  select d.cell_id, l.lang, sum(300 - abs(d.rank - l.rank)) as score from cell_profiles d join lang_profiles l using (gram)
+  group by d.cell_id, l.lang)) where rn = 1""")
+q("augment_language", ("cell_texts", "cell_lang_best", "lang_profiles"), """select c.image_id, c.cell_no, c.text,
+ case when not coalesce(regexp_matches(c.text, '\\p{L}'), false) then 'unknown'
+ else coalesce(b.lang, (select min(lang) from lang_profiles), 'unknown') end as language
+ from cell_texts c left join cell_lang_best b using (cell_id)""")

@@ -93,21 +93,29 @@ def nested_outline(flat: DataFrame, key: str = "doc_id") -> DataFrame:
         e["level"].alias("level"), e["text"].alias("text"), e["page"].alias("page"))).alias("outline"))
 
 
-def score_corpus(docs: DataFrame, lines: DataFrame, scorer: Callable[[DataFrame], DataFrame] = O.fixed_score,
-                 key: str = "doc_id") -> DataFrame:
-    """One result row per input document, in one distributed job: status
-    'ok' (title, number of headings), 'empty' (no text block) or 'error'
-    (invalid page size).  A bad document never stops the others."""
+def corpus_outlines(docs: DataFrame, lines: DataFrame, scorer: Callable[[DataFrame], DataFrame] = O.fixed_score,
+                    key: str = "doc_id", materialize_blocks: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(status per document, flat outline of the processable documents).
+
+    Status: 'ok' (title, number of headings), 'empty' (no text block) or
+    'error' (invalid page size).  A bad document never stops the others:
+    it is excluded from the plan and reported, all in one distributed job."""
     bad_pages = lines.where(F.col("page_width").isNull() | F.col("page_height").isNull()
                             | (F.col("page_width") <= 0) | (F.col("page_height") <= 0)).select(key).distinct()
     good_lines = lines.join(bad_pages, key, "left_anti")
-    flat = extract_outlines(good_lines, scorer, key)
+    flat = extract_outlines(good_lines, scorer, key, materialize_blocks)
     per_doc = flat.groupBy(key).agg(F.first("title").alias("title"), F.count("seq").alias("n_headings"))
     out = docs.select(key).join(per_doc, key, "left").join(
         bad_pages.withColumn("_bad", F.lit(True)), key, "left")
-    status = F.when(F.col("_bad"), "error").when(F.col("title").isNull(), "empty").otherwise("ok")
-    error = F.when(F.col("_bad"), F.lit("invalid page size"))
+    bad = F.coalesce(F.col("_bad"), F.lit(False))
+    status = F.when(bad, "error").when(F.col("title").isNull(), "empty").otherwise("ok")
+    error = F.when(bad, F.lit("invalid page size"))
     return out.select(key, status.alias("status"), error.alias("error"),
-                      F.when(~F.coalesce(F.col("_bad"), F.lit(False)), F.col("title")).alias("title"),
-                      F.when(F.col("title").isNotNull() & ~F.coalesce(F.col("_bad"), F.lit(False)),
-                             F.col("n_headings")).alias("n_headings"))
+                      F.when(~bad, F.col("title")).alias("title"),
+                      F.when(F.col("title").isNotNull() & ~bad, F.col("n_headings")).alias("n_headings")), flat
+
+
+def score_corpus(docs: DataFrame, lines: DataFrame, scorer: Callable[[DataFrame], DataFrame] = O.fixed_score,
+                 key: str = "doc_id") -> DataFrame:
+    """One result row per input document (see ``corpus_outlines``)."""
+    return corpus_outlines(docs, lines, scorer, key)[0]

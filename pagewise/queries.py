@@ -483,3 +483,14 @@ def q_train_and_evaluate(spark, sf_dir):
     cv = res["cv_summary"].first()
     rows += [("cv_auc_mean", cv["mean"]), ("cv_auc_std", cv["std"])]
     return spark.createDataFrame(rows, "metric string, value double")
+
+
+@register("augment_language")
+def q_augment_language(spark, sf_dir):
+    """The labelled cell dataset with a detected ``language`` per cell text
+    (profiles learned from the labelled documents)."""
+    cells_ds = cell_dataset(spark, sf_dir).withColumn(
+        "cell_id", F.concat_ws(":", F.col("image_id").cast("string"), F.col("cell_no").cast("string")))
+    profiles = LG.language_profiles(documents(spark, sf_dir))
+    out = LG.augment_language(cells_ds, profiles, key="cell_id")
+    return out.select("image_id", "cell_no", "text", "language")
