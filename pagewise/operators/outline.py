@@ -1,10 +1,16 @@
 """Heading scoring, outline levels and titles.
 
 ``outline_levels`` is the one order-dependent, non-relational step: a stack
-fold over a document's headings in reading order.  It runs as a Catalyst
-``aggregate`` higher-order function over the sorted headings of each
-document -- no Python, no UDF.  Only rows that survived scoring and the rule
-filters are folded, never all lines.
+fold over a document's headings in reading order.  It runs as Catalyst
+``aggregate`` higher-order functions -- no Python, no UDF -- and only over
+rows that survived scoring and the rule filters, never all lines.
+
+``outline_levels_by_page`` (used by the plans) never gathers a document's
+headings: each page is folded on its own over an unknown stack below it,
+giving every heading a level relative to an *anchor* on its page, and a
+document-level fold then runs over the page summaries alone (anchors and
+the final local stack).  ``outline_levels`` is the direct one-array form,
+kept as the reference implementation for tests.
 """
 
 from __future__ import annotations
@@ -103,6 +109,122 @@ def outline_levels(headings: DataFrame, key: str = "doc_id", rel_col: str = "rel
     return out.withColumn("level", F.concat(F.lit("H"), F.col("level_num").cast("string")))
 
 
+def _match_sql(stack: str, c: str, tol: str, size_field: str = "s") -> dict:
+    """SQL pieces for the stack search: k = topmost matching index (0 if
+    none), and the sibling / child tests against entry k."""
+    def ok(x, y):
+        return f"(NOT isnan({x}) AND NOT isnan({y}))"
+
+    def sib(x, y):
+        return f"({ok(x, y)} AND abs({x} - {y}) <= {tol})"
+
+    def child(x, y):
+        return f"({ok(x, y)} AND {x} < {y} - {tol})"
+
+    ei = f"element_at({stack}, i_).{size_field}"
+    k = (f"aggregate(sequence(1, greatest(size({stack}), 1)), 0, (m_, i_) -> "
+         f"IF(i_ <= size({stack}) AND ({sib(c, ei)} OR {child(c, ei)}), i_, m_))")
+    return {"k": k, "sib": sib, "child": child}
+
+
+def _page_fold_sql(arr: str, tol: float, max_level: int) -> str:
+    """Fold of one page's headings over an unknown stack below the page.
+
+    Local stack entries are (a, d, s): level = min(L(a) + d, max) where
+    L(a) is the level of the page's a-th heading, an *anchor* -- a heading
+    that matched nothing on the local stack and so depends on the stack
+    below the page.  Returns per heading (a, d), the anchors (p, c) in
+    order, and the final local stack."""
+    t = repr(float(tol))
+    m = _match_sql("st_.stack", "h_.rel", t)
+    e = "element_at(st_.stack, k_)"
+    uc = f"IF(k_ = size(st_.stack), {m['child']('h_.rel', e + '.s')}, NOT {m['sib']('h_.rel', e + '.s')})"
+    init = ("named_struct('stack', cast(array() as array<struct<a:int,d:int,s:double>>), "
+            "'out', cast(array() as array<struct<a:int,d:int>>), "
+            "'unr', cast(array() as array<struct<p:int,c:double>>), 'n', 0)")
+    anchor = ("named_struct('stack', array(named_struct('a', st_.n + 1, 'd', 0, 's', h_.rel)), "
+              "'out', concat(st_.out, array(named_struct('a', st_.n + 1, 'd', 0))), "
+              "'unr', concat(st_.unr, array(named_struct('p', st_.n + 1, 'c', h_.rel))), 'n', st_.n + 1)")
+    matched = (f"aggregate(array({uc}), st2_, (st3_, uc_) -> named_struct("
+               f"'stack', IF(uc_, concat(slice(st_.stack, 1, k_), array(named_struct('a', {e}.a, 'd', {e}.d + 1, 's', h_.rel))), "
+               f"concat(slice(st_.stack, 1, k_ - 1), array(named_struct('a', {e}.a, 'd', {e}.d, 's', h_.rel)))), "
+               f"'out', concat(st_.out, array(named_struct('a', {e}.a, 'd', IF(uc_, {e}.d + 1, {e}.d)))), "
+               f"'unr', st_.unr, 'n', st_.n + 1))")
+    step = f"aggregate(array({m['k']}), st_, (st2_, k_) -> IF(k_ = 0, {anchor}, {matched}))"
+    return f"aggregate({arr}, {init}, (st_, h_) -> {step}, st_ -> st_)"
+
+
+def _doc_fold_sql(arr: str, tol: float, max_level: int) -> str:
+    """Sequential fold over one document's page summaries (in page order):
+    resolves each page's anchors against the real stack ``R`` of entries
+    below the page, then pushes the page's final local stack onto ``R``.
+    Only the first anchor of a page sees the real top (it is the page's
+    first heading); later anchors test sibling first."""
+    t = repr(float(tol))
+    m = _match_sql("s2_.R", "u_.c", t)
+    e = "element_at(s2_.R, k_)"
+    uc = f"IF(s2_.first AND k_ = size(s2_.R), {m['child']('u_.c', e + '.s')}, NOT {m['sib']('u_.c', e + '.s')})"
+    empty_r = "cast(array() as array<struct<l:int,s:double>>)"
+    none = (f"named_struct('R', {empty_r}, 'la', concat(s2_.la, array(named_struct('p', u_.p, 'l', 1))), "
+            f"'first', false)")
+    hit = (f"aggregate(array({uc}), s3_, (s4_, uc_) -> named_struct("
+           f"'R', IF(uc_, slice(s2_.R, 1, k_), slice(s2_.R, 1, k_ - 1)), "
+           f"'la', concat(s2_.la, array(named_struct('p', u_.p, 'l', IF(uc_, least({e}.l + 1, {max_level}), {e}.l)))), "
+           f"'first', false))")
+    resolve = (f"aggregate(ch_.unr, named_struct('R', st_.R, 'la', cast(array() as array<struct<p:int,l:int>>), "
+               f"'first', true), (s2_, u_) -> aggregate(array({m['k']}), s2_, (s3_, k_) -> IF(k_ = 0, {none}, {hit})))")
+    push = (f"transform(ch_.fstack, e_ -> named_struct('l', least(element_at(filter(r_.la, x_ -> x_.p = e_.a), 1).l "
+            f"+ e_.d, {max_level}), 's', e_.s))")
+    init = (f"named_struct('R', {empty_r}, 'L', cast(array() as array<struct<pg:int,p:int,l:int>>), "
+            f"'off', cast(array() as array<struct<pg:int,o:int>>), 'cnt', 0)")
+    step = (f"aggregate(array({resolve}), st_, (st2_, r_) -> named_struct("
+            f"'R', concat(r_.R, {push}), "
+            f"'L', concat(st_.L, transform(r_.la, x_ -> named_struct('pg', ch_.pg, 'p', x_.p, 'l', x_.l))), "
+            f"'off', concat(st_.off, array(named_struct('pg', ch_.pg, 'o', st_.cnt))), "
+            f"'cnt', st_.cnt + ch_.n))")
+    return f"aggregate({arr}, {init}, (st_, ch_) -> {step}, st_ -> st_)"
+
+
+def outline_levels_by_page(headings: DataFrame, key: str = "doc_id", rel_col: str = "relative_font_size",
+                           page_col: str = "page_num", order_cols=("norm_y", "block_no"), carry=(),
+                           tol: float = LEVEL_TOLERANCE, max_level: int = MAX_LEVEL) -> DataFrame:
+    """Same result as ``outline_levels`` (reading order = page, then
+    ``order_cols``), computed without gathering a document's headings:
+
+    1. per (doc, page): the page's headings are folded over an unknown
+       stack below the page -> per heading an (anchor, offset) pair, plus a
+       page summary (anchors with their sizes, final local stack);
+    2. per doc: a sequential fold over the page *summaries* only (their size
+       is bounded by the stack depth, itself bounded by the spread of
+       relative sizes over the tolerance, plus the page's anchors);
+    3. levels = min(level(anchor) + offset, max), seq = page offset + rank.
+    """
+    fields = [F.col(c).alias(f"o{i}") for i, c in enumerate(order_cols)]
+    payload = [F.col(rel_col).cast("double").alias("rel")] + [F.col(c) for c in carry]
+    pages = headings.groupBy(key, F.col(page_col).cast("int").alias("pg")).agg(
+        F.array_sort(F.collect_list(F.struct(*fields, *payload))).alias("hs"))
+    pages = pages.withColumn("pf", F.expr(_page_fold_sql("hs", tol, max_level)))
+    per_heading = pages.select(key, "pg", F.posexplode(F.arrays_zip(F.col("hs").alias("h"),
+                                                                    F.col("pf.out").alias("r"))).alias("pos", "z"))
+    summaries = pages.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(
+        F.col("pg"), F.size("hs").alias("n"), F.col("pf.unr").alias("unr"), F.col("pf.stack").alias("fstack"))))
+        .alias("chunks"))
+    docs = summaries.select(key, F.expr(_doc_fold_sql("chunks", tol, max_level)).alias("df"))
+    anchors = docs.select(key, F.explode("df.L").alias("x")).select(key, F.col("x.pg").alias("pg"),
+                                                                   F.col("x.p").alias("a"), F.col("x.l").alias("la"))
+    offsets = docs.select(key, F.explode("df.off").alias("x")).select(key, F.col("x.pg").alias("pg"),
+                                                                     F.col("x.o").alias("off"))
+    rows = per_heading.select(key, "pg", (F.col("pos") + 1).alias("p"), F.col("z.h").alias("h"),
+                              F.col("z.r.a").alias("a"), F.col("z.r.d").alias("d"))
+    rows = rows.join(anchors, [key, "pg", "a"]).join(offsets, [key, "pg"])
+    lvl = F.least(F.col("la") + F.col("d"), F.lit(max_level)).cast("int")
+    out = rows.select(
+        key, (F.col("off") + F.col("p")).cast("int").alias("seq"), F.col("pg").alias(page_col),
+        *[F.col("h")[f"o{i}"].alias(c) for i, c in enumerate(order_cols)],
+        F.col("h.rel").alias(rel_col), *[F.col("h")[c].alias(c) for c in carry], lvl.alias("level_num"))
+    return out.withColumn("level", F.concat(F.lit("H"), F.col("level_num").cast("string")))
+
+
 def detect_title(leveled: DataFrame, key: str = "doc_id", all_docs: bool = True) -> DataFrame:
     """Title per document: among page-1 headings, H1 rows if any, else all;
     the highest ``relative_font_size - norm_y``, first in reading order on

@@ -4,7 +4,8 @@
 order: the page window (doc, page), the per-document body size (partial
 ``mode``), the running-header aggregation, the join of body sizes and the
 anti join of running headers (AQE splits skewed keys), and the per-document
-fold over *surviving headings only*.  The block table feeds four branches
+fold over *surviving headings only*, chunked by page (a per-page fold,
+then a per-document fold over bounded page summaries).  The block table feeds four branches
 (body size, join back, running headers, document list), so it is
 materialised once (``pagewise.materialize``: checkpoint by default) instead
 of re-running the scan and the page window per branch.
@@ -51,8 +52,9 @@ def heading_candidates(feats: DataFrame, scorer: Callable[[DataFrame], DataFrame
 
 
 def outline_entries(cands: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Leveled headings in reading order (page, norm_y, block)."""
-    return O.outline_levels(cands, key=key, carry=("text",))
+    """Leveled headings in reading order (page, norm_y, block): the
+    page-chunked fold, so no task gathers a whole document's headings."""
+    return O.outline_levels_by_page(cands, key=key, carry=("text",))
 
 
 def extract_outlines(lines: DataFrame, scorer: Callable[[DataFrame], DataFrame] = O.fixed_score,

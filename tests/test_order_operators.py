@@ -47,15 +47,21 @@ def sequences(rng):
 def test_outline_fold_matches_python(spark):
     rng = random.Random(7)
     seqs = sequences(rng)
-    rows = [(d, 1, float(i), i, s, f"t{i}") for d, seq in enumerate(seqs) for i, s in enumerate(seq)]
+    rows = []
+    for d, seq in enumerate(seqs):
+        per = rng.choice([1, 2, 3, 5, 100])          # headings per page
+        rows += [(d, 1 + i // per, float(i % per), i, s, f"t{i}") for i, s in enumerate(seq)]
     df = spark.createDataFrame(rows, "doc_id long, page_num int, norm_y double, block_no int, "
                                      "relative_font_size double, text string")
-    got = {}
-    for r in O.outline_levels(df, carry=("text",)).collect():
-        got.setdefault(r["doc_id"], {})[r["seq"]] = r["level_num"]
-    for d, seq in enumerate(seqs):
-        exp = py_levels(seq)
-        assert [got[d][i + 1] for i in range(len(seq))] == exp, seq
+    for impl in (lambda x: O.outline_levels(x, carry=("text",)),
+                 lambda x: O.outline_levels_by_page(x, carry=("text",))):
+        got = {}
+        for r in impl(df).collect():
+            got.setdefault(r["doc_id"], {})[r["seq"]] = (r["level_num"], r["text"])
+        for d, seq in enumerate(seqs):
+            exp = py_levels(seq)
+            assert [got[d][i + 1][0] for i in range(len(seq))] == exp, seq
+            assert [got[d][i + 1][1] for i in range(len(seq))] == [f"t{i}" for i in range(len(seq))]
 
 
 def py_blocks(lines):
