@@ -210,13 +210,14 @@ def outline_levels_by_page(headings: DataFrame, key: str = "doc_id", rel_col: st
         F.col("pg"), F.size("hs").alias("n"), F.col("pf.unr").alias("unr"), F.col("pf.stack").alias("fstack"))))
         .alias("chunks"))
     docs = summaries.select(key, F.expr(_doc_fold_sql("chunks", tol, max_level)).alias("df"))
-    anchors = docs.select(key, F.explode("df.L").alias("x")).select(key, F.col("x.pg").alias("pg"),
-                                                                   F.col("x.p").alias("a"), F.col("x.l").alias("la"))
-    offsets = docs.select(key, F.explode("df.off").alias("x")).select(key, F.col("x.pg").alias("pg"),
-                                                                     F.col("x.o").alias("off"))
+    # one row per anchor with its level and its page's offset (one consumer
+    # of the document fold)
+    anchors = docs.select(key, "df.off", F.explode("df.L").alias("x")).select(
+        key, F.col("x.pg").alias("pg"), F.col("x.p").alias("a"), F.col("x.l").alias("la"),
+        F.element_at(F.filter("off", lambda o: o["pg"] == F.col("x.pg")), 1)["o"].alias("off"))
     rows = per_heading.select(key, "pg", (F.col("pos") + 1).alias("p"), F.col("z.h").alias("h"),
                               F.col("z.r.a").alias("a"), F.col("z.r.d").alias("d"))
-    rows = rows.join(anchors, [key, "pg", "a"]).join(offsets, [key, "pg"])
+    rows = rows.join(anchors, [key, "pg", "a"])
     lvl = F.least(F.col("la") + F.col("d"), F.lit(max_level)).cast("int")
     out = rows.select(
         key, (F.col("off") + F.col("p")).cast("int").alias("seq"), F.col("pg").alias(page_col),

@@ -73,7 +73,11 @@ def extract_outlines(lines: DataFrame, scorer: Callable[[DataFrame], DataFrame]
     body = FE.body_font_size(blocks, key=key, min_words=FE.INFER_BODY_MIN_WORDS)
     feats = FE.with_relative_font_size(blocks, body, key=key)
     headers = R.running_headers(blocks, key=key)
-    leveled = outline_entries(heading_candidates(feats, scorer, key, headers), key)
+    cands = heading_candidates(feats, scorer, key, headers)
+    if materialize_blocks != "none":
+        # headings only: the fold and the title read them in several branches
+        cands = materialize(cands, materialize_blocks)
+    leveled = outline_entries(cands, key)
     return flat_outline(blocks.select(key).distinct(), leveled, key)
 
 
