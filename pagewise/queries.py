@@ -168,8 +168,7 @@ from pagewise.plans import datasets as PD  # noqa: E402
 
 
 def coco(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    return FX.images(docs), FX.annotations(docs), FX.categories(spark), FX.cells(docs)
+    return FX.coco_tables(spark, documents(spark, sf_dir))
 
 
 @register("join_pages_cells")

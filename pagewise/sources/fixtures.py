@@ -111,7 +111,10 @@ def layout_lines(documents: DataFrame) -> DataFrame:
 
 def images(documents: DataFrame) -> DataFrame:
     """COCO image records; every fifth page has no size (default applies)."""
-    lay = layout(documents)
+    return images_from(layout(documents))
+
+
+def images_from(lay: DataFrame) -> DataFrame:
     no_size = F.col("page_num") % 5 == 0
     return lay.select(
         (F.col("doc_id") * 1000 + F.col("page_num")).alias("image_id"),
@@ -126,7 +129,11 @@ def images(documents: DataFrame) -> DataFrame:
 
 def cells(documents: DataFrame) -> DataFrame:
     """Page text cells keyed by file stem; every seventh page has none."""
-    lay = layout(documents).where(F.col("page_num") % 7 != 0)
+    return cells_from(layout(documents))
+
+
+def cells_from(lay: DataFrame) -> DataFrame:
+    lay = lay.where(F.col("page_num") % 7 != 0)
     return lay.select(
         F.concat(F.lit("p"), F.col("doc_id").cast("string"), F.lit("_"),
                  F.col("page_num").cast("string")).alias("page_key"),
@@ -140,7 +147,10 @@ def cells(documents: DataFrame) -> DataFrame:
 def annotations(documents: DataFrame) -> DataFrame:
     """Annotation boxes (one per line, plus an overlapping Text box over
     some numbered headings; some body boxes miss their line)."""
-    lay = layout(documents)
+    return annotations_from(layout(documents))
+
+
+def annotations_from(lay: DataFrame) -> DataFrame:
     kind = F.col("kind")
     image_id = F.col("doc_id") * 1000 + F.col("page_num")
     main = lay.select(
@@ -241,3 +251,13 @@ def image_splits(documents: DataFrame) -> dict[str, DataFrame]:
     imgs = images(documents)
     part = F.expr("image_id div 1000") % 10
     return {"train": imgs.where(part < 7), "val": imgs.where((part >= 7) & (part < 9)), "test": imgs.where(part >= 9)}
+
+
+def coco_tables(spark: SparkSession, documents: DataFrame, materialize_layout: str | None = None):
+    """(images, annotations, categories, cells) derived from one
+    materialised layout table (the three page tables share it)."""
+    from pagewise.session import materialize
+    lay = layout(documents)
+    if materialize_layout != "none":
+        lay = materialize(lay, materialize_layout)
+    return (images_from(lay), annotations_from(lay), categories(spark), cells_from(lay))
