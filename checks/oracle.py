@@ -386,7 +386,7 @@ q("label_cells", ("labeled_cells",), "select image_id, cell_no, original_categor
 q("drop_noise_cells", ("cells",), f"select page_key, cell_no from cells where {noise_keep('text')}")
 q("build_cell_dataset", ("cell_dataset",), "select * from cell_dataset")
 q("body_font_size_train", ("body_train",), "select * from body_train")
-q("class_stats", ("cell_dataset",), """select is_heading, n, n * 100.0 / sum(n) over () as pct from (
+q("class_stats", ("cell_dataset",), """select is_heading, n, cast(n as double) * 100.0 / cast(sum(n) over () as double) as pct from (
  select is_heading, count(*) as n from cell_dataset group by is_heading)""")
 q("region_text", ("regions",), """select image_id, ann_id, category, text, round(font_size, 9) as font_size, font_weight,
  norm_x, norm_y, num_words from regions""")
@@ -419,7 +419,7 @@ _TS = ", ".join(f"({i}, cast({t!r} as double))" for i, t in enumerate(sweep_thre
 cte("thresholds", (), f"select * from (values {_TS}) v(i, threshold)")
 
 cte("sweep", ("thresholds", "probs"), """select i, threshold, tp, fp, fn,
- case when 2 * tp + fp + fn > 0 then 2.0 * tp / (2 * tp + fp + fn) else 0.0 end as f1 from (
+ case when 2 * tp + fp + fn > 0 then cast(2 * tp as double) / cast(2 * tp + fp + fn as double) else 0.0 end as f1 from (
  select t.i, t.threshold, count(*) filter (where p.label = 1 and p.probability > t.threshold) as tp,
   count(*) filter (where p.label = 0 and p.probability > t.threshold) as fp,
   count(*) filter (where p.label = 1 and not (p.probability > t.threshold)) as fn

@@ -75,14 +75,6 @@ def center_inside_join(inner: DataFrame, outer: DataFrame, page: str = "image_id
     return joined.where(G.center_inside(ix, iy, iw, ih, ox, oy, ow, oh)).drop("_band")
 
 
-def page_cells(images: DataFrame, cells: DataFrame, annotations: DataFrame) -> DataFrame:
-    """Cells of pages that have cells and annotations (inner joins)."""
-    pages = join_pages_cells(images, cells)
-    has_ann = annotations.select("image_id").distinct()
-    return pages.join(has_ann.withColumnRenamed("image_id", "id_"), pages["image_id"] == F.col("id_"),
-                      "left_semi")
-
-
 def label_cells(images: DataFrame, cells: DataFrame, annotations: DataFrame, categories: DataFrame) -> DataFrame:
     """Per cell the highest category among the boxes containing its centre
     (Title > Section-header > Text); cells in no box are dropped.  One hash
@@ -170,27 +162,32 @@ def region_text(images: DataFrame, cells: DataFrame, annotations: DataFrame, cat
         T.numbering_depth(t).alias("numbering_depth"), T.percent_punct(t).alias("percent_punct"))
 
 
-def assign_heading_levels(headings: DataFrame, key: str = "doc_name",
-                          tiebreak=("page_no", "ann_id")) -> DataFrame:
+def assign_heading_levels(headings: DataFrame, key: str = "doc_name") -> DataFrame:
     """Per document, rows sorted by relative size desc, weight desc, norm_y
     asc; the level starts at 1 and rises by one each time the style
     (Python-rounded relative size to 0.1, weight) differs from the previous
     row; beyond H6 -> Other-Heading; Title rows are H1 whatever their rank.
 
-    A window over the document's *heading annotations* (not its cells)."""
-    order = [F.col("relative_font_size").desc(), F.col("font_weight").desc(), F.col("norm_y").asc(),
-             *[F.col(c).asc() for c in tiebreak]]
-    w = Window.partitionBy(key).orderBy(*order)
+    Rows with equal (relative size, weight) are contiguous in that order and
+    share one style, so the level only changes between such groups: the
+    running count runs over the document's distinct (size, weight) pairs --
+    a table bounded by the document's distinct font sizes, not its rows --
+    and is joined back.  No window ever spans a document's rows.  (NaN
+    sizes form one group here; Python would count a change between every
+    two NaN rows.)"""
+    groups = headings.groupBy(key, "relative_font_size", "font_weight").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(key).orderBy(F.col("relative_font_size").desc(), F.col("font_weight").desc())
     style_r = RD.py_round1("relative_font_size")
     prev_r, prev_w = F.lag(style_r).over(w), F.lag("font_weight").over(w)
-    same = (style_r.eqNullSafe(prev_r)) & (F.col("font_weight") == prev_w)
+    same = style_r.eqNullSafe(prev_r) & (F.col("font_weight") == prev_w)
     changed = F.when(prev_w.isNull(), 0).when(same, 0).otherwise(1)
-    step = headings.withColumn("_chg", changed)
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lvl = (F.sum("_chg").over(run) + 1).cast("int")
+    levels = groups.withColumn("_chg", changed).withColumn("_lvl", (F.sum("_chg").over(run) + 1).cast("int")) \
+        .select(key, "relative_font_size", "font_weight", "_lvl")
+    out = headings.join(levels, [key, "relative_font_size", "font_weight"], "left")
+    lvl = F.col("_lvl")
     label = F.when(lvl <= MAX_HEADING_LEVEL, F.concat(F.lit("H"), lvl.cast("string"))).otherwise(F.lit(OTHER_HEADING))
-    out = step.withColumn("heading_level", F.when(F.col("category") == "Title", "H1").otherwise(label))
-    return out.drop("_chg")
+    return out.withColumn("heading_level", F.when(F.col("category") == "Title", "H1").otherwise(label)).drop("_lvl")
 
 
 def class_stats(df: DataFrame, label: str = "is_heading") -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 # (numpy linspace rule: start + i * step, last value exactly the stop).
 SWEEP_START, SWEEP_STOP, SWEEP_NUM = 0.1, 0.9, 81
 DEFAULT_THRESHOLD = 0.5
-AUC_BUCKETS = 4096
+AUC_BUCKETS = 65536   # monotone score buckets of the two-level prefix sum
 
 
 def sweep_thresholds(start: float = SWEEP_START, stop: float = SWEEP_STOP, num: int = SWEEP_NUM) -> list[float]:
