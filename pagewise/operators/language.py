@@ -92,15 +92,37 @@ def detect_language(texts: DataFrame, profiles: DataFrame, key: str = "doc_id",
     profiles = cut_lineage(profiles)
     prof = _maybe_broadcast(profiles.select("lang", "gram", F.col("rank").alias("lrank")))
     doc = text_profiles(texts, key, text_col, top, max_n)
+    # texts sharing no n-gram with any profile get the smallest language
+    # name (a single scalar read from the checkpointed profiles)
+    return _detect_from_profiles(texts, doc, prof, profiles, key, text_col, top)
+
+
+def profile_and_detect(corpus: DataFrame, key: str = "doc_id", lang_col: str = "lang", text_col: str = "text",
+                       top: int = PROFILE_SIZE, max_n: int = MAX_N) -> tuple[DataFrame, DataFrame]:
+    """Learn profiles from the labelled rows of ``corpus`` and detect the
+    language of every row, counting each text's words once: the (key, lang,
+    word, cnt) table feeds both the language profiles and the text profiles
+    and is materialised once."""
+    from pagewise.session import materialize
+    wc = _word_counts(corpus.select(key, lang_col, text_col), key, text_col)
+    langs = corpus.select(key, F.col(lang_col).alias("lang"))
+    wc = materialize(wc.join(langs, key))
+    by_lang = wc.where(F.col("lang").isNotNull()).groupBy("lang", "word").agg(F.sum("cnt").alias("cnt"))
+    profiles = _top_ranked(_gram_counts(by_lang, "lang", max_n), "lang", top)
+    from pagewise.session import cut_lineage
+    profiles = cut_lineage(profiles)
+    prof = _maybe_broadcast(profiles.select("lang", "gram", F.col("rank").alias("lrank")))
+    doc = _top_ranked(_gram_counts(wc.select(key, "word", "cnt").repartition(key), key, max_n), key, top)
+    return profiles, _detect_from_profiles(corpus, doc, prof, profiles, key, text_col, top)
+
+
+def _detect_from_profiles(texts, doc, prof, profiles, key, text_col, top):
     scores = doc.join(prof, "gram").groupBy(key, "lang").agg(
         F.sum(F.lit(top) - F.abs(F.col("rank") - F.col("lrank"))).alias("score"))
     best = scores.groupBy(key).agg(F.min_by("lang", F.struct((-F.col("score")).alias("s"), F.col("lang"))).alias("best"))
-    fallback = profiles.agg(F.min("lang").alias("fallback"))
     has_letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     out = texts.select(key, has_letters.alias("_letters")).join(best, key, "left")
-    # A single scalar (the smallest language name) for texts sharing no
-    # n-gram with any profile.
-    fb = fallback.first()["fallback"]
+    fb = profiles.agg(F.min("lang").alias("fallback")).first()["fallback"]
     lang = F.when(~F.col("_letters"), F.lit(UNKNOWN)).otherwise(F.coalesce(F.col("best"), F.lit(fb or UNKNOWN)))
     return out.select(key, lang.alias("language"))
 

@@ -366,8 +366,7 @@ def q_language_profiles(spark, sf_dir):
 
 @register("detect_language")
 def q_detect_language(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    return LG.detect_language(docs, LG.language_profiles(docs))
+    return LG.profile_and_detect(documents(spark, sf_dir))[1]
 
 
 # ----------------------------------------------------------- sources/plans
