@@ -185,19 +185,66 @@ def _doc_fold_sql(arr: str, tol: float, max_level: int) -> str:
     return f"aggregate({arr}, {init}, (st_, ch_) -> {step}, st_ -> st_)"
 
 
+def _block_fold_sql(arr: str, tol: float) -> str:
+    """Fold of a run of page summaries (a page block) over an unknown stack
+    below the block.  Each page anchor is resolved against the block's
+    symbolic stack (entries (a, d, s) relative to *block* anchors, whose
+    ids are block-relative heading positions) or becomes a block anchor;
+    then the page's final stack is pushed, re-expressed relative to block
+    anchors.  The result has the shape of a page summary (``unr``,
+    ``stack``, ``cnt``) plus ``map`` (page anchor -> block anchor, offset)
+    and ``off`` (page offsets inside the block)."""
+    t = repr(float(tol))
+    m = _match_sql("s2_.S", "u_.c", t)
+    e = "element_at(s2_.S, k_)"
+    uc = f"IF(s2_.first AND k_ = size(s2_.S), {m['child']('u_.c', e + '.s')}, NOT {m['sib']('u_.c', e + '.s')})"
+    empty_s = "cast(array() as array<struct<a:int,d:int,s:double>>)"
+    becomes_anchor = (f"named_struct('S', {empty_s}, "
+                      f"'mp', concat(s2_.mp, array(named_struct('p', u_.p, 'a', st_.cnt + u_.p, 'd', 0))), "
+                      f"'un', concat(s2_.un, array(named_struct('p', st_.cnt + u_.p, 'c', u_.c))), 'first', false)")
+    resolved = (f"aggregate(array({uc}), s3_, (s4_, uc_) -> named_struct("
+                f"'S', IF(uc_, slice(s2_.S, 1, k_), slice(s2_.S, 1, k_ - 1)), "
+                f"'mp', concat(s2_.mp, array(named_struct('p', u_.p, 'a', {e}.a, 'd', {e}.d + IF(uc_, 1, 0)))), "
+                f"'un', s2_.un, 'first', false))")
+    resolve = (f"aggregate(ch_.unr, named_struct('S', st_.stack, 'mp', cast(array() as array<struct<p:int,a:int,d:int>>), "
+               f"'un', cast(array() as array<struct<p:int,c:double>>), 'first', true), "
+               f"(s2_, u_) -> aggregate(array({m['k']}), s2_, (s3_, k_) -> IF(k_ = 0, {becomes_anchor}, {resolved})))")
+    look = "element_at(filter(r_.mp, x_ -> x_.p = e_.a), 1)"
+    push = f"transform(ch_.fstack, e_ -> named_struct('a', {look}.a, 'd', {look}.d + e_.d, 's', e_.s))"
+    init = (f"named_struct('stack', {empty_s}, "
+            f"'map', cast(array() as array<struct<pg:int,p:int,a:int,d:int>>), "
+            f"'unr', cast(array() as array<struct<p:int,c:double>>), "
+            f"'off', cast(array() as array<struct<pg:int,o:int>>), 'cnt', 0)")
+    step = (f"aggregate(array({resolve}), st_, (st2_, r_) -> named_struct("
+            f"'stack', concat(r_.S, {push}), "
+            f"'map', concat(st_.map, transform(r_.mp, x_ -> named_struct('pg', ch_.pg, 'p', x_.p, 'a', x_.a, 'd', x_.d))), "
+            f"'unr', concat(st_.unr, r_.un), "
+            f"'off', concat(st_.off, array(named_struct('pg', ch_.pg, 'o', st_.cnt))), "
+            f"'cnt', st_.cnt + ch_.n))")
+    return f"aggregate({arr}, {init}, (st_, ch_) -> {step}, st_ -> st_)"
+
+
+# Pages per block in the two-level outline fold.
+PAGES_PER_BLOCK = 1024
+
+
 def outline_levels_by_page(headings: DataFrame, key: str = "doc_id", rel_col: str = "relative_font_size",
                            page_col: str = "page_num", order_cols=("norm_y", "block_no"), carry=(),
-                           tol: float = LEVEL_TOLERANCE, max_level: int = MAX_LEVEL) -> DataFrame:
+                           tol: float = LEVEL_TOLERANCE, max_level: int = MAX_LEVEL,
+                           pages_per_block: int = PAGES_PER_BLOCK) -> DataFrame:
     """Same result as ``outline_levels`` (reading order = page, then
     ``order_cols``), computed without gathering a document's headings:
 
     1. per (doc, page): the page's headings are folded over an unknown
        stack below the page -> per heading an (anchor, offset) pair, plus a
-       page summary (anchors with their sizes, final local stack);
-    2. per doc: a sequential fold over the page *summaries* only (their size
-       is bounded by the stack depth, itself bounded by the spread of
-       relative sizes over the tolerance, plus the page's anchors);
-    3. levels = min(level(anchor) + offset, max), seq = page offset + rank.
+       page summary (anchors with their sizes, final local stack, whose
+       depth is bounded by the spread of relative sizes over the tolerance);
+    2. per (doc, page block of ``pages_per_block`` pages): the page
+       summaries are folded the same way into a block summary and a map
+       page anchor -> (block anchor, offset);
+    3. per doc: a sequential fold over the *block* summaries only;
+    4. level = min(level(block anchor) + block offset + page offset, max),
+       seq = block offset + page offset + rank on the page.
     """
     fields = [F.col(c).alias(f"o{i}") for i, c in enumerate(order_cols)]
     payload = [F.col(rel_col).cast("double").alias("rel")] + [F.col(c) for c in carry]
@@ -206,21 +253,27 @@ def outline_levels_by_page(headings: DataFrame, key: str = "doc_id", rel_col: st
     pages = pages.withColumn("pf", F.expr(_page_fold_sql("hs", tol, max_level)))
     per_heading = pages.select(key, "pg", F.posexplode(F.arrays_zip(F.col("hs").alias("h"),
                                                                     F.col("pf.out").alias("r"))).alias("pos", "z"))
-    summaries = pages.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(
+    blk = F.floor(F.col("pg") / pages_per_block).cast("int")
+    blocks = pages.groupBy(key, blk.alias("bk")).agg(F.array_sort(F.collect_list(F.struct(
         F.col("pg"), F.size("hs").alias("n"), F.col("pf.unr").alias("unr"), F.col("pf.stack").alias("fstack"))))
-        .alias("chunks"))
+        .alias("pages"))
+    blocks = blocks.withColumn("bf", F.expr(_block_fold_sql("pages", tol)))
+    page_map = blocks.select(key, "bk", "bf.off", F.explode("bf.map").alias("x")).select(
+        key, F.col("x.pg").alias("pg"), F.col("x.p").alias("a"), F.col("x.a").alias("ba"), F.col("x.d").alias("bd"),
+        F.element_at(F.filter("off", lambda o: o["pg"] == F.col("x.pg")), 1)["o"].alias("poff"))
+    summaries = blocks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(
+        F.col("bk").alias("pg"), F.col("bf.cnt").alias("n"), F.col("bf.unr").alias("unr"),
+        F.col("bf.stack").alias("fstack")))).alias("chunks"))
     docs = summaries.select(key, F.expr(_doc_fold_sql("chunks", tol, max_level)).alias("df"))
-    # one row per anchor with its level and its page's offset (one consumer
-    # of the document fold)
     anchors = docs.select(key, "df.off", F.explode("df.L").alias("x")).select(
-        key, F.col("x.pg").alias("pg"), F.col("x.p").alias("a"), F.col("x.l").alias("la"),
-        F.element_at(F.filter("off", lambda o: o["pg"] == F.col("x.pg")), 1)["o"].alias("off"))
-    rows = per_heading.select(key, "pg", (F.col("pos") + 1).alias("p"), F.col("z.h").alias("h"),
+        key, F.col("x.pg").alias("bk"), F.col("x.p").alias("ba"), F.col("x.l").alias("la"),
+        F.element_at(F.filter("off", lambda o: o["pg"] == F.col("x.pg")), 1)["o"].alias("boff"))
+    rows = per_heading.select(key, "pg", blk.alias("bk"), (F.col("pos") + 1).alias("p"), F.col("z.h").alias("h"),
                               F.col("z.r.a").alias("a"), F.col("z.r.d").alias("d"))
-    rows = rows.join(anchors, [key, "pg", "a"])
-    lvl = F.least(F.col("la") + F.col("d"), F.lit(max_level)).cast("int")
+    rows = rows.join(page_map, [key, "pg", "a"]).join(anchors, [key, "bk", "ba"])
+    lvl = F.least(F.col("la") + F.col("bd") + F.col("d"), F.lit(max_level)).cast("int")
     out = rows.select(
-        key, (F.col("off") + F.col("p")).cast("int").alias("seq"), F.col("pg").alias(page_col),
+        key, (F.col("boff") + F.col("poff") + F.col("p")).cast("int").alias("seq"), F.col("pg").alias(page_col),
         *[F.col("h")[f"o{i}"].alias(c) for i, c in enumerate(order_cols)],
         F.col("h.rel").alias(rel_col), *[F.col("h")[c].alias(c) for c in carry], lvl.alias("level_num"))
     return out.withColumn("level", F.concat(F.lit("H"), F.col("level_num").cast("string")))

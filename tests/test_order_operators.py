@@ -54,7 +54,8 @@ def test_outline_fold_matches_python(spark):
     df = spark.createDataFrame(rows, "doc_id long, page_num int, norm_y double, block_no int, "
                                      "relative_font_size double, text string")
     for impl in (lambda x: O.outline_levels(x, carry=("text",)),
-                 lambda x: O.outline_levels_by_page(x, carry=("text",))):
+                 lambda x: O.outline_levels_by_page(x, carry=("text",)),
+                 lambda x: O.outline_levels_by_page(x, carry=("text",), pages_per_block=2)):
         got = {}
         for r in impl(df).collect():
             got.setdefault(r["doc_id"], {})[r["seq"]] = (r["level_num"], r["text"])
