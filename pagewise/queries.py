@@ -7,8 +7,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import functions as F
+
+from pagewise.operators import blocks as B
+from pagewise.operators import features as FE
+from pagewise.operators import labels as L
+from pagewise.operators import language as LG
+from pagewise.operators import metrics as M
+from pagewise.operators import ml as ML
+from pagewise.operators import outline as O
+from pagewise.operators import rules as R
+from pagewise.operators import sampling as S
+from pagewise.plans import compare as PC
+from pagewise.plans import datasets as PD
 from pagewise.plans import outlines as PO
+from pagewise.plans import training as PT
+from pagewise.session import cut_lineage
+from pagewise.sources import coco as CO
 from pagewise.sources import fixtures as FX
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,13 +51,6 @@ def q_extract_outlines(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ blocks
-from pyspark.sql import functions as F  # noqa: E402
-
-from pagewise.functions.text import py_strip  # noqa: E402
-from pagewise.operators import blocks as B  # noqa: E402
-from pagewise.operators import features as FE  # noqa: E402
-from pagewise.operators import outline as O  # noqa: E402
-from pagewise.operators import rules as R  # noqa: E402
 
 
 def block_feats(spark, sf_dir):
@@ -163,8 +171,6 @@ def q_block_profile(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- labelling
-from pagewise.operators import labels as L  # noqa: E402
-from pagewise.plans import datasets as PD  # noqa: E402
 
 
 def coco(spark, sf_dir):
@@ -251,8 +257,6 @@ def q_build_heading_dataset(spark, sf_dir):
 
 
 # --------------------------------------------------------------- evaluation
-from pagewise.operators import metrics as M  # noqa: E402
-from pagewise.operators import sampling as S  # noqa: E402
 
 
 def scored_probs(spark, sf_dir):
@@ -356,7 +360,6 @@ def q_outline_missing(spark, sf_dir):
 
 
 # ----------------------------------------------------------------- language
-from pagewise.operators import language as LG  # noqa: E402
 
 
 @register("language_profiles")
@@ -370,8 +373,6 @@ def q_detect_language(spark, sf_dir):
 
 
 # ----------------------------------------------------------- sources/plans
-from pagewise.plans import compare as PC  # noqa: E402
-from pagewise.sources import coco as CO  # noqa: E402
 
 
 @register("clean_cells")
@@ -401,9 +402,6 @@ def q_compare_outlines(spark, sf_dir):
 
 
 # ----------------------------------------------------------- ML (rows only)
-from pagewise.operators import ml as ML  # noqa: E402
-from pagewise.plans import training as PT  # noqa: E402
-from pagewise.session import cut_lineage  # noqa: E402
 
 # Tree counts of the registered (check-sized) runs; early stopping applies.
 CHECK_TRAIN = ML.TrainConfig(max_iter=8, final_max_iter=16, parallelism=4)

@@ -1,7 +1,6 @@
 """Containment join, label priority and heading levels vs brute force."""
 import random
 
-from pagewise.functions.rounding import py_round1  # noqa: F401  (used through the operator)
 from pagewise.operators import labels as L
 
 

@@ -1,10 +1,8 @@
 """Order-dependent operators against plain-Python loops on random input."""
-import math
 import random
 
 from pyspark.sql import functions as F
 
-from pagewise.functions.text import font_weight as fw_col
 from pagewise.operators import blocks as B
 from pagewise.operators import outline as O
 
