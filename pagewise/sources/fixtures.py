@@ -10,6 +10,13 @@ Derivation (fixed values of the fixture, shared with the SQL oracle): each
 text line gets a ``kind`` = (7 doc_id + 13 line_no) mod 10, where 0-2 are
 headings (0 title-like, 1 numbered, 2 plain), 3 a decoy that the rule
 filters should remove, 4-9 body text.  Every 12th line is a running header.
+
+The modulo expressions here are *structure rules* of the synthetic layout
+(which line is a heading, which page lacks a size, which document has no
+produced outline, ...), never filters that shrink the work: every line of
+every document becomes a layout row.  Heading lines are made short (their
+first few words) because headings are short; body lines keep their whole
+text, and every operator downstream processes whole texts.
 """
 
 from __future__ import annotations
