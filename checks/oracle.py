@@ -522,7 +522,7 @@ cte("lang_best", ("lang_profiles", "doc_profiles"), """select doc_id, lang from
   select d.doc_id, l.lang, sum(300 - abs(d.rank - l.rank)) as score from doc_profiles d join lang_profiles l using (gram)
   group by d.doc_id, l.lang)) where rn = 1""")
 
-q("language_profiles", ("lang_profiles",), "select * from lang_profiles")
+q("language_profiles", ("lang_profiles",), "select lang, gram, cast(rank as int) as rank from lang_profiles")
 q("detect_language", ("lang_best", "lang_profiles"), """select d.doc_id, case when not coalesce(regexp_matches(d.text, '\\p{L}'), false) then 'unknown'
  else coalesce(b.lang, (select min(lang) from lang_profiles), 'unknown') end as language
  from documents d left join lang_best b using (doc_id)""")
