@@ -82,9 +82,11 @@ def materialize(df, how: str | None = None):
     ``how`` (default: the session setting ``pagewise.materialize``, else
     ``checkpoint``): ``checkpoint`` writes it once to the shared checkpoint
     folder and cuts the lineage (survives executor loss without going back
-    to the sources); ``persist`` caches it on the executors (memory, then
-    disk; recomputed from lineage if an executor is lost); ``none`` leaves
-    the plan as is."""
+    to the sources; the files are removed once unreferenced when
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on);
+    ``persist`` caches it on the executors (memory, then disk; recomputed
+    from lineage if an executor is lost; stays cached until the caller
+    unpersists it); ``none`` leaves the plan as is."""
     from pyspark import StorageLevel
     mode = how or df.sparkSession.conf.get("pagewise.materialize", "checkpoint")
     if mode == "checkpoint":
