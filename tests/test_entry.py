@@ -1,5 +1,6 @@
 """Driver contract: entry, registered queries and oracle SQL."""
 import duckdb
+import pytest
 
 import __spark_entry__ as E
 from checks.compare import TABLES, table_hash
@@ -30,13 +31,10 @@ def parity(spark, name):
     assert table_hash(sdf.columns, [tuple(r) for r in sdf.collect()])[0] == table_hash(cols, res.fetchall())[0]
 
 
-def test_parity_flagship_small(spark):
-    parity(spark, "extract_outlines")
-
-
-def test_parity_labelling_small(spark):
-    parity(spark, "build_cell_dataset")
-    parity(spark, "build_heading_dataset")
+@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+def test_parity_small(spark, name):
+    """Every query with an oracle equals its DuckDB SQL at sf0.001."""
+    parity(spark, name)
 
 
 def test_language_accuracy(spark):
