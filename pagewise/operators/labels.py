@@ -57,12 +57,13 @@ def _bands(lo, hi, band: float):
     return F.sequence(F.floor(lo / band).cast("bigint"), F.floor(hi / band).cast("bigint"))
 
 
-def center_inside_join(inner: DataFrame, outer: DataFrame, page: str = "image_id",
+def center_inside_join(inner: DataFrame, outer: DataFrame, page="image_id",
                        inner_box=("x", "y", "w", "h"), outer_box=("ax", "ay", "aw", "ah"),
                        band: float = BAND) -> DataFrame:
     """Pairs (inner row, outer row) of the same page where the inner box's
     centre lies in the outer box, edges inclusive.  Boxes are [x, y, w, h]
-    columns; rows with a null coordinate never match."""
+    columns; rows with a null coordinate never match.  ``page`` is the page
+    key: a column name or a list of them."""
     ix, iy, iw, ih = inner_box
     ox, oy, ow, oh = outer_box
     cy = F.col(iy) + F.col(ih) / 2.0
@@ -71,21 +72,46 @@ def center_inside_join(inner: DataFrame, outer: DataFrame, page: str = "image_id
     ok = (F.col(ox).isNotNull() & F.col(oy).isNotNull() & F.col(ow).isNotNull() & F.col(oh).isNotNull()
           & ~F.isnan(F.col(oy)) & ~F.isnan(F.col(oh)) & (F.col(oh) >= 0))
     outer_b = outer.where(ok).withColumn("_band", F.explode(_bands(F.col(oy), F.col(oy) + F.col(oh), band)))
-    joined = inner_b.join(outer_b, on=[page, "_band"], how="inner")
+    keys = [page] if isinstance(page, str) else list(page)
+    joined = inner_b.join(outer_b, on=[*keys, "_band"], how="inner")
     return joined.where(G.center_inside(ix, iy, iw, ih, ox, oy, ow, oh)).drop("_band")
 
 
-def label_cells(images: DataFrame, cells: DataFrame, annotations: DataFrame, categories: DataFrame) -> DataFrame:
+def page_key_columns(split_key: bool) -> list[str]:
+    """Join key between pages and annotations: ``image_id`` alone
+    (annotations of equal ids in two splits apply to both, as a lookup keyed
+    by id does), or (split, image_id)."""
+    return ["split", "image_id"] if split_key else ["image_id"]
+
+
+def _record_key(pc: DataFrame) -> list[str]:
+    """Identity of one page record: its id, its split when known, and its
+    file stem -- two records sharing an id are still two pages."""
+    return ["image_id"] + (["split"] if "split" in pc.columns else []) + ["page_key"]
+
+
+def _boxes(annotations: DataFrame, categories: DataFrame, page: list[str], keep, extra=()) -> DataFrame:
+    """Annotation boxes renamed for the containment join; an annotation's
+    own split is kept as ``ann_split`` when it is not part of the key."""
+    named = annotated_boxes(annotations, categories, keep=keep)
+    cols = [*page, *extra, F.col("name"), F.col("x").alias("ax"), F.col("y").alias("ay"),
+            F.col("w").alias("aw"), F.col("h").alias("ah")]
+    if "split" in annotations.columns and "split" not in page:
+        cols.append(F.col("split").alias("ann_split"))
+    return named.select(*cols)
+
+
+def label_cells(images: DataFrame, cells: DataFrame, annotations: DataFrame, categories: DataFrame,
+                split_key: bool = False) -> DataFrame:
     """Per cell the highest category among the boxes containing its centre
     (Title > Section-header > Text); cells in no box are dropped.  One hash
     aggregate per cell with map-side combine."""
+    page = page_key_columns(split_key)
     pc = join_pages_cells(images, cells)
-    boxes = annotated_boxes(annotations, categories).select(
-        "image_id", F.col("name"), F.col("x").alias("ax"), F.col("y").alias("ay"),
-        F.col("w").alias("aw"), F.col("h").alias("ah"))
+    boxes = _boxes(annotations, categories, page, tuple(CATEGORY_PRIORITY))
     prio = F.create_map(*[x for k, v in CATEGORY_PRIORITY.items() for x in (F.lit(k), F.lit(v))])
-    pairs = center_inside_join(pc, boxes).withColumn("prio", prio[F.col("name")])
-    keys = ["image_id", "cell_no"]
+    pairs = center_inside_join(pc, boxes, page=page).withColumn("prio", prio[F.col("name")])
+    keys = [*_record_key(pc), "cell_no"]
     carry = [c for c in pc.columns if c not in keys]
     best = pairs.groupBy(*keys).agg(F.max("prio").alias("prio"), *[F.first(c).alias(c) for c in carry])
     inv = F.create_map(*[x for k, v in CATEGORY_PRIORITY.items() for x in (F.lit(v), F.lit(k))])
@@ -129,19 +155,21 @@ def cell_features(labeled: DataFrame) -> DataFrame:
     )
 
 
-def region_text(images: DataFrame, cells: DataFrame, annotations: DataFrame, categories: DataFrame) -> DataFrame:
+def region_text(images: DataFrame, cells: DataFrame, annotations: DataFrame, categories: DataFrame,
+                split_key: bool = False) -> DataFrame:
     """One row per heading annotation: the contained cells sorted by x only
     (ties in cell order), stripped and joined by a space; mean cell size;
     weight of the leftmost cell; the annotation's own box.  Annotations
     containing no cell or only blank text are dropped."""
+    page = page_key_columns(split_key)
     pc = join_pages_cells(images, cells)
-    boxes = annotated_boxes(annotations, categories, keep=HEADING_CATEGORIES).select(
-        "image_id", "ann_id", F.col("name").alias("category"), F.col("x").alias("ax"), F.col("y").alias("ay"),
-        F.col("w").alias("aw"), F.col("h").alias("ah"))
-    pairs = center_inside_join(pc, boxes)
+    boxes = _boxes(annotations, categories, page, HEADING_CATEGORIES, extra=("ann_id",)) \
+        .withColumnRenamed("name", "category")
+    pairs = center_inside_join(pc, boxes, page=page)
+    region_key = [*_record_key(pc), *(["ann_split"] if "ann_split" in boxes.columns else []), "ann_id"]
     parts = F.array_sort(F.collect_list(F.struct(F.col("x").alias("k1"), F.col("cell_no").alias("k2"),
                                                  T.py_strip("text").alias("t"), F.col("font_name").alias("f"))))
-    agg = pairs.groupBy("image_id", "ann_id").agg(
+    agg = pairs.groupBy(*region_key).agg(
         parts.alias("parts"), F.avg("font_size").alias("font_size"),
         F.first("category").alias("category"), F.first("doc_name").alias("doc_name"),
         F.first("page_no").alias("page_no"), F.first("page_width").alias("page_width"),

@@ -22,11 +22,12 @@ CELL_COLUMNS = ["doc_name", "page_no", "original_category", "is_heading", "bbox"
 
 
 def build_cell_dataset(images: DataFrame, annotations: DataFrame, categories: DataFrame,
-                       cells: DataFrame, keep_ids: bool = False, materialize_cells: str | None = None) -> DataFrame:
+                       cells: DataFrame, keep_ids: bool = False, materialize_cells: str | None = None,
+                       split_key: bool = False) -> DataFrame:
     """The labelled cell features are read twice (body-size aggregate and
     the join back), so they are materialised once (``pagewise.materialize``
     unless ``materialize_cells`` says otherwise)."""
-    labeled = L.drop_noise_cells(L.label_cells(images, cells, annotations, categories))
+    labeled = L.drop_noise_cells(L.label_cells(images, cells, annotations, categories, split_key=split_key))
     feats = L.cell_features(labeled)
     if materialize_cells != "none":
         feats = materialize(feats, materialize_cells)
@@ -38,8 +39,9 @@ def build_cell_dataset(images: DataFrame, annotations: DataFrame, categories: Da
 
 
 def build_heading_dataset(images: DataFrame, annotations: DataFrame, categories: DataFrame,
-                          cells: DataFrame, materialize_regions: str | None = None) -> DataFrame:
-    regions = L.region_text(images, cells, annotations, categories)
+                          cells: DataFrame, materialize_regions: str | None = None,
+                          split_key: bool = False) -> DataFrame:
+    regions = L.region_text(images, cells, annotations, categories, split_key=split_key)
     if materialize_regions != "none":
         regions = materialize(regions, materialize_regions)
     body = FE.body_font_size(regions, key="doc_name", min_words=FE.TRAIN_BODY_MIN_WORDS)

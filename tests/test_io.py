@@ -113,3 +113,26 @@ def test_model_roundtrip(spark, scratch):
     a = [r["probability"] for r in ML.score(model, prepared).collect()]
     b = [r["probability"] for r in ML.score(loaded, prepared).collect()]
     assert a == pytest.approx(b)
+
+
+def test_split_collisions_option(spark, scratch):
+    from pagewise.operators import labels as L
+    # the same image id in two splits, with different annotations
+    write_json(f"{scratch}/COCO/train.json", {
+        "images": [{"id": 1, "file_name": "PNG/a.png", "doc_name": "d", "page_no": 1}],
+        "annotations": [{"id": 1, "image_id": 1, "category_id": 1, "bbox": [0, 0, 100, 100]}],
+        "categories": [{"id": 1, "name": "Title"}, {"id": 2, "name": "Text"}]})
+    write_json(f"{scratch}/COCO/val.json", {
+        "images": [{"id": 1, "file_name": "PNG/b.png", "doc_name": "e", "page_no": 1}],
+        "annotations": [{"id": 1, "image_id": 1, "category_id": 2, "bbox": [0, 0, 100, 100]}],
+        "categories": []})
+    write_json(f"{scratch}/COCO/test.json", {"images": [], "annotations": [], "categories": []})
+    for stem in ("a", "b"):
+        write_json(f"{scratch}/JSON/{stem}.json", {"cells": [{"bbox": [10, 10, 20, 20], "text": "Some words",
+                                                              "font": {"size": 10, "name": "Times"}}]})
+    images, anns, cats = CO.read_coco(spark, f"{scratch}/COCO")
+    cells = CO.clean_cells(CO.read_cells(spark, f"{scratch}/JSON"))
+    mixed = {r["doc_name"]: r["original_category"] for r in L.label_cells(images, cells, anns, cats).collect()}
+    apart = {r["doc_name"]: r["original_category"] for r in L.label_cells(images, cells, anns, cats, split_key=True).collect()}
+    assert mixed == {"d": "Title", "e": "Title"}
+    assert apart == {"d": "Title", "e": "Text"}
