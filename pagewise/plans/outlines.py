@@ -78,6 +78,9 @@ def extract_outlines(lines: DataFrame, scorer: Callable[[DataFrame], DataFrame]
         # headings only: the fold and the title read them in several branches
         cands = materialize(cands, materialize_blocks)
     leveled = outline_entries(cands, key)
+    if materialize_blocks != "none":
+        # the levelled headings feed both the titles and the entries
+        leveled = materialize(leveled, materialize_blocks)
     return flat_outline(blocks.select(key).distinct(), leveled, key)
 
 
