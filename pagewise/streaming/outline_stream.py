@@ -32,7 +32,7 @@ def outline_batch(batch: DataFrame, batch_id: int, out_dir: str) -> None:
     nested outlines (one JSON line per document)."""
     lines = B.spans_to_lines(batch)
     docs = batch.select("doc_id").distinct()
-    status, flat = PO.corpus_outlines(docs, lines, materialize_blocks="persist")
+    status, flat = PO.corpus_outlines(docs, lines)
     outlines = PO.nested_outline(flat)
     status = status.select("doc_id", "status", "error", "n_headings")
     (outlines.join(status, "doc_id", "right").withColumn("batch_id", F.lit(batch_id))
