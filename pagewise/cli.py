@@ -109,8 +109,10 @@ def cmd_compare(spark, args):
                               ed.withColumnsRenamed(ren), ad.withColumnsRenamed(ren))
     res["per_doc"].orderBy("doc_id").show(truncate=False)
     res["average"].show(truncate=False)
-    for r in res["missing"].collect():
-        print(f"skipped {r['doc_id']}: actual output missing")
+    n_missing = res["missing"].count()
+    if n_missing:
+        print(f"skipped {n_missing} documents without actual output, e.g.:")
+        res["missing"].show(20, truncate=False)
     if args.out:
         res["per_doc"].write.mode("overwrite").json(args.out)
 
