@@ -231,7 +231,7 @@ PAGES_PER_BLOCK = 1024
 def outline_levels_by_page(headings: DataFrame, key: str = "doc_id", rel_col: str = "relative_font_size",
                            page_col: str = "page_num", order_cols=("norm_y", "block_no"), carry=(),
                            tol: float = LEVEL_TOLERANCE, max_level: int = MAX_LEVEL,
-                           pages_per_block: int = PAGES_PER_BLOCK) -> DataFrame:
+                           pages_per_block: int = PAGES_PER_BLOCK, materialize_pages: str | None = None) -> DataFrame:
     """Same result as ``outline_levels`` (reading order = page, then
     ``order_cols``), computed without gathering a document's headings:
 
@@ -251,6 +251,9 @@ def outline_levels_by_page(headings: DataFrame, key: str = "doc_id", rel_col: st
     pages = headings.groupBy(key, F.col(page_col).cast("int").alias("pg")).agg(
         F.array_sort(F.collect_list(F.struct(*fields, *payload))).alias("hs"))
     pages = pages.withColumn("pf", F.expr(_page_fold_sql("hs", tol, max_level)))
+    if materialize_pages:
+        from pagewise.session import materialize
+        pages = materialize(pages, materialize_pages)
     per_heading = pages.select(key, "pg", F.posexplode(F.arrays_zip(F.col("hs").alias("h"),
                                                                     F.col("pf.out").alias("r"))).alias("pos", "z"))
     blk = F.floor(F.col("pg") / pages_per_block).cast("int")
