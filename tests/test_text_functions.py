@@ -71,3 +71,9 @@ def test_coerce_numeric(spark):
     from pagewise.operators.features import coerce_numeric
     df = spark.createDataFrame([("12.5",), ("abc",), ("",), (None,), ("7",), ("NaN",)], "v string")
     assert [r[0] for r in coerce_numeric(df, ["v"]).collect()] == [12.5, 0.0, 0.0, 0.0, 7.0, 0.0]
+
+
+def test_coerce_numeric_doubles(spark):
+    from pagewise.operators.features import coerce_numeric
+    df = spark.createDataFrame([(1.5,), (float("nan"),), (None,), (float("inf"),)], "v double")
+    assert [r[0] for r in coerce_numeric(df, ["v"]).collect()] == [1.5, 0.0, 0.0, float("inf")]
