@@ -9,7 +9,9 @@ tests, the bench and local runs.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -51,20 +53,36 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is.  Only when it is unset (local tests) do we pick a scratch folder.
+    as is; without it this raises, because a machine-local folder would not
+    be seen by the other machines.  Only a ``local[...]`` master (tests) gets
+    a scratch folder of its own.
     """
     sc = spark.sparkContext
     existing = sc.getCheckpointDir()
     if existing:
         return existing
     conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
-    if conf_dir:
-        sc.setCheckpointDir(conf_dir)
-        return conf_dir
-    # Unset: only happens in local tests, never on a cluster.
-    local_dir = tempfile.mkdtemp(prefix="pagewise-ckpt-", dir="/tmp")
-    sc.setCheckpointDir(local_dir)
-    return local_dir
+    if not conf_dir:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        conf_dir = tempfile.mkdtemp(prefix="pagewise-ckpt-", dir="/tmp")
+    sc.setCheckpointDir(conf_dir)
+    return conf_dir
+
+
+def stage(df, partition_by: list[str] | None = None):
+    """Write ``df`` once as parquet into the shared checkpoint folder and
+    return a DataFrame that reads it back.
+
+    Columnar, so later branches prune columns and push filters; committed
+    files survive a lost executor; the lineage ends here."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    writer = df.write.mode("overwrite")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def cut_lineage(df):
