@@ -1,3 +1,27 @@
 """DuckDB SQL for the training-data queries that SQL can express."""
 
 ORACLES: dict[str, str] = {}
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Every window of every item against every window of every document.
+ORACLES["op6_decontaminate"] = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid,
+                  regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws
+      FROM benchmark WHERE item_id IS NOT NULL),
+i AS (SELECT item, ws, least(len(ws), 10) AS n FROM b WHERE len(ws) > 0),
+iw AS (SELECT DISTINCT item, n, array_to_string(ws[k:k + n - 1], ' ') AS w
+       FROM (SELECT item, n, ws, unnest(range(1, len(ws) - n + 2)) AS k FROM i)),
+spans AS (SELECT DISTINCT n FROM i),
+dw AS (SELECT rid, n, k, array_to_string(ws[k:k + n - 1], ' ') AS w
+       FROM (SELECT rid, n, ws, unnest(range(1, len(ws) - n + 2)) AS k FROM d, spans WHERE len(ws) >= n)),
+h AS (SELECT rid, dw.n, k, item FROM dw JOIN iw ON dw.n = iw.n AND dw.w = iw.w),
+hit AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(k, k + n)) AS p FROM h) GROUP BY rid),
+its AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s
+        FROM (SELECT DISTINCT rid, item FROM h) GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(s, '')) AS items_sha256,
+       n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid)
+"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagewise.llm import preference, sharding
+from pagewise.llm import preference, sharding, winnowing
 from pagewise.llm.common import table
 
 
@@ -14,4 +14,8 @@ def op2_preference_pairs(spark, sf_dir):
     return preference.preference_rows(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_shard_rows, op2_preference_pairs)}
+def op6_decontaminate(spark, sf_dir):
+    return winnowing.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_shard_rows, op2_preference_pairs, op6_decontaminate)}
