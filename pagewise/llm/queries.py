@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagewise.llm import preference, sharding, winnowing
+from pagewise.llm import jaccard_trie, preference, sharding, winnowing
 from pagewise.llm.common import table
 
 
@@ -14,8 +14,12 @@ def op2_preference_pairs(spark, sf_dir):
     return preference.preference_rows(table(spark, sf_dir, "conversations"))
 
 
+def op3_jaccard_join(spark, sf_dir):
+    return jaccard_trie.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark, sf_dir):
     return winnowing.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_shard_rows, op2_preference_pairs, op6_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_shard_rows, op2_preference_pairs, op3_jaccard_join, op6_decontaminate)}
