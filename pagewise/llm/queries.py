@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagewise.llm import jaccard_trie, preference, sharding, winnowing
+from pagewise.llm import jaccard_trie, pieces, piecewise, preference, sharding, winnowing
 from pagewise.llm.common import table
 
 
@@ -22,4 +22,13 @@ def op6_decontaminate(spark, sf_dir):
     return winnowing.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_shard_rows, op2_preference_pairs, op3_jaccard_join, op6_decontaminate)}
+def op8_piecewise_hash(spark, sf_dir):
+    return piecewise.neighbour_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op9_encode_decode(spark, sf_dir):
+    return pieces.round_trips(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_shard_rows, op2_preference_pairs, op3_jaccard_join, op6_decontaminate,
+                                op8_piecewise_hash, op9_encode_decode)}

@@ -47,8 +47,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return up[:n], down[:n]
 
 
-def pieces(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets) of runs of rows of about PIECE bytes; nulls
+def pieces(column: pa.Array, size: int = PIECE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets) of runs of rows of about ``size`` bytes; nulls
     count as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -64,7 +64,7 @@ def pieces(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
     row = 0
     while row < n:
-        stop = max(row + 1, int(np.searchsorted(at, at[row] + PIECE, side="right")) - 1)
+        stop = max(row + 1, int(np.searchsorted(at, at[row] + size, side="right")) - 1)
         stop = min(stop, n)
         yield row, data[at[row]:at[stop]], at[row:stop + 1] - at[row]
         row = stop
