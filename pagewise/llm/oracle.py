@@ -25,3 +25,27 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BI
        n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid)
 """
+
+#: Counts of all words and pairs, less each document's own.
+ORACLES["op4_backoff_scores"] = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
+                  regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+t AS (SELECT rid, ws[k] AS w, CASE WHEN k > 1 THEN ws[k - 1] END AS v
+      FROM (SELECT rid, ws, unnest(range(1, len(ws) + 1)) AS k FROM d)),
+c1 AS (SELECT w, count(*) AS n FROM t GROUP BY w), o1 AS (SELECT rid, w, count(*) AS n FROM t GROUP BY rid, w),
+c2 AS (SELECT v, w, count(*) AS n FROM t WHERE v IS NOT NULL GROUP BY v, w),
+o2 AS (SELECT rid, v, w, count(*) AS n FROM t WHERE v IS NOT NULL GROUP BY rid, v, w),
+x AS (SELECT t.rid, t.v, c1.n - o1.n AS cw, cv.n - ov.n AS cv, c2.n - o2.n AS cp
+      FROM t JOIN c1 USING (w) JOIN o1 ON o1.rid = t.rid AND o1.w = t.w
+      LEFT JOIN c1 cv ON cv.w = t.v LEFT JOIN o1 ov ON ov.rid = t.rid AND ov.w = t.v
+      LEFT JOIN c2 ON c2.v = t.v AND c2.w = t.w LEFT JOIN o2 ON o2.rid = t.rid AND o2.v = t.v AND o2.w = t.w),
+s AS (SELECT rid, sum(CASE WHEN v IS NOT NULL AND NOT coalesce(cp, 0) > 0 THEN 1 ELSE 0 END) AS n_backed,
+             sum(CASE WHEN coalesce(cp, 0) > 0 THEN ln(cp) - ln(cv)
+                      ELSE (CASE WHEN cw > 0 THEN ln(cw) ELSE ln(0.4) END) + (CASE WHEN v IS NULL THEN 0 ELSE ln(0.4) END)
+                           - ln(greatest((SELECT count(*) FROM t) - len(ws), 1)) END) AS score
+      FROM x JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_tokens, CAST(coalesce(n_backed, 0) AS BIGINT) AS n_backed,
+       round(coalesce(score, 0.0), 4) AS log_score,
+       CASE WHEN len(ws) > 0 THEN round(score / len(ws), 6) ELSE 0.0 END AS mean_log
+FROM d LEFT JOIN s USING (rid)
+"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagewise.llm import jaccard_trie, pieces, piecewise, preference, sharding, winnowing
+from pagewise.llm import backoff, jaccard_trie, main_text, pieces, piecewise, preference, sharding, url_templates, winnowing
 from pagewise.llm.common import table
 
 
@@ -18,6 +18,14 @@ def op3_jaccard_join(spark, sf_dir):
     return jaccard_trie.jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+def op4_backoff_scores(spark, sf_dir):
+    return backoff.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op5_main_text(spark, sf_dir):
+    return main_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_decontaminate(spark, sf_dir):
     return winnowing.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -30,5 +38,9 @@ def op9_encode_decode(spark, sf_dir):
     return pieces.round_trips(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_shard_rows, op2_preference_pairs, op3_jaccard_join, op6_decontaminate,
-                                op8_piecewise_hash, op9_encode_decode)}
+def op10_url_verdicts(spark, sf_dir):
+    return url_templates.url_verdicts(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_shard_rows, op2_preference_pairs, op3_jaccard_join, op4_backoff_scores, op5_main_text, op6_decontaminate,
+                                op8_piecewise_hash, op9_encode_decode, op10_url_verdicts)}
