@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagewise.llm import backoff, jaccard_trie, main_text, pieces, piecewise, preference, sharding, url_templates, winnowing
+from pagewise.llm import backoff, jaccard_trie, main_text, pieces, piecewise, preference, sharding, toxicity, url_templates, winnowing
 from pagewise.llm.common import table
 
 
@@ -30,6 +30,11 @@ def op6_decontaminate(spark, sf_dir):
     return winnowing.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_piecewise_hash(spark, sf_dir):
     return piecewise.neighbour_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -43,4 +48,4 @@ def op10_url_verdicts(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_shard_rows, op2_preference_pairs, op3_jaccard_join, op4_backoff_scores, op5_main_text, op6_decontaminate,
-                                op8_piecewise_hash, op9_encode_decode, op10_url_verdicts)}
+                                op7_toxicity, op8_piecewise_hash, op9_encode_decode, op10_url_verdicts)}

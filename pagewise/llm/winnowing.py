@@ -77,19 +77,34 @@ def benchmark_windows(benchmark: DataFrame, span: int = SPAN) -> DataFrame:
             .withColumn("span", F.least(F.size("words"), F.lit(span))))
 
 
+def text_key(text: Column) -> Column:
+    """MD5 of a text (null: of the empty one)."""
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): n_words, n_hit (words
     inside any occurrence of an item's window), n_items, items_sha256 (the ids
-    sorted as strings, comma-joined) and contaminated.
+    sorted as strings, comma-joined) and contaminated."""
+    return keyed_contamination(docs, benchmark, span).drop("key")
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, span: int = SPAN) -> DataFrame:
+    """The rows of ``docs`` without a hit, unchanged."""
+    hit = stage(keyed_contamination(docs, benchmark, span).where("contaminated").select("key").distinct())
+    return docs.join(_small(hit), text_key(docs["text"]) == hit["key"], "left_anti")
+
+
+def keyed_contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN) -> DataFrame:
+    """``contamination`` with the text's key.
 
     Equal texts are compared once.  Null texts have no words; repeated rows
     are kept; an empty benchmark leaves every document clean.
     """
     items = stage(benchmark_windows(benchmark, span))
     spans = sorted(r["span"] for r in items.select("span").distinct().collect())  # at most ``span`` numbers
-    text = F.coalesce(F.col("text"), F.lit(""))
     empty = F.array().cast("array<bigint>")
-    sheet = docs.select("doc_id", F.md5(text.cast("binary")).alias("key"), words(F.col("text")).alias("words"))
+    sheet = docs.select("doc_id", text_key(F.col("text")).alias("key"), words(F.col("text")).alias("words"))
     sheet = stage(sheet.select("doc_id", "key", F.size("words").cast("long").alias("n_words"),
                                (F.concat(*[fingerprints(F.col("words"), s) for s in spans]) if spans else empty)
                                .alias("fps")))
@@ -101,7 +116,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN) -> Da
                   .groupBy("key").agg(F.collect_set("fp").alias("fps")))
 
     # texts with a joined fingerprint, each once, extended around its places
-    texts = (docs.select(F.md5(text.cast("binary")).alias("key"), "text").join(_small(found.select("key")), "key", "left_semi")
+    texts = (docs.select(text_key(F.col("text")).alias("key"), "text").join(_small(found.select("key")), "key", "left_semi")
              .groupBy("key").agg(F.first("text").alias("text")).join(found, "key")
              .select("key", "fps", words(F.col("text")).alias("words")))
     near = []
@@ -114,7 +129,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN) -> Da
         known = known.groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("items"))
         near[-1] = near[-1].join(_small(stage(known)), "window").drop("window")
     if not near:
-        return sheet.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"),
+        return sheet.select("doc_id", "key", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"),
                             F.sha2(F.lit(""), 256).alias("items_sha256"), F.lit(False).alias("contaminated"))
     hits = near[0]
     for more in near[1:]:
@@ -125,7 +140,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN) -> Da
     per_text = (hits.select("key", F.explode("items").alias("item")).distinct().groupBy("key")
                 .agg(F.sort_array(F.collect_list("item")).alias("items")).join(n_hit, "key"))
     return (sheet.drop("fps").join(per_text, "key", "left")
-            .select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+            .select("doc_id", "key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
                     F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
                     F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")).cast("binary"), 256).alias("items_sha256"),
                     F.col("n_hit").isNotNull().alias("contaminated")))
