@@ -23,8 +23,8 @@ from pagewise.llm import words
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Bits of the filter in front of the sorted keys; lattice cells worked on at once.
-FILTER_BITS, CELLS = 20, 400_000
-PIECE = 1 << 22
+FILTER_BITS, CELLS = 20, 200_000
+PIECE = 1 << 20
 
 
 class Vocabulary:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +14,7 @@ NOT_SPACE = np.ones(256, dtype=bool)
 NOT_SPACE[[9, 10, 11, 12, 13, 32]] = False
 
 #: Bytes of text that are worked on at once (a longer text is a piece of its own).
-PIECE = 1 << 20
+PIECE = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -30,21 +29,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(_BASE, -1, 1 << 64)
-
-    def run(base):
-        out = np.full(n, base, dtype=np.uint64)
-        out[0] = 1
-        return np.cumprod(out, dtype=np.uint64)
-
-    return run(_BASE), run(inverse)
+_held = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = _powers(max(1 << 16, 1 << (n - 1).bit_length()))
-    return up[:n], down[:n]
+    """The first n powers of the base and of its inverse; the longest tables
+    asked for are kept."""
+    if len(_held[0]) < n:
+        n_kept = -(-n // (1 << 16)) << 16
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            run = np.full(n_kept, base, dtype=np.uint64)
+            run[0] = 1
+            _held[i] = np.cumprod(run, dtype=np.uint64)
+    return _held[0][:n], _held[1][:n]
 
 
 def pieces(column: pa.Array, size: int = PIECE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
