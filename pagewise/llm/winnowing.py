@@ -119,6 +119,7 @@ def keyed_contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN)
     texts = (docs.select(text_key(F.col("text")).alias("key"), "text").join(_small(found.select("key")), "key", "left_semi")
              .groupBy("key").agg(F.first("text").alias("text")).join(found, "key")
              .select("key", "fps", words(F.col("text")).alias("words")))
+    texts = stage(texts)  # else the optimizer would cut a text into words anew for every window
     near = []
     for s in spans:
         starts = _starts_near(F.col("words"), F.col("fps"), s)
