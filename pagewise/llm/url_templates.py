@@ -67,7 +67,7 @@ def template_purity(pages: DataFrame) -> DataFrame:
     stats = paths.groupBy("host", "template").agg(F.sum("n").alias("tn"), F.sum("b").alias("tb"))
     stats = stage(stats)
     b, n = stats.agg(F.sum("tb"), F.sum("tn")).first()
-    prior = (b or 0) / max(n or 0, 1)
+    prior = min((b or 0) / max(n or 0, 1), THRESHOLD)  # a template without labelled pages is not blocked
     stats = stats.select("host", "template", ((F.col("tb") + WEIGHT * prior) / (F.col("tn") + WEIGHT)).alias("purity"))
     return paths.select("host", "segs", "template").join(stats, ["host", "template"])
 
