@@ -121,7 +121,7 @@ cte("layout_words", ("layout",), """select * exclude (i, w), i-1 as span_no, w a
 cte("spans", ("layout_words",), """select doc_id, page_num, line_no, cast(span_no as int) as span_no, case when span_no%6=5 then ' ' else word || ' ' end as text,
  size + cast(case when span_no%2=1 then 0.2 else 0 end as double) as size, case when span_no%5=4 then 'Times-Bold' else font end as font,
  x0, y0, x0+width as x1, y0+height as y1, page_width, page_height, case when doc_id%50=49 and line_no%4=3 then 1 else 0 end as block_type
-from layout_words where span_no < 12""")
+from layout_words""")
 
 # ------------------------------------------------------- blocks & features
 cte("line_starts", ("layout_lines",), f"""select *, case
@@ -523,8 +523,7 @@ cte("lang_best", ("lang_profiles", "doc_profiles"), """select doc_id, lang from
   group by d.doc_id, l.lang)) where rn = 1""")
 
 q("language_profiles", ("lang_profiles",), "select lang, gram, cast(rank as int) as rank from lang_profiles")
-q("detect_language", ("lang_best", "lang_profiles"), """select d.doc_id, case when not coalesce(regexp_matches(d.text, '\\p{L}'), false) then 'unknown'
- else coalesce(b.lang, (select min(lang) from lang_profiles), 'unknown') end as language
+q("detect_language", ("lang_best",), """select d.doc_id, coalesce(b.lang, 'unknown') as language
  from documents d left join lang_best b using (doc_id)""")
 
 # ----------------------------------------------------------- sources/plans
@@ -553,7 +552,6 @@ cte("cell_lang_best", ("lang_profiles", "cell_profiles"), """select cell_id, lan
  select cell_id, lang, row_number() over (partition by cell_id order by score desc, lang) as rn from (
   select d.cell_id, l.lang, sum(300 - abs(d.rank - l.rank)) as score from cell_profiles d join lang_profiles l using (gram)
   group by d.cell_id, l.lang)) where rn = 1""")
-q("augment_language", ("cell_texts", "cell_lang_best", "lang_profiles"), """select c.image_id, c.cell_no, c.text,
- case when not coalesce(regexp_matches(c.text, '\\p{L}'), false) then 'unknown'
- else coalesce(b.lang, (select min(lang) from lang_profiles), 'unknown') end as language
+q("augment_language", ("cell_texts", "cell_lang_best"), """select c.image_id, c.cell_no, c.text,
+ coalesce(b.lang, 'unknown') as language
  from cell_texts c left join cell_lang_best b using (cell_id)""")

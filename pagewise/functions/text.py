@@ -122,3 +122,10 @@ def file_stem(col) -> Column:
 
 def is_blank(col) -> Column:
     return F.length(py_strip(col)) == 0
+
+
+def to_number(t: Column) -> Column:
+    """A numeric string as a double, else null.  Spark's cast also takes Java's
+    type suffixes (``1d``, ``2f``), which are no numbers here."""
+    t = F.trim(t)
+    return F.when(~t.rlike(r"[0-9.][dDfF]\z"), t.try_cast("double"))

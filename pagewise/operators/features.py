@@ -75,8 +75,7 @@ def coerce_numeric(df: DataFrame, cols) -> DataFrame:
     """Non-numeric values and NaN become 0 (numeric strings are parsed)."""
     out = df
     for c in cols:
-        v = F.expr(f"try_cast(trim(cast(`{c}` as string)) as double)") if dict(df.dtypes)[c] == "string" \
-            else F.col(c).cast("double")
+        v = T.to_number(F.col(c)) if dict(df.dtypes)[c] == "string" else F.col(c).cast("double")
         out = out.withColumn(c, F.coalesce(F.nanvl(v, F.lit(0.0)), F.lit(0.0)))
     return out
 

@@ -11,8 +11,8 @@ the smallest out-of-place distance (Cavnar & Trenkle, 1994) wins:
                           (top - |rank_doc - rank_lang|)
 
 so the argmin is the argmax of the shared-n-gram score and only the equi
-join on n-gram is needed.  Ties go to the smallest language name; texts
-without letters are 'unknown'.
+join on n-gram is needed.  Ties go to the smallest language name; texts that
+share no n-gram with any profile (no letters, another script) are 'unknown'.
 
 Scale: words are counted first (map-side partial aggregation), n-grams are
 generated once per distinct (text, word) with code-generated regex
@@ -37,12 +37,12 @@ UNKNOWN = "unknown"
 BROADCAST_MAX_LANGUAGES = 1000
 
 
-def _word_counts(df: DataFrame, key: str, text_col: str) -> DataFrame:
-    """(key, word, cnt): lower-cased words, every run of non-letters is a
-    break.  Map-side partial aggregation collapses repeated words."""
+def _word_counts(df: DataFrame, key: str, text_col: str, *keep: str) -> DataFrame:
+    """(key, *keep, word, cnt): lower-cased words, every run of non-letters is
+    a break.  Map-side partial aggregation collapses repeated words."""
     letters = F.regexp_replace(F.lower(F.col(text_col)), r"[^\p{L}]+", " ")
-    words = df.select(key, F.explode(F.split(letters, " ")).alias("word")).where(F.length("word") > 0)
-    return words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("cnt"))
+    words = df.select(key, *keep, F.explode(F.split(letters, " ")).alias("word")).where(F.length("word") > 0)
+    return words.groupBy(key, *keep, "word").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def _gram_counts(word_counts: DataFrame, key: str, max_n: int) -> DataFrame:
@@ -92,9 +92,7 @@ def detect_language(texts: DataFrame, profiles: DataFrame, key: str = "doc_id",
     profiles = cut_lineage(profiles)
     prof = _maybe_broadcast(profiles.select("lang", "gram", F.col("rank").alias("lrank")))
     doc = text_profiles(texts, key, text_col, top, max_n)
-    # texts sharing no n-gram with any profile get the smallest language
-    # name (a single scalar read from the checkpointed profiles)
-    return _detect_from_profiles(texts, doc, prof, profiles, key, text_col, top)
+    return _detect_from_profiles(texts, doc, prof, key, top)
 
 
 def profile_and_detect(corpus: DataFrame, key: str = "doc_id", lang_col: str = "lang", text_col: str = "text",
@@ -104,27 +102,21 @@ def profile_and_detect(corpus: DataFrame, key: str = "doc_id", lang_col: str = "
     word, cnt) table feeds both the language profiles and the text profiles
     and is materialised once."""
     from pagewise.session import materialize
-    wc = _word_counts(corpus.select(key, lang_col, text_col), key, text_col)
-    langs = corpus.select(key, F.col(lang_col).alias("lang"))
-    wc = materialize(wc.join(langs, key))
+    wc = materialize(_word_counts(corpus.select(key, F.col(lang_col).alias("lang"), text_col), key, text_col, "lang"))
     by_lang = wc.where(F.col("lang").isNotNull()).groupBy("lang", "word").agg(F.sum("cnt").alias("cnt"))
     profiles = _top_ranked(_gram_counts(by_lang, "lang", max_n), "lang", top)
     from pagewise.session import cut_lineage
     profiles = cut_lineage(profiles)
     prof = _maybe_broadcast(profiles.select("lang", "gram", F.col("rank").alias("lrank")))
     doc = _top_ranked(_gram_counts(wc.select(key, "word", "cnt").repartition(key), key, max_n), key, top)
-    return profiles, _detect_from_profiles(corpus, doc, prof, profiles, key, text_col, top)
+    return profiles, _detect_from_profiles(corpus, doc, prof, key, top)
 
 
-def _detect_from_profiles(texts, doc, prof, profiles, key, text_col, top):
+def _detect_from_profiles(texts, doc, prof, key, top):
     scores = doc.join(prof, "gram").groupBy(key, "lang").agg(
         F.sum(F.lit(top) - F.abs(F.col("rank") - F.col("lrank"))).alias("score"))
     best = scores.groupBy(key).agg(F.min_by("lang", F.struct((-F.col("score")).alias("s"), F.col("lang"))).alias("best"))
-    has_letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    out = texts.select(key, has_letters.alias("_letters")).join(best, key, "left")
-    fb = profiles.agg(F.min("lang").alias("fallback")).first()["fallback"]
-    lang = F.when(~F.col("_letters"), F.lit(UNKNOWN)).otherwise(F.coalesce(F.col("best"), F.lit(fb or UNKNOWN)))
-    return out.select(key, lang.alias("language"))
+    return texts.select(key).join(best, key, "left").select(key, F.coalesce("best", F.lit(UNKNOWN)).alias("language"))
 
 
 def augment_language(df: DataFrame, profiles: DataFrame, key: str, text_col: str = "text",

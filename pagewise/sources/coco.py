@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagewise.functions.text import file_stem
+from pagewise.functions.text import file_stem, to_number
 
 COCO_SCHEMA = T.StructType([
     T.StructField("images", T.ArrayType(T.StructType([
@@ -81,12 +81,12 @@ def clean_cells(raw: DataFrame, require_box: bool = True) -> DataFrame:
     numbers are dropped (``require_box``) or kept with null coordinates;
     missing text -> '', size -> 0, font name -> ''."""
     nums = F.transform(F.coalesce(F.col("bbox").cast("array<string>"), F.array().cast("array<string>")),
-                       lambda v: F.trim(v).try_cast("double"))
+                       to_number)
     d = raw.withColumn("_b", nums)
     valid = (F.size("_b") == 4) & F.forall("_b", lambda v: v.isNotNull())
     if require_box:
         d = d.where(valid)
     box = [F.when(valid, F.col("_b")[i]).alias(n) for i, n in enumerate(("x", "y", "w", "h"))]
-    size = F.coalesce(F.col("font.size").cast("string").try_cast("double"), F.lit(0.0))
+    size = F.coalesce(to_number(F.col("font.size").cast("string")), F.lit(0.0))
     return d.select("page_key", "cell_no", *box, F.coalesce("text", F.lit("")).alias("text"),
                     size.alias("font_size"), F.coalesce(F.col("font.name"), F.lit("")).alias("font_name"))

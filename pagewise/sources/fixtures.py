@@ -13,10 +13,10 @@ filters should remove, 4-9 body text.  Every 12th line is a running header.
 
 The modulo expressions here are *structure rules* of the synthetic layout
 (which line is a heading, which page lacks a size, which document has no
-produced outline, ...), never filters that shrink the work: every line of
-every document becomes a layout row.  Heading lines are made short (their
-first few words) because headings are short; body lines keep their whole
-text, and every operator downstream processes whole texts.
+produced outline, ...): every line of every document becomes a layout row.
+Body lines keep their whole text.  Heading lines keep only their first few
+words, and decoys and running headers replace their line's text, so the
+layout does not hold every word of the documents.
 """
 
 from __future__ import annotations
@@ -214,12 +214,11 @@ def actual_outline(documents: DataFrame) -> DataFrame:
 
 
 def spans(documents: DataFrame) -> DataFrame:
-    """Parsed-PDF-like spans: each layout line split into words (at most 12
-    spans per line), with blank spans, mixed fonts and sizes, and a few
+    """Parsed-PDF-like spans: each layout line split into words, a span
+    each, with blank spans, mixed fonts and sizes, and a few
     non-text blocks (block_type 1)."""
     lay = layout(documents)
     words = lay.select("*", F.posexplode(F.split(F.col("text"), " ", -1)).alias("span_no", "word"))
-    words = words.where(F.col("span_no") < 12)
     sn = F.col("span_no")
     return words.select(
         "doc_id", "page_num", "line_no", sn.cast("int").alias("span_no"),

@@ -64,7 +64,7 @@ def test_outline_roundtrip(spark, scratch):
     assert got[2]["outline"] == []
     text = open([os.path.join(f"{scratch}/out", f) for f in os.listdir(f"{scratch}/out") if f.endswith(".json")][0],
                 encoding="utf-8").read()
-    assert "Détails" in text or "Titre" in text or text == ""
+    assert "Titre" in text or '"outline":[]' in text
 
 
 def test_read_outlines_defaults(spark, scratch):

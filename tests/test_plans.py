@@ -21,10 +21,12 @@ def test_score_corpus_reports_bad_documents(spark):
 
 def test_language_fallbacks(spark):
     corpus = spark.createDataFrame([(1, "en", "the cat and the dog are here"), (2, "de", "der hund und die katze sind hier"),
-                                    (3, None, "1234 !!! 5678"), (4, None, "the dogs and cats"), (5, None, None)],
+                                    (3, None, "1234 !!! 5678"), (4, None, "the dogs and cats"), (5, None, None),
+                                    (6, None, "Это русский текст"), (7, None, "这是中文")],
                                    "doc_id long, lang string, text string")
     profiles, det = LG.profile_and_detect(corpus)
     got = {r["doc_id"]: r["language"] for r in det.collect()}
+    assert got[6] == got[7] == "unknown"
     assert got[3] == "unknown" and got[5] == "unknown" and got[4] == "en"
     assert got[1] == "en" and got[2] == "de"
     alone = {r["doc_id"]: r["language"] for r in LG.detect_language(corpus, profiles).collect()}

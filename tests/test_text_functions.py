@@ -77,3 +77,12 @@ def test_coerce_numeric_doubles(spark):
     from pagewise.operators.features import coerce_numeric
     df = spark.createDataFrame([(1.5,), (float("nan"),), (None,), (float("inf"),)], "v double")
     assert [r[0] for r in coerce_numeric(df, ["v"]).collect()] == [1.5, 0.0, 0.0, float("inf")]
+
+
+def test_no_java_suffixes(spark):
+    from pagewise.operators.features import FEATURES, coerce_numeric
+    from pagewise.operators.ml import prepare
+    df = spark.createDataFrame([("1d",), ("2f",), (" 3.5 ",), ("1e2",), ("x",)], "v string")
+    assert [r[0] for r in coerce_numeric(df, ["v"]).collect()] == [0.0, 0.0, 3.5, 100.0, 0.0]
+    feats = df.selectExpr(*[f"v as {c}" for c in FEATURES], "1 as is_heading")
+    assert [r[0] for r in prepare(feats).select(FEATURES[0]).collect()] == [0.0, 0.0, 3.5, 100.0, 0.0]
