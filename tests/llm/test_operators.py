@@ -125,6 +125,35 @@ def test_jaccard_join(spark, docs, nothing, monkeypatch, block):
         assert kept.columns == docs.columns and sorted(r[0] or 0 for r in rows(kept)) == [0, 1, 2, 3, 5, 6, 7, 9]
 
 
+def test_keys_cut_by_ranges(spark):
+    hot = [(7, i) for i in range(100, 700)]
+    rare = [(k, 1000 + k // 2) for k in range(20, 60)] + [(k, 2000 + k) for k in range(20, 60, 3)] + [(3, 5), (3, 5)]
+    keys = spark.createDataFrame(hot + rare, "key long, rep long").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the hot key spans ranges
+    try:
+        found = rows(jaccard_trie.sharing(keys))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    nodes = {r for _, r in hot + rare}
+    groups = {}
+    for k, r in hot + rare:
+        groups.setdefault(k, []).append(r)
+
+    def merged(edges):
+        low = {n: n for n in nodes}
+        changed = True
+        while changed:
+            changed = False
+            for a, b in edges:
+                if low[a] != low[b]:
+                    low[a] = low[b] = min(low[a], low[b])
+                    changed = True
+        return low
+    assert all(a != b for a, b in found) and len(found) == len(set(found))
+    assert merged(found) == merged([(g[0], r) for g in groups.values() for r in g])
+    assert rows(jaccard_trie.sharing(keys.where("false"))) == []
+
+
 def duck(sql, **tables):
     con = duckdb.connect()
     for name, df in tables.items():
