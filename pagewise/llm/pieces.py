@@ -24,7 +24,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Bits of the filter in front of the sorted keys; lattice cells worked on at once.
 FILTER_BITS, CELLS = 20, 200_000
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 class Vocabulary:
