@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewise.llm import (backoff, jaccard_trie, main_text, pieces, piecewise, preference, sharding, toxicity,
-                          url_templates, winnowing)
+                          url_templates, winnowing, words)
 from pagewise.llm.oracle import ORACLES
 from pagewise.llm.queries import QUERIES
 
@@ -125,6 +125,68 @@ def test_jaccard_join(spark, docs, nothing, monkeypatch, block):
         assert kept.columns == docs.columns and sorted(r[0] or 0 for r in rows(kept)) == [0, 1, 2, 3, 5, 6, 7, 9]
 
 
+def near_dup_rows():
+    """Copies between the bounds: a changed block of 8% of the shingles, scattered edits, and unlike texts."""
+    rng = np.random.default_rng(9)
+    out = []
+    for i in range(6):
+        w = [f"u{i}_{k}" for k in range(200)]
+        block, several = list(w), list(w)
+        block[100:100 + int(rng.integers(4, 12))] = ["new"] * 3
+        several[20], several[120] = "x", "y"
+        out += [(300 + 10 * i, " ".join(w)), (301 + 10 * i, " ".join(block)), (302 + 10 * i, " ".join(several[:190]))]
+    return out + [(400, "a b c d"), (401, "a b c d"), (402, "a b c e"), (403, "a b c d e f"), (404, None)]
+
+
+def stage_shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(tuple(w[k:k + 5]) for k in range(len(w) - 4)) if len(w) > 4 else frozenset([tuple(w)] if w else [])
+
+
+def stage_components(pairs):
+    """Of five-word shingles with a Jaccard of 0.8 or more, the pipeline stage's bound."""
+    sets = [(i, stage_shingles(t)) for i, t in pairs]
+    low = {i: i for i, _ in sets}
+    links = [(i, j) for i, a in sets for j, b in sets if a and b and 10 * len(a & b) >= 8 * len(a | b)]
+    for _ in sets:
+        for i, j in links:
+            low[i] = low[j] = min(low[i], low[j])
+    return low
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_near_duplicate_stage_takes_five_words_and_four_fifths(spark, monkeypatch, block):
+    import corpus_pipeline
+    monkeypatch.setattr(jaccard_trie, "BLOCK_SETS", block)
+    monkeypatch.setattr(jaccard_trie, "HUB_BLOCKS", 2 if block == 3 else 128)
+    pairs = near_dup_rows() + near_copies()
+    low = stage_components(pairs)
+    table = spark.createDataFrame(pairs, "doc_id long, text string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, table, SF)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i in low if low[i] == i)
+    assert low != brute_components(pairs)  # pairs that lie between the two bounds
+
+
+@pytest.mark.parametrize("bound", [jaccard_trie.JOIN, jaccard_trie.CORPUS, jaccard_trie.Bound(4, 1, 2)])
+def test_linked_sets_share_a_key(bound):
+    rng = np.random.default_rng(3)
+    linked = 0
+    for _ in range(1500):
+        a = np.unique(words.mix(rng.integers(0, 1 << 62, int(rng.integers(2, 200)))))
+        other = words.mix(rng.integers(0, 1 << 62, int(rng.integers(0, len(a) // 4 + 2))))
+        b = np.unique(np.concatenate([rng.permutation(a)[int(rng.integers(0, len(a) // 4 + 2)):], other]))
+        over = len(np.intersect1d(a, b))
+        if over and bound.den * over >= bound.num * (len(a) + len(b) - over) and not np.array_equal(a, b):
+            linked += 1
+            assert len(np.intersect1d(jaccard_trie.run_keys(a, bound), jaccard_trie.run_keys(b, bound)))
+    assert linked > 50
+
+
+def test_keys_of_a_long_set_stay_few():
+    h = np.unique(words.mix(np.arange(20_000, dtype=np.uint64)))
+    assert len(jaccard_trie.run_keys(h, jaccard_trie.CORPUS)) < len(h)
+
+
 def test_keys_cut_by_ranges(spark):
     hot = [(7, i) for i in range(100, 700)]
     rare = [(k, 1000 + k // 2) for k in range(20, 60)] + [(k, 2000 + k) for k in range(20, 60, 3)] + [(3, 5), (3, 5)]
