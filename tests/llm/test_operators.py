@@ -167,6 +167,21 @@ def test_near_duplicate_stage_takes_five_words_and_four_fifths(spark, monkeypatc
     assert low != brute_components(pairs)  # pairs that lie between the two bounds
 
 
+@pytest.mark.parametrize("parts", [1, 8])
+def test_repeated_ids_with_other_texts(spark, parts):
+    text = lambda k: " ".join(f"t{k}_{i}" for i in range(60))
+    pairs = [(3, text(0)), (7, text(0)), (7, text(1)), (8, text(1)), (7, text(0) + " end"), (7, None), (7, " "), (None, text(0))]
+    pairs += [(9, text(100 + i)) for i in range(20)] + [(9, text(100)), (9, None), (2, text(119)), (5, text(200)), (5, text(200))]
+    table = spark.createDataFrame([(*p, "x") for p in pairs], "doc_id long, text string, _hash string").repartition(parts)
+    kept = jaccard_trie.one_of_each(table)
+    want = [(3, text(0)), (7, text(1)), (7, None), (7, " "), (None, text(0)), (9, None), (2, text(119)), (5, text(200))]
+    want += [(9, text(100 + i)) for i in range(19)]
+    assert kept.columns == table.columns and order([r[:2] for r in rows(kept)]) == order(want)
+    got = rows(jaccard_trie.jaccard_classes(table))
+    assert order([(i, c) for i, _, c in got]) == order(
+        [(3, 3), (7, 3), (7, 7), (8, 7), (7, 3), (7, 7), (7, 7), (None, None), (9, 9), (9, 9), (2, 2), (9, 2), (5, 5), (5, 5)] + [(9, 9)] * 19)
+
+
 @pytest.mark.parametrize("bound", [jaccard_trie.JOIN, jaccard_trie.CORPUS, jaccard_trie.Bound(4, 1, 2)])
 def test_linked_sets_share_a_key(bound):
     rng = np.random.default_rng(3)
