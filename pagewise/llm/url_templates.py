@@ -1,15 +1,18 @@
 """URL verdicts: given rules first, then a path-template tree.
 
-Per host the path segments form a tree.  Segments of a variable kind (numbers,
-long hex, anything with many siblings) become wildcards.  Labelled pages (those
-that a rule decides) are counted at every node; siblings whose blocked share
-does not differ significantly from their parent's are merged into one branch.
+Per host the path segments form a tree, as deep as the paths go.  Segments of a
+variable kind (numbers, long hex) become wildcards.  Labelled pages (those that
+a rule decides) are counted at every node; siblings, however many, whose blocked
+share does not differ significantly from their parent's are merged into one
+branch.
 A page without a rule is blocked when the smoothed blocked share of its
 template exceeds THRESHOLD.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,9 +21,8 @@ from pagewise.llm.common import lower_ascii, stage
 #: (host, path, verdict)
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
          ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-#: Path segments in the tree (the rest is one), siblings before a wildcard,
-#: deviations that make a branch its own, pages of prior weight.
-LEVELS, SIBLINGS, DEVIATIONS, WEIGHT, THRESHOLD = 4, 32, 2.0, 4.0, 0.5
+#: Deviations that make a branch its own, pages of prior weight.
+DEVIATIONS, WEIGHT, THRESHOLD = 2.0, 4.0, 0.5
 NUMBER, HEX = r"^[0-9]+(\.[a-z]+)?$", r"^[0-9a-f-]{8,}$"
 
 
@@ -42,28 +44,38 @@ def matched_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 
 
 def _segments(path: Column) -> Column:
-    """LEVELS segments, variable kinds as wildcards; '' pads a short path."""
-    parts = F.split(F.substr(path, F.lit(2)), "/", LEVELS)
+    """All segments, variable kinds as wildcards."""
     kind = lambda s: F.when(s.rlike(NUMBER), "{n}").when(s.rlike(HEX), "{x}").otherwise(s)
-    return F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda i: kind(F.coalesce(F.get(parts, i), F.lit(""))))
+    return F.transform(F.split(F.substr(path, F.lit(2)), "/", -1), kind)
 
 
 def template_purity(pages: DataFrame) -> DataFrame:
     """``pages`` (host, segs, blocked: true, false or null) to one row per
-    (host, segs): its template and the template's smoothed blocked share."""
+    (host, segs): its template and the template's smoothed blocked share.
+
+    A node whose labelled pages are all alike, or with no path that goes on,
+    is a template: no branch below it can differ.  Others are split by their
+    next segment, '' after a path's end, until no node is left.
+    """
     paths = pages.groupBy("host", "segs").agg(F.count("blocked").alias("n"), F.coalesce(F.sum(F.col("blocked").cast("long")), F.lit(0)).alias("b"))
-    paths = paths.withColumn("template", F.lit(""))
-    for level in range(LEVELS):
-        paths = stage(paths.withColumn("seg", F.col("segs")[level]))
-        at = ["host", "template"]
-        child = paths.groupBy(*at, "seg").agg(F.sum("n").alias("cn"), F.sum("b").alias("cb"))
-        parent = child.groupBy(*at).agg(F.count("*").alias("siblings"), F.sum("cn").alias("pn"), F.sum("cb").alias("pb"))
-        share = F.col("pb") / F.greatest(F.col("pn"), F.lit(1))
-        far = (F.abs(F.col("cb") - F.col("cn") * share)
-               > DEVIATIONS * F.sqrt(F.col("cn") * share * (1 - share) + 0.25)) & (F.col("siblings") <= SIBLINGS)
-        branch = child.join(parent, at).select(*at, "seg", F.when(far, F.col("seg")).otherwise("*").alias("branch"))
-        paths = (paths.join(branch, [*at, "seg"]).withColumn("template", F.concat("template", F.lit("/"), "branch"))
-                 .drop("seg", "branch"))
+    paths, at, level, done = stage(paths.withColumn("template", F.lit(""))), ["host", "template"], 0, []
+    while not done or not paths.isEmpty():
+        nodes = paths.groupBy(*at).agg(F.sum("n").alias("pn"), F.sum("b").alias("pb"), F.max(F.size("segs")).alias("deep"))
+        paths = stage(paths.join(nodes, at))
+        goes_on = F.col("deep") > level
+        splits = goes_on & (F.col("pb") > 0) & (F.col("pb") < F.col("pn"))
+        ended = paths.where(~splits)
+        if not done or not ended.isEmpty():
+            done.append(ended.select("host", "segs", "n", "b", F.concat("template", F.when(goes_on, "/*").otherwise("")).alias("template")))
+        paths = paths.where(splits).withColumn("seg", F.coalesce(F.get("segs", F.lit(level)), F.lit("")))
+        share = F.col("pb") / F.col("pn")
+        far = (F.abs(F.col("cb") - F.col("cn") * share) > DEVIATIONS * F.sqrt(F.col("cn") * share * (1 - share) + 0.25))
+        branch = (paths.groupBy(*at, "seg", "pn", "pb").agg(F.sum("n").alias("cn"), F.sum("b").alias("cb"))
+                  .select(*at, "seg", F.when(far, F.col("seg")).otherwise("*").alias("branch")))
+        paths = stage(paths.join(branch, [*at, "seg"])
+                      .select("host", "segs", "n", "b", F.concat("template", F.lit("/"), "branch").alias("template")))
+        level += 1
+    paths = reduce(DataFrame.union, done)
     stats = paths.groupBy("host", "template").agg(F.sum("n").alias("tn"), F.sum("b").alias("tb"))
     stats = stage(stats)
     b, n = stats.agg(F.sum("tb"), F.sum("tn")).first()

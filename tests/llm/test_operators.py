@@ -359,6 +359,25 @@ def test_urls(spark):
     assert url_templates.url_verdicts(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("sections", [20, 60])
+def test_url_branches_whatever_the_siblings(spark, sections):
+    urls = [f"http://x.com/{lang}/{i}" for lang, n in (("fr", 20), ("de", 30)) for i in range(n)]
+    urls += [f"http://x.com/s{i}/1" for i in range(sections)]
+    got = {r["page_id"]: r for r in url_templates.url_verdicts(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert len({got[i]["template"] for i in (0, 20, 50)}) == 3
+    assert got[0]["purity"] < 0.2 and got[20]["purity"] > 0.9
+    assert {got[i]["verdict"] for i in range(50, len(urls))} == {"allow"}
+
+
+def test_url_tree_as_deep_as_the_paths(spark):
+    rules = (("com", "/a/b/c/d/e/", "block"), ("com", "/a/b/c/d/e/about", "allow"))
+    urls = [f"http://x.com/a/b/c/d/e/{i}" for i in range(30)] + [f"http://x.com/a/b/c/d/e/about/{i}" for i in range(30)] + ["http://x.com/a/b"]
+    got = {r["page_id"]: r for r in url_templates.url_verdicts(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+    assert {got[i]["template"].split("/")[6] for i in range(30)} == {"{n}"}
+    assert {got[i]["template"].split("/")[6] for i in range(30, 60)} == {"about"}
+    assert got[0]["purity"] > 0.9 and got[30]["purity"] < 0.2 and got[60]["verdict"] == "allow"
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracles(spark, name):
     from checks import compare
