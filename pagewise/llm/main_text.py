@@ -2,7 +2,9 @@
 
 The standard library's parser feeds a small state machine that cuts the page
 into blocks ("lines") and leaves out elements that are never main text
-(menus, forms, scripts, asides, and parts whose class or role says so).  Each
+(menus, forms, scripts, asides).  Parts whose class or role says so are marked
+and left out too, unless they hold most of a page without an article, or nothing
+would be left.  Each
 line's text-to-tag ratio is smoothed with a Gaussian; a threshold between the
 two clusters of smoothed ratios marks content lines; the container that holds
 most of them is the content region and is taken whole.
@@ -30,6 +32,11 @@ MARKS = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adbox|banner|breadcrumb
                    r"cookies?|disclaimer|disqus|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|"
                    r"pagination|pager|popup|promo\w*|recommend\w*|related|replies|reply|respond|search|share|sharing|sidebar|signup|"
                    r"social|sponsor\w*|subscribe|toolbar|topbar|widget|alert|paywall|login|rail)(?:$|[\s_-])", re.I)
+#: Classes that say something about the page or the post: has-sidebar, tag-social, entry-header.
+MODIFIERS = re.compile(r"(?:has|no|with|without|tag|category|cat)[_-]|(?:entry|article|post|story|content|page)[_-]+header$", re.I)
+HEADERS = re.compile(r"(?:^|[_-])(?:header|masthead)(?:$|[_-])", re.I)
+#: Elements that leave an open head open.
+OF_HEAD = frozenset("head title meta link style script noscript base template".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 CONTENT = frozenset(("article", "main"))
 #: Width of the Gaussian, in lines.
@@ -40,7 +47,10 @@ class _Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, int]] = []  # text, tags, characters in links, region
-        self.open: list[tuple[str, bool]] = []  # block elements, and whether each is left out
+        self.marked: list[tuple[int, ...]] = []  # of each line, the marked elements around it
+        self.open: list[tuple[str, bool, bool]] = []  # block elements, whether each is left out, and marked
+        self.marks: list[int] = []  # the marked ones among them
+        self.n_marks = 0
         self.parts: list[str] = []
         self.tags = self.linked = self.links = self.left_out = 0
         self.region, self.regions = 0, 0  # 0: outside of any article or main part
@@ -50,6 +60,7 @@ class _Lines(HTMLParser):
         text = " ".join("".join(self.parts).split())
         if text:
             self.lines.append((text, self.tags, self.linked, self.region))
+            self.marked.append(tuple(self.marks))
         self.parts, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag, attrs):
@@ -58,8 +69,13 @@ class _Lines(HTMLParser):
             self.parts.append(" ")
         if tag == "a":
             self.links = 1
-        if tag in CONTENT and not self._marked(tag, attrs):
-            while self.left_out and self.open:  # an element that was never closed does not hide the article
+        names = [t for t, *_ in self.open] if self.left_out else []
+        if "head" in names and tag not in OF_HEAD and (tag == "body" or not {"noscript", "template"} & set(names)):
+            self._close("head")  # its end tag may be missing
+        hidden, marked = self._hidden(tag, attrs), self._marked(tag, attrs)
+        if tag in CONTENT and not hidden and not marked:
+            self._flush()
+            while (self.left_out or self.marks) and self.open:  # an element that was never closed does not hide the article
                 self._pop()
         if tag not in BLOCKS and tag not in NEVER:
             return
@@ -70,27 +86,39 @@ class _Lines(HTMLParser):
                 self._pop()
         if tag in VOID:
             return
-        out = tag in NEVER or self._marked(tag, attrs) or (tag == "header" and not self.region)
-        self.open.append((tag, out))
+        out = tag in NEVER or hidden
+        marked = marked or (tag == "header" and not self.region)
+        self.open.append((tag, out, marked))
         self.left_out += out
-        if tag in CONTENT and not self.left_out:
+        if marked:
+            self.n_marks += 1
+            self.marks.append(self.n_marks)
+        if tag in CONTENT and not self.left_out and not self.marks:
             if not self.region:
                 self.regions += 1
                 self.region = self.regions
             self.inside.append(len(self.open))
 
     @staticmethod
-    def _marked(tag, attrs):
+    def _hidden(tag, attrs):
         if tag in ("html", "body"):
             return False
         a = {k: v or "" for k, v in attrs}
-        return bool("hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES
-                    or "display:none" in a.get("style", "").replace(" ", "").lower()
-                    or MARKS.search(a.get("class", "")) or MARKS.search(a.get("id", "")))
+        return bool("hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower())
+
+    def _marked(self, tag, attrs):
+        if tag in ("html", "body") or (tag in CONTENT and not self.region and not self.marks):
+            return False
+        a = {k: v or "" for k, v in attrs}
+        return a.get("role", "").lower() in ROLES or any(
+            MARKS.search(name) and not MODIFIERS.match(name) and not (self.region and HEADERS.search(name))
+            for name in (a.get("class", "") + " " + a.get("id", "")).split())
 
     def _pop(self):
-        tag, out = self.open.pop()
+        tag, out, marked = self.open.pop()
         self.left_out -= out
+        if marked:
+            self.marks.pop()
         if self.inside and self.inside[-1] > len(self.open):
             self.inside.pop()
             if not self.inside:
@@ -104,14 +132,33 @@ class _Lines(HTMLParser):
             return
         if tag in BLOCKS:
             self._flush()
-        if any(t == tag for t, _ in self.open):
+        self._close(tag)
+
+    def _close(self, tag):
+        if any(t == tag for t, *_ in self.open):
             while self.open:
                 last = self.open[-1][0]
                 self._pop()
                 if last == tag:
                     break
 
+    def content_lines(self) -> list[tuple[str, int, int, int]]:
+        """The lines outside of marked elements.  Without an article an element
+        with most of the text is not one of the page's other parts; all lines
+        count if none is left."""
+        if not any(r and not m for (*_, r), m in zip(self.lines, self.marked, strict=True)):
+            size = np.zeros(self.n_marks + 1)
+            for line, around in zip(self.lines, self.marked, strict=True):
+                size[list(around)] += len(line[0])
+            most = size > sum(len(line[0]) for line in self.lines) / 2
+            left = [line for line, around in zip(self.lines, self.marked, strict=True) if all(most[m] for m in around)]
+        else:
+            left = [line for line, around in zip(self.lines, self.marked, strict=True) if not around]
+        return left or self.lines
+
     def handle_data(self, data):
+        if self.left_out and self.open[-1][0] == "head" and data.strip():
+            self._close("head")
         if self.left_out:
             return
         self.parts.append(data)
@@ -140,7 +187,7 @@ def main_text(html: str) -> str:
     parser.feed(html)
     parser.close()
     parser._flush()
-    lines = parser.lines
+    lines = parser.content_lines()
     if not lines:
         return ""
     ratio = np.array([max(0, len(t) - 2 * linked) / (1 + tags) for t, tags, linked, _ in lines])

@@ -267,6 +267,23 @@ def test_main_text(spark):
     assert main_text.extract_pages(df.where("false")).count() == 0
 
 
+def test_main_text_keeps_whole_articles():
+    text = "A long paragraph of the article with many words in it, more than the rest."
+    body = f"<p>{text}</p><p>{text}</p>"
+    want = f"{text}\n\n{text}"
+    for wrapper in ("article class='post tag-social-media'", "article class='category-search'", "main id=search", "div class='content has-sidebar'",
+                    "div class='no-sidebar'", "div class=widget", "div id=sidebar"):
+        assert main_text.main_text(f"<body><{wrapper}>{body}</{wrapper.split()[0]}>") == want
+    for header in ("div class=entry-header", "div class='article-header'", "div class=header"):
+        assert main_text.main_text(f"<article><{header}><h1>Head</h1></div>{body}</article>") == f"Head\n\n{want}"
+    for start in ("<head><title>x</title><body>", "<head><title>x</title>", "<head><meta charset=x><script>var y</script>"):
+        assert main_text.main_text(start + body) == want
+    assert main_text.main_text("<head><title>x</title>" + text) == text
+    comments = "<section id=comments><article class=comment>" + "<p>Said by a reader, at great length.</p>" * 20 + "</article></section>"
+    assert main_text.main_text(f"<article>{body}{comments}</article>") == want
+    assert main_text.main_text(f"<div class=ad>Buy now.</div>{body}<div class='share'>Share</div>") == want
+
+
 def test_contamination(spark, docs, nothing):
     items = [(1, "two three four five six seven eight nine ten eleven"), (10, "TWO three"), (2, None), (None, "one"), (3, "日本"), (4, "?!"), (1, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12")]
     bench = spark.createDataFrame(items, "item_id long, text string")
