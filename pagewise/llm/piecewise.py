@@ -103,12 +103,14 @@ def _walk(batches):
         out = []
         for p, lead, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("part", "lead", "id", "text")), strict=True):
             text = text or ""
-            if p != part or lead:
+            if p != part:
                 part, before, now = p, None, None
             if now is None or doc_id != now[0]:
                 before, now = now, (doc_id, text, fingerprint(text))
-            if lead:
+            if lead:  # the first one stands for its id
                 continue
+            if before is None:  # the only id is its own next one
+                before = now
             mark = now[2] if text == now[1] else fingerprint(text)
             _, other, next_mark = before
             half = len(text) // 2

@@ -345,6 +345,26 @@ def test_piecewise(docs, nothing):
         assert piecewise.common_subsequence(a, b) == plain(a, b)
 
 
+@pytest.mark.parametrize("part_rows", [1, 500])
+def test_piecewise_repeated_and_single_ids(spark, monkeypatch, part_rows):
+    monkeypatch.setattr(piecewise, "PART_ROWS", part_rows)
+    texts = [f"{w} text of its own, {w * 9}" for w in ("red", "green", "blue", "grey")]
+    many = [(i, t + str(i)) for i in range(1, 5) for t in texts]
+    for pairs in ([(1, texts[0])], [(1, t) for t in texts], [(None, t) for t in texts[:2]], [(5, None)], many):
+        df = spark.createDataFrame(pairs, "doc_id long, text string")
+        hashed = [(r["doc_id"], r["text"] or "") for r in df.orderBy(F.xxhash64("text")).collect()]
+        ids = sorted({i or 0 for i, _ in pairs})
+        first = {i: next(t for j, t in hashed if (j or 0) == i) for i in ids}  # the smallest text hash
+        want = []
+        for i, t in hashed:
+            other, half = first[ids[ids.index(i or 0) - 1]], len(t) // 2
+            edited = t[:len(t) - half] + other[:half]
+            want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), piecewise.fingerprint(t),
+                         piecewise.likeness(piecewise.fingerprint(t), piecewise.fingerprint(other))))
+        got = [(*r[:4], r[6]) for r in rows(piecewise.neighbour_fingerprints(df))]
+        assert order(got) == order(want)
+
+
 def test_pieces(docs, nothing):
     v = pieces.Vocabulary()
     value = dict(zip(v.ids.tolist(), v.scores.tolist(), strict=True))
