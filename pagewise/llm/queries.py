@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pagewise.llm import backoff, jaccard_trie, main_text, pieces, piecewise, preference, sharding, toxicity, url_templates, winnowing
+import public_tokenizers
+
+from pagewise.llm import (backoff, collocations, filter_audit, jaccard_trie, main_text, pattern_packing, pieces, piecewise, preference,
+                          sharding, toxicity, url_templates, winnowing)
 from pagewise.llm.common import table
 
 
@@ -47,5 +50,18 @@ def op10_url_verdicts(spark, sf_dir):
     return url_templates.url_verdicts(table(spark, sf_dir, "pages"))
 
 
+def op11_filter_audit(spark, sf_dir):
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_pattern_packing(spark, sf_dir):
+    return pattern_packing.pack(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_shard_rows, op2_preference_pairs, op3_jaccard_join, op4_backoff_scores, op5_main_text, op6_decontaminate,
-                                op7_toxicity, op8_piecewise_hash, op9_encode_decode, op10_url_verdicts)}
+                                op7_toxicity, op8_piecewise_hash, op9_encode_decode, op10_url_verdicts, op11_filter_audit,
+                                op12_pattern_packing, op13_collocations)}
