@@ -124,11 +124,16 @@ class Sheet(NamedTuple):
     owned: np.ndarray
     row: np.ndarray
 
-    def here(self, n: int) -> np.ndarray:
-        """Starts of owned n-grams that lie in one piece."""
+    def inside(self, n: int) -> np.ndarray:
+        """Starts of n-grams that lie in one piece."""
         if len(self.starts) < n:
             return np.zeros(0, dtype=np.int64)
-        return np.flatnonzero(self.owned[:len(self.owned) - n + 1] & (self.piece[n - 1:] == self.piece[:len(self.piece) - n + 1]))
+        return np.flatnonzero(self.piece[n - 1:] == self.piece[:len(self.piece) - n + 1])
+
+    def here(self, n: int) -> np.ndarray:
+        """Those that the chunk owns."""
+        at = self.inside(n)
+        return at[self.owned[at]]
 
     def grams(self, n: int) -> np.ndarray:
         return _window_hashes(self.hashes, n)
@@ -177,14 +182,16 @@ def _exact(inverse: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
 
 
 def _short_grams(batches, ranges: int):
-    """Counts of 1- and 2-grams, a part at a time."""
+    """Counts of 1- and 2-grams, a part at a time.  2-grams of closing windows
+    count nothing and yet get to know if they are frequent: 3- and 4-grams that
+    start before may end in them."""
     for batch in batches:
         table = pa.Table.from_batches([batch])
         parts = batch.column("part").to_numpy()
         cuts = np.flatnonzero(np.append(True, parts[1:] != parts[:-1])) if len(parts) else np.zeros(0, np.int64)
         for a, b in zip(cuts, np.append(cuts[1:], len(parts))):
             run = table.slice(a, b - a)
-            yield from _counted(int(parts[a]), run, ranges, lambda s: [(n, s.here(n)) for n in (1, 2)])
+            yield from _counted(int(parts[a]), run, ranges, lambda s: [(1, s.here(1)), (2, s.inside(2))])
 
 
 def _counted(part: int, table: pa.Table, ranges: int, pick):
@@ -192,7 +199,7 @@ def _counted(part: int, table: pa.Table, ranges: int, pick):
     for _, sheet in _sheets(table):
         for order, at in pick(sheet):
             grams.append(sheet.grams(order)[at])
-            weights.append(n[sheet.row[at]])
+            weights.append(n[sheet.row[at]] * sheet.owned[at])
     if grams:
         yield from _partial_counts(part, np.concatenate(grams), np.concatenate(weights), ranges)
 
