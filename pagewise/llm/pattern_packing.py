@@ -102,9 +102,12 @@ class WordIds:
         return flat, np.concatenate([[0], ends[np.cumsum(n_words + 1) - 1]])
 
 
+_encoder = lru_cache(maxsize=1)(WordIds)  # a worker's tasks share the known words
+
+
 def _pieces(batches, path: str, size: int):
     """doc_id, text -> the pieces of every row, numbered within (part, length)."""
-    encoder, seen, part = WordIds(path), np.zeros(size + 1, dtype=np.int64), TaskContext.get().partitionId()
+    encoder, seen, part = _encoder(path), np.zeros(size + 1, dtype=np.int64), TaskContext.get().partitionId()
     for batch in batches:
         ids = batch.column("doc_id")
         for row, text, offsets in words.pieces(batch.column("text"), PIECE):
