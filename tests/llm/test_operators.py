@@ -183,23 +183,66 @@ def test_repeated_ids_with_other_texts(spark, parts):
 
 
 @pytest.mark.parametrize("bound", [jaccard_trie.JOIN, jaccard_trie.CORPUS, jaccard_trie.Bound(4, 1, 2)])
-def test_linked_sets_share_a_key(bound):
+def test_linked_sets_share_a_rare_key(spark, bound):
+    """Families of sets of all levels, all with some n-grams of a common pool."""
     rng = np.random.default_rng(3)
+    pool = words.mix(rng.integers(0, 1 << 62, 60))
+    sets = []
+    for _ in range(60):
+        size = int(rng.choice([1, 2, 5, 20, 90, 130, 400, 600, 1500]))
+        base = np.concatenate([words.mix(rng.integers(0, 1 << 62, size)), rng.permutation(pool)[:size // 4]])
+        for _ in range(4):
+            far = len(base) * (bound.den - bound.num) // bound.den
+            lost = int(rng.integers(0, far // 2 + 2))
+            new = words.mix(rng.integers(0, 1 << 62, int(rng.integers(0, far // 3 + 2))))
+            sets.append(np.unique(np.concatenate([rng.permutation(base)[lost:], new])))
+    sets = [x for x in sets if len(x)]
+    keys, sizes = [], []
+    for i, x in enumerate(sets):
+        levels = jaccard_trie.sample_keys(x, bound)
+        keys += [(int(k), i) for k in np.concatenate(levels).view(np.int64)]
+        sizes.append((i, len(x), [len(k) for k in levels]))
+    found = jaccard_trie.rare_keys(spark.createDataFrame(keys + keys[:999], "key long, rep long").repartition(3),
+                                   spark.createDataFrame(sizes, "rep long, n long, sampled array<int>"), bound)
+    own = {}
+    for k, i in rows(found):
+        own.setdefault(i, set()).add(k)
     linked = 0
-    for _ in range(1500):
-        a = np.unique(words.mix(rng.integers(0, 1 << 62, int(rng.integers(2, 200)))))
-        other = words.mix(rng.integers(0, 1 << 62, int(rng.integers(0, len(a) // 4 + 2))))
-        b = np.unique(np.concatenate([rng.permutation(a)[int(rng.integers(0, len(a) // 4 + 2)):], other]))
-        over = len(np.intersect1d(a, b))
-        if over and bound.den * over >= bound.num * (len(a) + len(b) - over) and not np.array_equal(a, b):
-            linked += 1
-            assert len(np.intersect1d(jaccard_trie.run_keys(a, bound), jaccard_trie.run_keys(b, bound)))
-    assert linked > 50
-
-
-def test_keys_of_a_long_set_stay_few():
-    h = np.unique(words.mix(np.arange(20_000, dtype=np.uint64)))
-    assert len(jaccard_trie.run_keys(h, jaccard_trie.CORPUS)) < len(h)
+    for i, a in enumerate(sets):
+        for j in range(i):
+            over = len(np.intersect1d(a, sets[j]))
+            if over and bound.den * over >= bound.num * (len(a) + len(sets[j]) - over):
+                linked += 1
+                assert own.get(i, set()) & own.get(j, set())
+    assert linked > 40
+    assert sum(map(len, own.values())) < len(keys) / 2
+
+
+@pytest.mark.parametrize("long", [1 << 17, 4])
+def test_counted_runs(monkeypatch, long):
+    monkeypatch.setattr(jaccard_trie, "LONG_RUN", long)
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        pairs = sorted((int(k), int(r)) for k, r in zip(rng.integers(0, rng.integers(1, 9), 40), rng.integers(0, 30, 40)))
+        cuts = sorted(rng.integers(0, 41, 4).tolist())
+        batches = [pa.RecordBatch.from_pydict({"key": pa.array([k for k, _ in pairs[a:b]], pa.int64()), "rep": pa.array([r for _, r in pairs[a:b]], pa.int64())})
+                   for a, b in zip([0, *cuts], [*cuts, 40])]
+        got = [tuple(r.values()) for b in jaccard_trie._counted_runs(iter(batches)) for r in b.to_pylist()]
+        distinct = sorted(set(pairs))
+        held = {k: sum(x == k for x, _ in distinct) for k, _ in distinct}
+        ends = {distinct[0][0], distinct[-1][0]}
+        assert sorted((k, r) for k, r, _, _ in got) == [(k, r) for k, r in distinct if k in ends or held[k] > 1]
+        for k in held:
+            seen = {(n, cut) for x, _, n, cut in got if x == k}
+            assert seen <= {(held[k], False)} if k not in ends and held[k] <= long else seen in ({(0, True)}, {(held[k], False)})
+
+
+def test_samples_suffice():
+    for bound in (jaccard_trie.JOIN, jaccard_trie.CORPUS):
+        for (share, low), (_, up) in zip(jaccard_trie.sample_levels(bound)[1:], [*jaccard_trie.sample_levels(bound)[2:], (0, 9999)]):
+            n = np.arange(low * bound.num // bound.den, up)
+            sure = n * share - 7.5 * np.sqrt(n * share * (1 - share))
+            assert (sure > [jaccard_trie.may_differ(int(x), bound) for x in n]).all()
 
 
 def test_keys_cut_by_ranges(spark):
@@ -428,7 +471,7 @@ def test_pipeline(spark):
     model = toxicity.fit(base, spark.read.parquet(f"{SF}/labels.parquet"))
     toxic = {r["doc_id"] for r in toxicity.score_documents(base, model).where("predicted = 1").collect()}
     left = [(r["doc_id"], r["text"]) for r in base.collect() if r["doc_id"] not in toxic]
-    low = brute_components(left)
+    low = stage_components(left)
     left = [(i, t) for i, t in left if low[i] == i]
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
     bench = [cut(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
