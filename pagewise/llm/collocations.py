@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewise.llm import words
-from pagewise.llm.common import stage
+from pagewise.llm.common import bounded_batches, stage
 
 LONGEST, OVERLAP = 4, 3
 #: One window in so many is a trigger.
@@ -107,7 +107,7 @@ def _chunks(batches):
 def dictionary(docs: DataFrame) -> DataFrame:
     """(lang, chunk, closing, owned, n, part): the distinct chunks of ``docs``
     (lang, text) and how often each occurs; a part is a bounded run of them."""
-    found = (docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
+    found = (bounded_batches(docs).select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
              .mapInArrow(_chunks, "lang string, chunk string, closing boolean, owned int, n long"))
     return stage(found.groupBy("lang", "chunk", "closing", "owned").agg(F.sum("n").alias("n"))
                  .withColumn("part", F.shiftright(F.monotonically_increasing_id(), PART_ROWS_BITS)))

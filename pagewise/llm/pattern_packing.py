@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewise.llm import words
-from pagewise.llm.common import stage
+from pagewise.llm.common import bounded_batches, stage
 
 SIZE = 2048
 #: Rounds of the fit.
@@ -282,7 +282,7 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, size: int = SIZE) -> D
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
-    pieces = stage(docs.select("doc_id", "text").mapInArrow(lambda b: _pieces(b, path, size), f"{schema}, part int, nth long"))
+    pieces = stage(bounded_batches(docs).select("doc_id", "text").mapInArrow(lambda b: _pieces(b, path, size), f"{schema}, part int, nth long"))
     counts = stage(pieces.groupBy("part", "length").agg(F.count("*").alias("n")))
     histogram = np.zeros(size + 1, dtype=np.int64)
     for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most ``size`` rows

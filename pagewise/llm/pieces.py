@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewise.llm import words
+from pagewise.llm.common import bounded_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -172,7 +173,7 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary | None = None) -> D
                     [*(own.column(c) for c in kept), pa.array(np.diff(at), pa.int64()),
                      pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))], names=[*kept, "n_tokens", "ids"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(encode, schema)
+    return bounded_batches(docs).select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(encode, schema)
 
 
 def decode_documents(coded: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
@@ -192,7 +193,7 @@ def decode_documents(coded: DataFrame, vocabulary: Vocabulary | None = None) ->
                 texts = pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data))
                 yield pa.RecordBatch.from_arrays([*(own.column(c) for c in kept), texts.cast(pa.string())], names=[*kept, "decoded"])
 
-    return coded.select(*[F.col(f"`{c}`") for c in kept], "ids").mapInArrow(decode, schema)
+    return bounded_batches(coded).select(*[F.col(f"`{c}`") for c in kept], "ids").mapInArrow(decode, schema)
 
 
 def round_trips(docs: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
@@ -213,5 +214,5 @@ def round_trips(docs: DataFrame, vocabulary: Vocabulary | None = None) -> DataFr
                      pa.array([hashlib.sha256(x).hexdigest() for x in back]), pa.array(same)],
                     names=["doc_id", "n_tokens", "ids", "decoded_sha256", "exact"])
 
-    return docs.select("doc_id", "text").mapInArrow(
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(
         work, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string, exact boolean")
