@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewise.llm import words
-from pagewise.llm.common import bounded_batches, stage
+from pagewise.llm.common import stage
 
 LONGEST, OVERLAP = 4, 3
 #: One window in so many is a trigger.
@@ -65,7 +65,7 @@ def _window_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return words.mix(total + np.uint64(n))
 
 
-def _chunks(batches):
+def _chunks(batches, every: int):
     """lang, text -> lang, chunk, closing (ends its text), owned (words before the
     closing window), n."""
     for batch in batches:
@@ -90,7 +90,7 @@ def _chunks(batches):
             last = np.flatnonzero(ends)[np.cumsum(heads) - 1]  # of each word's text
             room = last - np.arange(len(h)) >= OVERLAP - 1
             breaks = split.astype(np.uint64) << np.uint64(63)
-            trigger = room & (_window_hashes(h ^ breaks, OVERLAP) < np.uint64(2 ** 64 // EVERY))
+            trigger = room & (_window_hashes(h ^ breaks, OVERLAP) <= np.uint64((2 ** 64 - 1) // every))
             first = np.flatnonzero(heads | trigger)
             closing = np.append(heads[first[1:]], True)
             owned = np.diff(first, append=len(h))
@@ -104,11 +104,11 @@ def _chunks(batches):
                  pa.array(owned[one], pa.int32()), pa.array(n, pa.int64())], names=["lang", "chunk", "closing", "owned", "n"])
 
 
-def dictionary(docs: DataFrame) -> DataFrame:
+def dictionary(docs: DataFrame, every: int = EVERY) -> DataFrame:
     """(lang, chunk, closing, owned, n, part): the distinct chunks of ``docs``
     (lang, text) and how often each occurs; a part is a bounded run of them."""
-    found = (bounded_batches(docs).select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-             .mapInArrow(_chunks, "lang string, chunk string, closing boolean, owned int, n long"))
+    found = (docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
+             .mapInArrow(lambda b: _chunks(b, every), "lang string, chunk string, closing boolean, owned int, n long"))
     return stage(found.groupBy("lang", "chunk", "closing", "owned").agg(F.sum("n").alias("n"))
                  .withColumn("part", F.shiftright(F.monotonically_increasing_id(), PART_ROWS_BITS)))
 
@@ -301,7 +301,7 @@ def _span(first, n):
     return F.array_join(F.slice(F.split("phrase", " "), first, n), " ")
 
 
-def collocations(docs: DataFrame, least: int = 30, top: int = 2000) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 30, top: int = 2000, every: int = EVERY) -> DataFrame:
     """Each language's first ``top`` phrases of 2 to 4 words: lang, rank, phrase,
     a, l, r, n, score.
 
@@ -309,7 +309,7 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000) -> DataFrame
     rows that repeat count again; no words, no rows.  Equal scores and counts
     go by the phrase's bytes.
     """
-    chunks = dictionary(docs)
+    chunks = dictionary(docs, every)
     counts = phrase_counts(chunks, least)
     words_in = chunks.groupBy("lang").agg(F.sum(F.col("n") * F.col("owned")).alias("n"))
     phrases = counts.where("words >= 2")

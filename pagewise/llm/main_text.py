@@ -13,6 +13,7 @@ most of them is the content region and is taken whole.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -32,6 +33,14 @@ MARKS = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adbox|banner|breadcrumb
                    r"cookies?|disclaimer|disqus|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|"
                    r"pagination|pager|popup|promo\w*|recommend\w*|related|replies|reply|respond|search|share|sharing|sidebar|signup|"
                    r"social|sponsor\w*|subscribe|toolbar|topbar|widget|alert|paywall|login|rail)(?:$|[\s_-])", re.I)
+#: What stands beside such words in ids, and in classes of paragraphs; other
+#: names, like related-work or share-price, are of the text itself.
+BESIDE = re.compile(r"(?:posts?|articles?|stories|items?|list|box|form|section|area|bar|wrap\w*|container|content|left|right|top|bottom|main|"
+                    r"site|page|block|links?|buttons?|icons?|media|thread|primary|secondary|slot|unit|text|message|\d+)?$", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TEXT = frozenset("p pre blockquote dd dt td th figcaption".split()) | HEADINGS
+#: An article beside a heavier one belongs to the page if it has this share of its content.
+BESIDE_SHARE = 0.25
 #: Classes that say something about the page or the post: has-sidebar, tag-social, entry-header.
 MODIFIERS = re.compile(r"(?:has|no|with|without|tag|category|cat)[_-]|(?:entry|article|post|story|content|page)[_-]+header$", re.I)
 HEADERS = re.compile(r"(?:^|[_-])(?:header|masthead)(?:$|[_-])", re.I)
@@ -46,11 +55,12 @@ SIGMA = 1.0
 class _Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int]] = []  # text, tags, characters in links, region
-        self.marked: list[tuple[int, ...]] = []  # of each line, the marked elements around it
+        self.lines: list[tuple[str, int, int, str, int]] = []  # text, tags, characters in links, element, region
+        self.marked: list[int] = []  # of each line, the innermost marked element around it (0: none)
         self.open: list[tuple[str, bool, bool]] = []  # block elements, whether each is left out, and marked
+        self.names: Counter[str] = Counter()  # the same, counted
         self.marks: list[int] = []  # the marked ones among them
-        self.n_marks = 0
+        self.outer = [0]  # of each marked element, the next one around it
         self.parts: list[str] = []
         self.tags = self.linked = self.links = self.left_out = 0
         self.region, self.regions = 0, 0  # 0: outside of any article or main part
@@ -59,18 +69,23 @@ class _Lines(HTMLParser):
     def _flush(self):
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, self.linked, self.region))
-            self.marked.append(tuple(self.marks))
+            self.lines.append((text, self.tags, self.linked, self.open[-1][0] if self.open else "", self.region))
+            self.marked.append(self.marks[-1] if self.marks else 0)
         self.parts, self.tags, self.linked = [], 0, 0
 
+    def parse_html_declaration(self, i):
+        """Whatever begins with <! and is no comment ends at the next >."""
+        if self.rawdata.startswith("<!--", i):
+            return self.parse_comment(i)
+        return self.rawdata.find(">", i + 2) + 1 or -1
+
     def handle_starttag(self, tag, attrs):
         self.tags += 1
         if tag == "br":
             self.parts.append(" ")
         if tag == "a":
             self.links = 1
-        names = [t for t, *_ in self.open] if self.left_out else []
-        if "head" in names and tag not in OF_HEAD and (tag == "body" or not {"noscript", "template"} & set(names)):
+        if self.names["head"] and tag not in OF_HEAD and (tag == "body" or not (self.names["noscript"] or self.names["template"])):
             self._close("head")  # its end tag may be missing
         hidden, marked = self._hidden(tag, attrs), self._marked(tag, attrs)
         if tag in CONTENT and not hidden and not marked:
@@ -89,10 +104,11 @@ class _Lines(HTMLParser):
         out = tag in NEVER or hidden
         marked = marked or (tag == "header" and not self.region)
         self.open.append((tag, out, marked))
+        self.names[tag] += 1
         self.left_out += out
         if marked:
-            self.n_marks += 1
-            self.marks.append(self.n_marks)
+            self.outer.append(self.marks[-1] if self.marks else 0)
+            self.marks.append(len(self.outer) - 1)
         if tag in CONTENT and not self.left_out and not self.marks:
             if not self.region:
                 self.regions += 1
@@ -110,12 +126,18 @@ class _Lines(HTMLParser):
         if tag in ("html", "body") or (tag in CONTENT and not self.region and not self.marks):
             return False
         a = {k: v or "" for k, v in attrs}
-        return a.get("role", "").lower() in ROLES or any(
-            MARKS.search(name) and not MODIFIERS.match(name) and not (self.region and HEADERS.search(name))
-            for name in (a.get("class", "") + " " + a.get("id", "")).split())
+        if a.get("role", "").lower() in ROLES:
+            return True
+        if tag in HEADINGS:
+            return False
+        names = [(name, tag in TEXT) for name in a.get("class", "").split()] + [(name, True) for name in a.get("id", "").split()]
+        return any(MARKS.search(name) and not MODIFIERS.match(name) and not (self.region and HEADERS.search(name))
+                   and not (whole and not all(MARKS.match(x) or BESIDE.match(x) for x in re.split("[_-]", name)))
+                   for name, whole in names)
 
     def _pop(self):
         tag, out, marked = self.open.pop()
+        self.names[tag] -= 1
         self.left_out -= out
         if marked:
             self.marks.pop()
@@ -135,26 +157,27 @@ class _Lines(HTMLParser):
         self._close(tag)
 
     def _close(self, tag):
-        if any(t == tag for t, *_ in self.open):
+        if self.names[tag]:
             while self.open:
                 last = self.open[-1][0]
                 self._pop()
                 if last == tag:
                     break
 
-    def content_lines(self) -> list[tuple[str, int, int, int]]:
+    def content_lines(self) -> list[tuple[str, int, int, str, int]]:
         """The lines outside of marked elements.  Without an article an element
         with most of the text is not one of the page's other parts; all lines
         count if none is left."""
-        if not any(r and not m for (*_, r), m in zip(self.lines, self.marked, strict=True)):
-            size = np.zeros(self.n_marks + 1)
-            for line, around in zip(self.lines, self.marked, strict=True):
-                size[list(around)] += len(line[0])
-            most = size > sum(len(line[0]) for line in self.lines) / 2
-            left = [line for line, around in zip(self.lines, self.marked, strict=True) if all(most[m] for m in around)]
-        else:
-            left = [line for line, around in zip(self.lines, self.marked, strict=True) if not around]
-        return left or self.lines
+        kept = np.zeros(len(self.outer), dtype=bool)
+        kept[0] = True
+        if not any(line[-1] and not m for line, m in zip(self.lines, self.marked, strict=True)):
+            size = np.bincount(self.marked, [len(line[0]) for line in self.lines], len(self.outer))
+            total = size.sum()
+            for m in range(len(self.outer) - 1, 0, -1):  # inner elements have higher numbers
+                size[self.outer[m]] += size[m]
+            for m in range(1, len(self.outer)):
+                kept[m] = kept[self.outer[m]] and size[m] > total / 2
+        return [line for line, m in zip(self.lines, self.marked, strict=True) if kept[m]] or self.lines
 
     def handle_data(self, data):
         if self.left_out and self.open[-1][0] == "head" and data.strip():
@@ -190,7 +213,7 @@ def main_text(html: str) -> str:
     lines = parser.content_lines()
     if not lines:
         return ""
-    ratio = np.array([max(0, len(t) - 2 * linked) / (1 + tags) for t, tags, linked, _ in lines])
+    ratio = np.array([max(0, len(t) - 2 * linked) / (1 + tags) for t, tags, linked, *_ in lines])
     reach = np.arange(-3, 4)
     kernel = np.exp(-(reach ** 2) / (2 * SIGMA ** 2))
     smooth = np.convolve(ratio, kernel, mode="full")[3:3 + len(ratio)]
@@ -199,7 +222,11 @@ def main_text(html: str) -> str:
     region = np.array([r for *_, r in lines])
     mass = np.bincount(region, weights=ratio * content, minlength=parser.regions + 1)
     if parser.regions and mass[1:].max() > 0:
-        chosen = region == 1 + int(np.argmax(mass[1:]))  # an article or main part, whole
+        best = 1 + int(np.argmax(mass[1:]))
+        unlinked = np.bincount(region, weights=ratio, minlength=parser.regions + 1)
+        whole = unlinked >= BESIDE_SHARE * unlinked[best]  # articles or main parts, whole
+        whole[[0, best]] = False, True
+        chosen = whole[region]
     else:
         found = np.flatnonzero(content & (ratio > 0))
         if not len(found):
@@ -207,18 +234,20 @@ def main_text(html: str) -> str:
         chosen = np.zeros(len(lines), dtype=bool)
         chosen[found[0]:found[-1] + 1] = True  # short lines between content lines belong to it
         for i in range(found[0] - 1, -1, -1):  # so do unlinked lines right before and after
-            if lines[i][2]:
+            if lines[i][2] and lines[i][3] not in TEXT:
                 break
             chosen[i] = True
         for i in range(found[-1] + 1, len(lines)):
-            if lines[i][2]:
+            if lines[i][2] and lines[i][3] not in TEXT:
                 break
             chosen[i] = True
     return "\n\n".join(line[0] for line, keep in zip(lines, chosen, strict=True) if keep)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars of every row; a null page is empty."""
+    """page_id, url, text and n_chars of every row; a null page is empty,
+    malformed markup is read as far as it goes.  Articles side by side are all
+    kept but for those with little of the heaviest one's content; equal ones tie."""
 
     def extract(batches):
         for batch in batches:

@@ -327,6 +327,34 @@ def test_main_text_keeps_whole_articles():
     assert main_text.main_text(f"<div class=ad>Buy now.</div>{body}<div class='share'>Share</div>") == want
 
 
+def test_main_text_of_malformed_and_deep_pages():
+    text = "A long paragraph of the article with many words in it, more than the rest."
+    for odd in ("<![foo[bar]]>", "<![ x>", "<![CDATA[ x ]]>", "<!>", "<!x y>", "<!DOCTYPE html>", "<?php x ?>", "</>", "<!--x-->", "<!-- >"):
+        assert text in main_text.main_text(f"{odd}<article><p>{text}</p>{'' if odd == '<!-- >' else odd}<p>{text}</p></article>") or odd == "<!-- >"
+    assert main_text.main_text(f"<article><p>{text}</p><![ x").startswith(text)
+    for cut in range(60):
+        main_text.main_text(f"<!DOCTYPE html><![x[<article class='a'><p>{text}</p>"[:cut])
+    deep = "<div class=ad>" * 20_000 + f"<p>{text}</p>" + "</div>" * 20_000
+    assert main_text.main_text(deep) == text
+    assert len(main_text.main_text("<article>" + f"<p>{text}</p>" * 20_000)) == 20_000 * (len(text) + 2) - 2
+
+
+def test_main_text_keeps_titles_and_paragraphs_by_name():
+    text = "A long paragraph of the article with many words in it, more than the rest."
+    for name in ("id=related-work", "id=search", "id=share-price class=title"):
+        assert main_text.main_text(f"<article><p>{text}</p><h2 {name}>Title</h2><p>{text}</p></article>") == f"{text}\n\nTitle\n\n{text}"
+    assert main_text.main_text(f"<article><p>{text}</p><section id=related-work><p>{text}</p></section></article>") == f"{text}\n\n{text}"
+    assert main_text.main_text(f"<article><p class='share-price'>{text}</p></article>") == text
+    for gone in ("section id=related-posts", "div id=comments", "p class=disclaimer", "div class='share-box'", "section id=comments-2"):
+        assert main_text.main_text(f"<article><p>{text}</p><{gone}>{text}</{gone.split()[0]}></article>") == text
+    other = text.replace("article", "second")
+    assert main_text.main_text(f"<article><p>{text}</p></article><article><p>{other}</p></article>") == f"{text}\n\n{other}"
+    teaser = "<article><h3><a href=x>Read this other story as well</a></h3></article>"
+    assert main_text.main_text(f"<article>{f'<p>{text}</p>' * 5}</article>{teaser}") == "\n\n".join([text] * 5)
+    page = f"<body><ul><li><a href=x>Home</a></li></ul><h1>Head</h1><p><a href=y>By someone</a></p><p>{text}</p><p>{text}</p></body>"
+    assert main_text.main_text(page) == f"Head\n\nBy someone\n\n{text}\n\n{text}"
+
+
 def test_contamination(spark, docs, nothing):
     items = [(1, "two three four five six seven eight nine ten eleven"), (10, "TWO three"), (2, None), (None, "one"), (3, "日本"), (4, "?!"), (1, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12")]
     bench = spark.createDataFrame(items, "item_id long, text string")
