@@ -555,3 +555,35 @@ cte("cell_lang_best", ("lang_profiles", "cell_profiles"), """select cell_id, lan
 q("augment_language", ("cell_texts", "cell_lang_best"), """select c.image_id, c.cell_no, c.text,
  coalesce(b.lang, 'unknown') as language
  from cell_texts c left join cell_lang_best b using (cell_id)""")
+
+# ------------------------------------------------------- fixed node table
+_FEATS = ("font_size, font_weight, norm_x, norm_y, text_length, num_words, is_all_caps, is_centered, numbering_depth, "
+          "relative_font_size, percent_punct")
+_X = "list_transform([" + ", ".join(f"cast({c} as double)" for c in _FEATS.split(", ")) + "], lambda v: case when v is null or isnan(v) then 0 else v end)"
+
+cte("forest", (), """select t, i, case when i < 7 then (3*t + 2*i) % 11 else -1 end as f,
+ [11.0::double, 0.5, 0.1, 0.5, 40.0, 6.0, 0.5, 0.5, 0.5, 1.1, 0.02][(3*t + 2*i) % 11 + 1] * (8 + t) / 10 as c,
+ cast(((5*t + 3*i) % 7 - 3) as double) / 4 as v from range(6) a(t), range(15) b(i)""")
+
+
+def walk_ctes(src: str, keys: str, name: str) -> None:
+    """Every row of ``src`` down every tree: three tests, then a leaf."""
+    cte(f"{name}_0", (src,), f"select {keys}, {_X} as x, t, cast(0 as bigint) as i from {src}, range(6) r(t)")
+    for k in range(3):
+        cte(f"{name}_{k + 1}", (f"{name}_{k}", "forest"), f"""select w.* exclude (i), f.f as f{k}, case when x[f.f + 1] <= f.c then 2*w.i + 1 else 2*w.i + 2 end as i
+ from {name}_{k} w join forest f on f.t = w.t and f.i = w.i""")
+    cte(name, (f"{name}_3", "forest"), f"select w.*, 0.3::double * f.v as value from {name}_3 w join forest f on f.t = w.t and f.i = w.i")
+
+
+walk_ctes("block_feats", "doc_id, page_num, block_no", "block_walk")
+q("score_blocks_forest", ("block_walk",), """select doc_id, page_num, block_no, round(p, 9) as probability, case when p > 0.5 then 1 else 0 end as prediction
+ from (select doc_id, page_num, block_no, 1 / (1 + exp(-2 * sum(value))) as p from block_walk group by doc_id, page_num, block_no)""")
+
+cte("cell_rows", ("cell_dataset",), "select row_number() over () as rid, * from cell_dataset")
+walk_ctes("cell_rows", "rid, is_heading", "cell_walk")
+q("forest_curve", ("cell_walk",), """select cast(t + 1 as int) as trees, round(avg(2 * ln(1 + exp(-2 * (2 * is_heading - 1) * m))), 9) as loss
+ from (select t, is_heading, sum(value) over (partition by rid order by t) as m from cell_walk) group by t""")
+q("forest_split_counts", ("cell_walk", "forest"), f"""select n.feature, coalesce(s.splits, 0) as splits, coalesce(p.passed, 0) as passed
+ from (select unnest(string_split('{_FEATS}', ', ')) as feature, unnest(range(11)) as at) n
+ left join (select f, count(*) as splits from forest where f >= 0 group by f) s on s.f = n.at
+ left join (select f, count(*) as passed from (select unnest([f0, f1, f2]) as f from cell_walk) group by f) p on p.f = n.at""")

@@ -65,11 +65,15 @@ def cmd_train(spark, args):
     data = DS.load_dataset(spark, args.data)
     ids = [c for c in ("image_id", "cell_no") if c in data.columns] or ["doc_name", "page_no", "text"]
     res = PT.train_and_evaluate(data, ids, ML.TrainConfig(), model_path=args.model)
+    rows = lambda df: [r.asDict() for r in df.collect()]  # noqa: E731  small results
     summary = {
-        "best": res["best"], "threshold": res["threshold"],
+        "grid": res["grid"], "best": res["best"], "trees": res["trees"], "trees_fitted": res["trees_fitted"], "threshold": res["threshold"],
+        "validation": res["val_metrics"].first().asDict(), "validation_auc": res["val_auc"].first()["auc"],
+        "validation_report": rows(res["val_report"]),
         "test": res["test_metrics"].first().asDict(), "test_auc": res["test_auc"].first()["auc"],
-        "cv": res["cv_summary"].first().asDict(),
-        "importance": sorted(res["importance"], key=lambda kv: -kv[1])[:10],
+        "test_report": rows(res["test_report"]), "confusion": rows(res["confusion"]),
+        "cv": res["cv_summary"].first().asDict(), "counts": rows(res["counts"]),
+        "importance": rows(res["importance"].orderBy(F.desc("importance"), "feature").limit(10)),
     }
     print(json.dumps(summary, default=float))
     if args.report:

@@ -56,7 +56,7 @@ def cross_validate(split: DataFrame, id_cols, cfg: ML.TrainConfig, k: int = 5, l
 
     def run(f):
         m = ML.fit(folds.where(F.col("fold") != f), ML.LEAVES_TO_DEPTH[leaves], rate,
-                   max_iter or cfg.max_iter, cfg, "weight", None)
+                   max_iter or cfg.max_iter, cfg, "weight")
         return ML.score(m, folds.where(F.col("fold") == f)).select("fold", "label", "probability")
 
     with ThreadPoolExecutor(max_workers=max(1, cfg.parallelism)) as pool:
@@ -76,7 +76,8 @@ def train_and_evaluate(df: DataFrame, id_cols, cfg: ML.TrainConfig | None = None
     tv = cut_lineage(training_frame(split, id_cols))
     grid = ML.grid_search(tv, cfg)
     best = ML.pick_best(grid)
-    model = ML.fit(tv, best["max_depth"], best["learning_rate"], cfg.final_max_iter, cfg, "weight", "is_val")
+    final = ML.fit_early(tv, best["max_depth"], best["learning_rate"], cfg.final_max_iter, cfg.final_patience, cfg)
+    model = final.model
     val = split.where(F.col("split") == "val")
     test = split.where(F.col("split") == "test")
     val_scored = ML.score(model, val)
@@ -91,7 +92,8 @@ def train_and_evaluate(df: DataFrame, id_cols, cfg: ML.TrainConfig | None = None
     if model_path:
         ML.save_model(model, model_path, threshold)
     return {
-        "grid": grid, "best": best, "model": model, "threshold": threshold, "sweep": sweep,
+        "grid": grid, "best": best, "model": model, "trees": final.trees, "trees_fitted": final.fitted,
+        "loss_curve": final.curve, "threshold": threshold, "sweep": sweep,
         "val_metrics": M.binary_metrics(val_t), "val_auc": M.roc_auc(val_t),
         "val_report": M.classification_report(val_t),
         "test_metrics": M.binary_metrics(test_t), "test_auc": M.roc_auc(test_t),

@@ -18,6 +18,7 @@ from pagewise.operators import ml as ML
 from pagewise.operators import outline as O
 from pagewise.operators import rules as R
 from pagewise.operators import sampling as S
+from pagewise.operators import trees as TR
 from pagewise.plans import compare as PC
 from pagewise.plans import datasets as PD
 from pagewise.plans import outlines as PO
@@ -416,8 +417,7 @@ def cell_dataset(spark, sf_dir):
 def trained(spark, sf_dir, cfg=CHECK_TRAIN, leaves=31, rate=0.05):
     split = cut_lineage(PT.split_and_balance(cut_lineage(cell_dataset(spark, sf_dir)), CELL_IDS))
     tv = cut_lineage(PT.training_frame(split, CELL_IDS))
-    model = ML.fit(tv, ML.LEAVES_TO_DEPTH[leaves], rate, cfg.final_max_iter, cfg, "weight", "is_val")
-    return split, model
+    return split, ML.fit_early(tv, ML.LEAVES_TO_DEPTH[leaves], rate, cfg.final_max_iter, cfg.final_patience, cfg).model
 
 
 @register("train_heading_classifier")
@@ -443,7 +443,7 @@ def q_cross_validate(spark, sf_dir):
 @register("feature_importance")
 def q_feature_importance(spark, sf_dir):
     _, model = trained(spark, sf_dir)
-    return spark.createDataFrame(ML.feature_importance(model), "feature string, importance double")
+    return ML.feature_importance(model)
 
 
 @register("top_features")
@@ -458,6 +458,30 @@ def q_score_blocks_model(spark, sf_dir):
         "doc_id", "page_num", "block_no", "probability", "prediction")
 
 
+@register("score_blocks_forest")
+def q_score_blocks_forest(spark, sf_dir):
+    """The blocks scored by a fixed node table."""
+    feats = ML.prepare(block_feats(spark, sf_dir).withColumn("is_heading", F.lit(0)))
+    return TR.forest_score(feats, FX.forest()).select(
+        "doc_id", "page_num", "block_no", F.round("probability", 9).alias("probability"), "prediction")
+
+
+@register("forest_curve")
+def q_forest_curve(spark, sf_dir):
+    """Loss of the fixed node table by number of trees, on the labelled cells."""
+    cells = ML.prepare(cell_dataset(spark, sf_dir))
+    return TR.validation_curve(cells, FX.forest()).select("trees", F.round("loss", 9).alias("loss"))
+
+
+@register("forest_split_counts")
+def q_forest_split_counts(spark, sf_dir):
+    """Labelled cells whose path passes each feature, and the splits that test it."""
+    counts = TR.split_counts(spark.createDataFrame(FX.forest(), TR.NODE_SCHEMA))
+    cells = ML.prepare(cell_dataset(spark, sf_dir)).select(*FE.FEATURES)
+    passed = cells.select(F.explode(TR.passed_features(FX.forest())).alias("feature")).groupBy("feature").agg(F.count("*").alias("passed"))
+    return counts.join(passed, "feature", "left").select("feature", "splits", F.coalesce("passed", F.lit(0)).alias("passed"))
+
+
 @register("extract_outlines_model")
 def q_extract_outlines_model(spark, sf_dir):
     _, model = trained(spark, sf_dir)
@@ -474,6 +498,7 @@ def q_train_and_evaluate(spark, sf_dir):
     tm, vm = res["test_metrics"].first(), res["val_metrics"].first()
     rows = [("best_num_leaves", float(res["best"]["num_leaves"])), ("best_learning_rate", res["best"]["learning_rate"]),
             ("best_val_f1", res["best"]["val_f1"]), ("threshold", res["threshold"]),
+            ("trees", float(res["trees"])), ("trees_fitted", float(res["trees_fitted"])),
             ("val_accuracy", vm["accuracy"]), ("val_f1", vm["f1"]), ("val_auc", res["val_auc"].first()["auc"]),
             ("test_accuracy", tm["accuracy"]), ("test_f1", tm["f1"]), ("test_auc", res["test_auc"].first()["auc"])]
     cv = res["cv_summary"].first()

@@ -267,3 +267,24 @@ def coco_tables(spark: SparkSession, documents: DataFrame, materialize_layout: s
     if materialize_layout != "none":
         lay = materialize(lay, materialize_layout)
     return (images_from(lay), annotations_from(lay), categories(spark), cells_from(lay))
+
+
+# Middle cuts of the eleven features in model order, the trees'
+# weight, and the number of complete trees of depth 3.
+CUTS = (11.0, 0.5, 0.1, 0.5, 40.0, 6.0, 0.5, 0.5, 0.5, 1.1, 0.02)
+FOREST_TREES, FOREST_WEIGHT = 6, 0.3
+
+
+def forest():
+    """A fixed node table for parity checks: nodes 0 to 6 test features, 7 to
+    14 are leaves, children of i are 2 i + 1 and 2 i + 2."""
+    from pagewise.operators.trees import Node
+    out = []
+    for t in range(FOREST_TREES):
+        for i in range(15):
+            if i < 7:
+                f = (3 * t + 2 * i) % 11
+                out.append(Node(t, FOREST_WEIGHT, i, f, CUTS[f] * (8 + t) / 10, 2 * i + 1, 2 * i + 2, 0.0, None))
+            else:
+                out.append(Node(t, FOREST_WEIGHT, i, -1, None, None, None, ((5 * t + 3 * i) % 7 - 3) / 4, None))
+    return out

@@ -106,7 +106,7 @@ def test_model_roundtrip(spark, scratch):
             for i in range(60)]
     df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in FEATURES) + ", is_heading int")
     prepared = ML.prepare(df).withColumn("weight", F.lit(1.0))
-    model = ML.fit(prepared, 3, 0.1, 3, ML.TrainConfig(max_iter=3), "weight", None)
+    model = ML.fit(prepared, 3, 0.1, 3, ML.TrainConfig(max_iter=3), "weight")
     ML.save_model(model, f"{scratch}/model", threshold=0.42)
     loaded, thr = ML.load_model(f"{scratch}/model")
     assert thr == 0.42
