@@ -1,8 +1,7 @@
 """Independent DuckDB SQL for every registered query.
 
-The SQL is written by hand against the pre-registered driver views and does
-not share code with the Spark operators beyond a few fixed values (regex
-classes, word lists).  Each query is a ``WITH`` chain: the fixture tables are
+The SQL is written by hand against the pre-registered driver views and shares
+neither code nor values with the Spark operators.  Each query is a ``WITH`` chain: the fixture tables are
 derived from ``documents`` / ``labels`` exactly as in ``pagewise.sources.
 fixtures`` and every operator is re-expressed in SQL.
 """
@@ -11,11 +10,15 @@ from __future__ import annotations
 
 import string
 
-from pagewise.functions.text import PY_WHITESPACE, WS
-from pagewise.operators.rules import BULLETS, MONTHS
+# White space as code points and as the body of a character
+# class, month names and bullets of the rules.
+PY_WHITESPACE = [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
+WS = r"\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}-\x{2029}\x{202f}\x{205f}\x{3000}"
+MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
+BULLETS = "•\\-\\*\\+◦◆◇○●■□▪▫"
 
 P = string.punctuation.replace("'", "''")
-WSCHARS = "||".join(f"chr({ord(c)})" for c in PY_WHITESPACE)
+WSCHARS = "||".join(f"chr({c})" for c in PY_WHITESPACE)
 NWS = f"[^{WS}]"
 SWS = f"[{WS}]"
 D = r"\p{Nd}"
@@ -65,63 +68,82 @@ def cte(name: str, deps: tuple[str, ...], sql: str) -> None:
 cte("lines", (), """select doc_id, i-1 as line_no, l as raw from (select doc_id, unnest(string_split(text,chr(10))) as l,
  generate_subscripts(string_split(text,chr(10)),1) as i from documents)""")
 
-cte("layout", ("lines",), """select doc_id, cast(1+floor(line_no/12) as int) as page_num, cast(line_no as int) as line_no,
- case when line_no%12=0 then 'Running Header ' || cast(doc_id as string)
-      when kind=0 then upper(replace(regexp_extract(raw,'^([^ ]+ ){0,2}[^ ]+',0),'ß','s'))
-      when kind=1 then cast(cast(1+floor(line_no/12) as int) as string) || '.' || cast(line_no%12 as string) || ' ' || regexp_extract(raw,'^([^ ]+ ){0,3}[^ ]+',0)
-      when kind=2 then regexp_extract(raw,'^([^ ]+ ){0,4}[^ ]+',0)
+def other_words(n: int) -> str:
+    return f"regexp_replace(raw, '^([^ ]+ ){{0,{n}}}[^ ]+ ?', '')"
+
+
+cte("layout", ("lines",), f"""select doc_id, page_num, cast(src*2 + k as int) as line_no, text, cast(x0 as double) as x0, cast(y0 as double) as y0,
+ cast(width as double) as width, cast(height as double) as height, cast(size as double) as size, font,
+ cast(612 as double) as page_width, cast(792 as double) as page_height, cast(kind as int) as kind, src from (
+select doc_id, src, 0 as k, cast(1+floor(src/12) as int) as page_num,
+ case when src%12=0 then 'Running Header ' || cast(doc_id as string)
+      when kind=0 then upper(replace(regexp_extract(raw,'^([^ ]+ ){{0,2}}[^ ]+',0),'ß','s'))
+      when kind=1 then cast(cast(1+floor(src/12) as int) as string) || '.' || cast(src%12 as string) || ' ' || regexp_extract(raw,'^([^ ]+ ){{0,3}}[^ ]+',0)
+      when kind=2 and src%3=0 then regexp_extract(raw,'^([^ ]+ ){{0,8}}[^ ]+',0)
+      when kind=2 then regexp_extract(raw,'^([^ ]+ ){{0,4}}[^ ]+',0)
       when kind=3 then case doc_id%12
-        when 0 then '- ' || regexp_extract(raw,'^([^ ]+ ){0,2}[^ ]+',0)
-        when 1 then '12/05/2024 release'  when 2 then 'Page ' || cast(line_no as string)
+        when 0 then '- ' || regexp_extract(raw,'^([^ ]+ ){{0,2}}[^ ]+',0)
+        when 1 then '12/05/2024 release'  when 2 then 'Page ' || cast(src as string)
         when 3 then '10  20  30 40'       when 4 then '第１章　概要'
         when 5 then '***---!!!'           when 6 then '42'
         when 7 then 'ab'                  when 8 then 'March 5, 2024 report'
         when 9 then 'Item  10  20  30'    when 10 then 'VERSION 2.1'
         else 'Document version' end
       else raw end as text,
- cast(50 + case when kind=0 then 150 else (line_no%3)*5 end as double) as x0,
- cast(case when line_no%12=0 then 20 else 40 + (line_no%12)*60 end as double) as y0,
- cast(case when kind in (0,1,2,3) then 250 else 500 end as double) as width,
- cast(case when kind in (4,5) then 58 else 20 end as double) as height,
- cast(case when kind=0 then 18 when kind=1 then 14+(line_no%3)*0.2 when kind in (2,3) then 12 when kind=9 then 11.5 else 10+(doc_id%3)*0.5 end as double) as size,
- case when line_no%12=0 then 'Helvetica' when kind=0 then 'Arial-Black' when kind in (1,3) then 'Arial-BoldMT' else 'Times-Roman' end as font,
- cast(612 as double) as page_width, cast(792 as double) as page_height, cast(kind as int) as kind
-from (select *, (doc_id*7+line_no*13)%10 as kind from lines) z""")
+ 50 + case when kind=0 then 150 else (src%3)*5 end as x0, case when src%12=0 then 20 else 40 + (src%12)*60 end as y0,
+ case when kind in (0,1,2,3) then 250 else 500 end as width, case when kind in (4,5) then 58 else 20 end as height,
+ cast(case when kind=0 then 18 when kind=1 then 14+(src%4)*0.8 when kind=2 then 12+(src%7)*0.4 when kind=3 then 12 when kind=9 then 11.5
+      else 10+(doc_id%3)*0.5 end as double) as size,
+ case when src%12=0 then 'Helvetica' when kind=0 then 'Arial-Black' when kind in (1,3) then 'Arial-BoldMT' else 'Times-Roman' end as font, kind
+from (select *, line_no as src, (doc_id*7+line_no*13)%10 as kind from lines) z
+union all
+select doc_id, src, 1, cast(1+floor(src/12) as int), rest, 50 + (src%3)*5, case when src%12=0 then 85 else 65 + (src%12)*60 end,
+ 500, case when src%12=0 then 12 else 20 end, cast(10+(doc_id%3)*0.5 as double), 'Times-Roman', 6
+from (select *, case when src%12=0 then raw when kind=0 then {other_words(2)} when kind=1 then {other_words(3)}
+   when kind=2 and src%3=0 then {other_words(8)} when kind=2 then {other_words(4)}
+   when kind=3 and doc_id%12=0 then {other_words(2)} when kind=3 then raw else '' end as rest
+ from (select *, line_no as src, (doc_id*7+line_no*13)%10 as kind from lines) y) z where rest <> '') u""")
 
 cte("layout_lines", ("layout",), """select doc_id, page_num, line_no, text, x0, y0, x0+width as x1, y0+height as y1,
  size, font, page_width, page_height from layout""")
 
-cte("images", ("layout",), """select distinct doc_id*1000+page_num as image_id, 'PNG/p' || cast(doc_id as string) || '_' || cast(page_num as string) || '.png' as file_name,
+cte("images1", ("layout",), """select distinct doc_id*1000+page_num as image_id, 'PNG/p' || cast(doc_id as string) || '_' || cast(page_num as string) || '.png' as file_name,
  'doc_' || cast(doc_id as string) as doc_name, page_num as page_no,
  case when page_num%5=0 then null else page_width end as coco_width, case when page_num%5=0 then null else page_height end as coco_height from layout""")
 
-cte("cells", ("layout",), """select 'p' || cast(doc_id as string) || '_' || cast(page_num as string) as page_key, line_no as cell_no, ' ' || text || ' ' as text,
- x0 as x, y0 as y, width as w, height as h, size as font_size, font as font_name from layout where page_num%7<>0""")
+cte("images", ("images1",), """select * from images1 union all select image_id + 500, replace(file_name, 'PNG/p', 'PNG/n'), doc_name,
+ page_no + 500, coco_width, coco_height from images1 where page_no%7=0""")
+
+cte("cells", ("layout",), """select stem || cast(doc_id as string) || '_' || cast(page_num as string) as page_key, line_no as cell_no, ' ' || text || ' ' as text,
+ x0 as x, y0 as y, width as w, height as h, size as font_size, font as font_name from layout
+ join (values ('p'), ('q')) s(stem) on stem = 'p' or page_num%7=0""")
 
 cte("annotations", ("layout",), """select image_id, line_no*2+k as ann_id, category_id, cast(x as double) as x, cast(y as double) as y,
  cast(w as double) as w, cast(h as double) as h from (
  select doc_id*1000+page_num as image_id, line_no, 0 as k,
   case when kind=0 then 11 when kind in (1,2) then 8 when kind=3 and doc_id%24<12 then 9 else 10 end as category_id,
-  x0-5 + case when kind=9 and line_no%2=0 then 700 else 0 end as x, y0-5 as y, width+10 as w, height+10 as h from layout
- union all select doc_id*1000+page_num, line_no, 1, 10, x0-5, y0-5, width+10, height+10 from layout where kind=1 and line_no%2=0) u""")
+  x0-5 + case when kind=9 and src%2=0 then 700 else 0 end as x, y0-5 as y, width+10 as w, height+10 as h from layout
+ union all select doc_id*1000+page_num, line_no, 1, 10, x0-5, y0-5, width+10, height+10 from layout where kind=1 and src%2=0) u""")
 
 cte("categories", (), """select * from (values (8,'Section-header'),(9,'Table'),(10,'Text'),(11,'Title')) t(category_id,name)""")
 
 cte("scored", (), """select doc_id, quality as label, cast(least(999, quality*250 + (doc_id*7919)%700) as int) as score_milli from labels""")
 
 cte("expected_outline", ("layout",), """select doc_id, line_no as seq, 'H' || cast(kind+1 as string) as level, text || ' ' as text, page_num-1 as page
- from layout where kind in (0,1,2) and line_no%12<>0 and doc_id%10<>0""")
+ from layout where kind in (0,1,2) and src%12<>0 and doc_id%10<>0""")
 
-cte("actual_outline", ("layout",), """select doc_id, line_no as seq, 'H' || cast(case when line_no%3=0 then 4 else kind+1 end as string) as level, text, page_num as page
- from layout where kind in (0,1,2,3) and line_no%12<>0 and line_no%5<>0 and doc_id%17<>3""")
+cte("actual_outline", ("layout",), """select doc_id, line_no as seq, 'H' || cast(case when src%3=0 then 4 else kind+1 end as string) as level, text, page_num as page
+ from layout where kind in (0,1,2,3) and src%12<>0 and src%5<>0 and doc_id%17<>3""")
 
 cte("layout_words", ("layout",), """select * exclude (i, w), i-1 as span_no, w as word from (select l.*, unnest(string_split(text,' ')) as w,
  generate_subscripts(string_split(text,' '),1) as i from layout l)""")
 
-cte("spans", ("layout_words",), """select doc_id, page_num, line_no, cast(span_no as int) as span_no, case when span_no%6=5 then ' ' else word || ' ' end as text,
+cte("spans", ("layout_words",), """select doc_id, page_num, line_no, cast(no as int) as span_no, t as text,
  size + cast(case when span_no%2=1 then 0.2 else 0 end as double) as size, case when span_no%5=4 then 'Times-Bold' else font end as font,
- x0, y0, x0+width as x1, y0+height as y1, page_width, page_height, case when doc_id%50=49 and line_no%4=3 then 1 else 0 end as block_type
-from layout_words""")
+ x0, y0, x0+width as x1, y0+height as y1, page_width, page_height, bt as block_type
+from (select *, span_no*2 as no, word || ' ' as t, 0 as bt from layout_words
+ union all select *, span_no*2+1, ' ', 0 from layout_words where span_no%6=5
+ union all select *, -1, '[image]', 1 from layout_words where doc_id%50=49 and src%4=3 and span_no=0) w""")
 
 # ------------------------------------------------------- blocks & features
 cte("line_starts", ("layout_lines",), f"""select *, case
@@ -527,9 +549,9 @@ q("detect_language", ("lang_best",), """select d.doc_id, coalesce(b.lang, 'unkno
  from documents d left join lang_best b using (doc_id)""")
 
 # ----------------------------------------------------------- sources/plans
-q("clean_cells", ("cells",), """select page_key, cell_no, x, y, w, h, case when cell_no % 11 = 7 then '' else text end as text,
- case when cell_no % 17 = 3 then 0.0 else font_size end as font_size, case when cell_no % 17 = 3 then '' else font_name end as font_name
- from cells where cell_no % 13 <> 5""")
+q("clean_cells", ("cells",), """select page_key, no as cell_no, x, y, w, h, t as text, case when cell_no % 17 = 3 then 0.0 else font_size end as font_size,
+ case when cell_no % 17 = 3 then '' else font_name end as font_name
+ from (select *, cell_no as no, text as t from cells union all select *, cell_no + 2000000, '' from cells where cell_no % 11 = 7) u""")
 q("union_splits", ("images",), """select image_id, doc_name, case when (image_id // 1000) % 10 < 7 then 'train'
  when (image_id // 1000) % 10 < 9 then 'val' else 'test' end as split from images""")
 q("score_corpus", ("outline_flat",), """select d.doc_id,

@@ -13,10 +13,10 @@ filters should remove, 4-9 body text.  Every 12th line is a running header.
 
 The modulo expressions here are *structure rules* of the synthetic layout
 (which line is a heading, which page lacks a size, which document has no
-produced outline, ...): every line of every document becomes a layout row.
-Body lines keep their whole text.  Heading lines keep only their first few
-words, and decoys and running headers replace their line's text, so the
-layout does not hold every word of the documents.
+produced outline, ...).  Every word of every document is in the layout: a
+heading's line is followed by a body line with the words that the heading does
+not take, and decoys and running headers stand before the whole line.  Blank
+and non-text spans, unmatched pages and cells and broken cells are extra rows.
 """
 
 from __future__ import annotations
@@ -58,53 +58,72 @@ def _first_words(raw, n_extra: int):
     return F.regexp_extract(raw, r"^([^ ]+ ){0,%d}[^ ]+" % n_extra, 0)
 
 
+def _other_words(raw, n_extra: int):
+    return F.regexp_replace(raw, r"^([^ ]+ ){0,%d}[^ ]+ ?" % n_extra, "")
+
+
 def layout(documents: DataFrame) -> DataFrame:
-    """One text line with its box, font size and font name per row."""
-    ln = lines(documents).withColumn(
-        "kind", ((F.col("doc_id") * 7 + F.col("line_no") * 13) % 10).cast("int"))
-    line_no, doc_id, kind, raw = F.col("line_no"), F.col("doc_id"), F.col("kind"), F.col("raw")
-    page_num = (F.floor(line_no / 12) + 1).cast("int")
+    """One text line with its box, font size and font name per row.  ``src`` is
+    the document's line; ``line_no`` is twice that, one more for the body line
+    with the words that a heading, decoy or running header leaves."""
+    ln = lines(documents).withColumnRenamed("line_no", "src").withColumn(
+        "kind", ((F.col("doc_id") * 7 + F.col("src") * 13) % 10).cast("int"))
+    src, doc_id, kind, raw = F.col("src"), F.col("doc_id"), F.col("kind"), F.col("raw")
+    page_num = (F.floor(src / 12) + 1).cast("int")
     decoy = F.when(doc_id % 12 == 0, F.concat(F.lit("- "), _first_words(raw, 2)))
-    decoy = decoy.when(doc_id % 12 == 2, F.concat(F.lit("Page "), line_no.cast("string")))
+    decoy = decoy.when(doc_id % 12 == 2, F.concat(F.lit("Page "), src.cast("string")))
     for k, v in DECOYS.items():
         decoy = decoy.when(doc_id % 12 == k, F.lit(v))
     text = (
-        F.when(line_no % 12 == 0, F.concat(F.lit("Running Header "), doc_id.cast("string")))
+        F.when(src % 12 == 0, F.concat(F.lit("Running Header "), doc_id.cast("string")))
         .when(kind == 0, F.upper(F.regexp_replace(_first_words(raw, 2), "ß", "s")))
-        .when(kind == 1, F.concat(page_num.cast("string"), F.lit("."), (line_no % 12).cast("string"),
+        .when(kind == 1, F.concat(page_num.cast("string"), F.lit("."), (src % 12).cast("string"),
                                   F.lit(" "), _first_words(raw, 3)))
+        .when((kind == 2) & (src % 3 == 0), _first_words(raw, 8))
         .when(kind == 2, _first_words(raw, 4))
         .when(kind == 3, decoy)
         .otherwise(raw)
     )
+    rest = (
+        F.when(src % 12 == 0, raw)
+        .when(kind == 0, _other_words(raw, 2))
+        .when(kind == 1, _other_words(raw, 3))
+        .when((kind == 2) & (src % 3 == 0), _other_words(raw, 8))
+        .when(kind == 2, _other_words(raw, 4))
+        .when((kind == 3) & (doc_id % 12 == 0), _other_words(raw, 2))
+        .when(kind == 3, raw)
+        .otherwise("")
+    )
     size = (
         F.when(kind == 0, 18.0)
-        .when(kind == 1, 14.0 + (line_no % 3) * 0.2)
-        .when(kind.isin(2, 3), 12.0)
+        .when(kind == 1, 14.0 + (src % 4) * 0.8)
+        .when(kind == 2, 12.0 + (src % 7) * 0.4)
+        .when(kind == 3, 12.0)
         .when(kind == 9, 11.5)
         .otherwise(10.0 + (doc_id % 3) * 0.5)
     )
     font = (
-        F.when(line_no % 12 == 0, "Helvetica")
+        F.when(src % 12 == 0, "Helvetica")
         .when(kind == 0, "Arial-Black")
         .when(kind.isin(1, 3), "Arial-BoldMT")
         .otherwise("Times-Roman")
     )
-    return ln.select(
-        "doc_id",
-        page_num.alias("page_num"),
-        line_no.cast("int").alias("line_no"),
-        text.alias("text"),
-        (50.0 + F.when(kind == 0, 150).otherwise((line_no % 3) * 5)).cast("double").alias("x0"),
-        F.when(line_no % 12 == 0, 20).otherwise(40 + (line_no % 12) * 60).cast("double").alias("y0"),
+    y0 = F.when(src % 12 == 0, 20).otherwise(40 + (src % 12) * 60)
+    head = F.struct(
+        F.lit(0).alias("k"), text.alias("text"),
+        (50.0 + F.when(kind == 0, 150).otherwise((src % 3) * 5)).cast("double").alias("x0"), y0.cast("double").alias("y0"),
         F.when(kind.isin(0, 1, 2, 3), 250).otherwise(500).cast("double").alias("width"),
         F.when(kind.isin(4, 5), 58).otherwise(20).cast("double").alias("height"),
-        size.cast("double").alias("size"),
-        font.alias("font"),
-        F.lit(612.0).alias("page_width"),
-        F.lit(792.0).alias("page_height"),
-        kind.alias("kind"),
-    )
+        size.cast("double").alias("size"), font.alias("font"), kind.alias("kind"))
+    body = F.struct(
+        F.lit(1).alias("k"), rest.alias("text"), (50.0 + (src % 3) * 5).cast("double").alias("x0"),
+        F.when(src % 12 == 0, 85).otherwise(y0 + 25).cast("double").alias("y0"), F.lit(500.0).alias("width"),
+        F.when(src % 12 == 0, 12).otherwise(20).cast("double").alias("height"),
+        (10.0 + (doc_id % 3) * 0.5).cast("double").alias("size"), F.lit("Times-Roman").alias("font"), F.lit(6).alias("kind"))
+    both = ln.select("doc_id", "src", page_num.alias("page_num"), F.explode(F.array(head, body)).alias("l"))
+    return both.where("l.k = 0 or l.text <> ''").select(
+        "doc_id", "page_num", (src * 2 + F.col("l.k")).cast("int").alias("line_no"), "l.text", "l.x0", "l.y0", "l.width", "l.height",
+        "l.size", "l.font", F.lit(612.0).alias("page_width"), F.lit(792.0).alias("page_height"), "l.kind", "src")
 
 
 def layout_lines(documents: DataFrame) -> DataFrame:
@@ -117,13 +136,14 @@ def layout_lines(documents: DataFrame) -> DataFrame:
 
 
 def images(documents: DataFrame) -> DataFrame:
-    """COCO image records; every fifth page has no size (default applies)."""
+    """COCO image records; every fifth page has no size (default applies), and
+    every seventh has a second record that no cell page matches."""
     return images_from(layout(documents))
 
 
 def images_from(lay: DataFrame) -> DataFrame:
     no_size = F.col("page_num") % 5 == 0
-    return lay.select(
+    found = lay.select(
         (F.col("doc_id") * 1000 + F.col("page_num")).alias("image_id"),
         F.concat(F.lit("PNG/p"), F.col("doc_id").cast("string"), F.lit("_"),
                  F.col("page_num").cast("string"), F.lit(".png")).alias("file_name"),
@@ -132,17 +152,24 @@ def images_from(lay: DataFrame) -> DataFrame:
         F.when(no_size, F.lit(None)).otherwise(F.col("page_width")).cast("double").alias("coco_width"),
         F.when(no_size, F.lit(None)).otherwise(F.col("page_height")).cast("double").alias("coco_height"),
     ).distinct()
+    doubled = F.when(F.col("page_no") % 7 == 0, F.array(F.lit(0), F.lit(500))).otherwise(F.array(F.lit(0)))
+    more = found.withColumn("more", F.explode(doubled))
+    return more.select(
+        (F.col("image_id") + F.col("more")).alias("image_id"),
+        F.when(F.col("more") > 0, F.regexp_replace("file_name", "PNG/p", "PNG/n")).otherwise(F.col("file_name")).alias("file_name"),
+        "doc_name", (F.col("page_no") + F.col("more")).alias("page_no"), "coco_width", "coco_height")
 
 
 def cells(documents: DataFrame) -> DataFrame:
-    """Page text cells keyed by file stem; every seventh page has none."""
+    """Page text cells keyed by file stem; those of every seventh page are also
+    there under a stem that no image has."""
     return cells_from(layout(documents))
 
 
 def cells_from(lay: DataFrame) -> DataFrame:
-    lay = lay.where(F.col("page_num") % 7 != 0)
-    return lay.select(
-        F.concat(F.lit("p"), F.col("doc_id").cast("string"), F.lit("_"),
+    stems = F.when(F.col("page_num") % 7 == 0, F.array(F.lit("p"), F.lit("q"))).otherwise(F.array(F.lit("p")))
+    return lay.withColumn("stem", F.explode(stems)).select(
+        F.concat(F.col("stem"), F.col("doc_id").cast("string"), F.lit("_"),
                  F.col("page_num").cast("string")).alias("page_key"),
         F.col("line_no").alias("cell_no"),
         F.concat(F.lit(" "), F.col("text"), F.lit(" ")).alias("text"),
@@ -164,9 +191,9 @@ def annotations_from(lay: DataFrame) -> DataFrame:
         image_id.alias("image_id"), "line_no", F.lit(0).alias("k"),
         F.when(kind == 0, 11).when(kind.isin(1, 2), 8)
          .when((kind == 3) & (F.col("doc_id") % 24 < 12), 9).otherwise(10).alias("category_id"),
-        (F.col("x0") - 5 + F.when((kind == 9) & (F.col("line_no") % 2 == 0), 700).otherwise(0)).alias("x"),
+        (F.col("x0") - 5 + F.when((kind == 9) & (F.col("src") % 2 == 0), 700).otherwise(0)).alias("x"),
         (F.col("y0") - 5).alias("y"), (F.col("width") + 10).alias("w"), (F.col("height") + 10).alias("h"))
-    extra = lay.where((kind == 1) & (F.col("line_no") % 2 == 0)).select(
+    extra = lay.where((kind == 1) & (F.col("src") % 2 == 0)).select(
         image_id.alias("image_id"), "line_no", F.lit(1).alias("k"), F.lit(10).alias("category_id"),
         (F.col("x0") - 5).alias("x"), (F.col("y0") - 5).alias("y"),
         (F.col("width") + 10).alias("w"), (F.col("height") + 10).alias("h"))
@@ -195,7 +222,7 @@ def expected_outline(documents: DataFrame) -> DataFrame:
     """Golden outline entries: 0-based pages, trailing space, every tenth
     document empty."""
     lay = layout(documents)
-    return lay.where(F.col("kind").isin(0, 1, 2) & (F.col("line_no") % 12 != 0) & (F.col("doc_id") % 10 != 0)).select(
+    return lay.where(F.col("kind").isin(0, 1, 2) & (F.col("src") % 12 != 0) & (F.col("doc_id") % 10 != 0)).select(
         "doc_id", F.col("line_no").alias("seq"),
         F.concat(F.lit("H"), (F.col("kind") + 1).cast("string")).alias("level"),
         F.concat(F.col("text"), F.lit(" ")).alias("text"), (F.col("page_num") - 1).alias("page"))
@@ -205,29 +232,33 @@ def actual_outline(documents: DataFrame) -> DataFrame:
     """Produced outline entries with misses, decoys and wrong levels;
     documents with doc_id mod 17 = 3 are missing."""
     lay = layout(documents)
-    cond = (F.col("kind").isin(0, 1, 2, 3) & (F.col("line_no") % 12 != 0) & (F.col("line_no") % 5 != 0)
+    cond = (F.col("kind").isin(0, 1, 2, 3) & (F.col("src") % 12 != 0) & (F.col("src") % 5 != 0)
             & (F.col("doc_id") % 17 != 3))
-    lvl = F.when(F.col("line_no") % 3 == 0, 4).otherwise(F.col("kind") + 1)
+    lvl = F.when(F.col("src") % 3 == 0, 4).otherwise(F.col("kind") + 1)
     return lay.where(cond).select(
         "doc_id", F.col("line_no").alias("seq"), F.concat(F.lit("H"), lvl.cast("string")).alias("level"),
         "text", F.col("page_num").alias("page"))
 
 
 def spans(documents: DataFrame) -> DataFrame:
-    """Parsed-PDF-like spans: each layout line split into words, a span
-    each, with blank spans, mixed fonts and sizes, and a few
-    non-text blocks (block_type 1)."""
+    """Parsed-PDF-like spans: each layout line split into words, a span each,
+    with mixed fonts and sizes, a blank span after every sixth word, and in
+    some documents a span of a non-text block (block_type 1) beside every
+    fourth line."""
     lay = layout(documents)
-    words = lay.select("*", F.posexplode(F.split(F.col("text"), " ", -1)).alias("span_no", "word"))
-    sn = F.col("span_no")
-    return words.select(
-        "doc_id", "page_num", "line_no", sn.cast("int").alias("span_no"),
-        F.when(sn % 6 == 5, F.lit(" ")).otherwise(F.concat(F.col("word"), F.lit(" "))).alias("text"),
+    words = lay.select("*", F.posexplode(F.split(F.col("text"), " ", -1)).alias("sn", "word"))
+    sn = F.col("sn")
+    word = F.struct((sn * 2).alias("span_no"), F.concat(F.col("word"), F.lit(" ")).alias("text"), F.lit(0).alias("block_type"))
+    blank = F.struct((sn * 2 + 1).alias("span_no"), F.lit(" ").alias("text"), F.lit(0).alias("block_type"))
+    image = F.struct(F.lit(-1).alias("span_no"), F.lit("[image]").alias("text"), F.lit(1).alias("block_type"))
+    beside = (F.col("doc_id") % 50 == 49) & (F.col("src") % 4 == 3) & (sn == 0)
+    found = (F.when(beside, F.array(image, word)).when(sn % 6 == 5, F.array(word, blank)).otherwise(F.array(word)))
+    return words.withColumn("s", F.explode(found)).select(
+        "doc_id", "page_num", "line_no", F.col("s.span_no").cast("int").alias("span_no"), "s.text",
         (F.col("size") + F.when(sn % 2 == 1, 0.2).otherwise(0.0)).cast("double").alias("size"),
         F.when(sn % 5 == 4, F.lit("Times-Bold")).otherwise(F.col("font")).alias("font"),
         "x0", "y0", (F.col("x0") + F.col("width")).alias("x1"), (F.col("y0") + F.col("height")).alias("y1"),
-        "page_width", "page_height",
-        F.when((F.col("doc_id") % 50 == 49) & (F.col("line_no") % 4 == 3), 1).otherwise(0).alias("block_type"))
+        "page_width", "page_height", "s.block_type")
 
 
 def expected_docs(documents: DataFrame) -> DataFrame:
@@ -241,15 +272,18 @@ def actual_docs(documents: DataFrame) -> DataFrame:
 
 
 def raw_cells(documents: DataFrame) -> DataFrame:
-    """Page text cells in the nested shape of a parsed page file: a bbox
-    array (three numbers for some cells), optional text and font fields."""
+    """Page text cells in the nested shape of a parsed page file: a bbox array
+    and font fields that some lack; beside some cells stands a broken one (a
+    box of three numbers) or one without text."""
     c = cells(documents)
     n = F.col("cell_no")
-    bbox = F.when(n % 13 == 5, F.array("x", "y", "w")).otherwise(F.array("x", "y", "w", "h"))
+    whole = F.array("x", "y", "w", "h")
     font = F.when(n % 17 == 3, F.lit(None)).otherwise(F.struct(F.col("font_size").alias("size"),
                                                                  F.col("font_name").alias("name")))
-    return c.select("page_key", "cell_no", bbox.alias("bbox"),
-                    F.when(n % 11 == 7, F.lit(None)).otherwise(F.col("text")).alias("text"), font.alias("font"))
+    rows = lambda df, no, bbox, text: df.select("page_key", no.alias("cell_no"), bbox.alias("bbox"), text.alias("text"), font.alias("font"))
+    return (rows(c, n, whole, F.col("text"))
+            .unionByName(rows(c.where(n % 13 == 5), n + 1_000_000, F.array("x", "y", "w"), F.col("text")))
+            .unionByName(rows(c.where(n % 11 == 7), n + 2_000_000, whole, F.lit(None).cast("string"))))
 
 
 def image_splits(documents: DataFrame) -> dict[str, DataFrame]:
