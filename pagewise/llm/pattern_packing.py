@@ -12,6 +12,7 @@ the assignment is a join on (part, length) and no piece passes the driver.
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 from typing import NamedTuple
 from zlib import crc32
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewise.llm import words
-from pagewise.llm.common import bounded_batches, stage
+from pagewise.llm.common import stage
 
 SIZE = 2048
 #: Rounds of the fit.
@@ -32,7 +33,9 @@ ROUNDS = 400
 #: Id after every document.
 END = 0
 #: Bytes of text that are encoded at once, and words whose ids a worker keeps.
-PIECE, KEPT_WORDS = 1 << 22, 1 << 19
+PIECE, KEPT_WORDS = 1 << 23, 1 << 20
+#: Words of Latin letters alone, and how many of them are encoded as one text.
+_PLAIN, TOGETHER = re.compile("[a-zA-Z\xC0-\xD6\xD8-\xF6\xF8-\xFF]+").fullmatch, 1000
 
 _MARK = np.zeros(256, dtype=bool)
 _MARK[list(b".,;:!?")] = True
@@ -47,6 +50,15 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=2)
+def _ends_word(path: str) -> np.ndarray:
+    """Of every id, whether it ends a word."""
+    vocabulary = _tokenizer(path).get_vocab()
+    out = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+    out[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+    return out
+
+
 def _parted(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The texts in lower case with a space between a word and the punctuation
     mark after it, where neither alters ids: A-Z before ASCII or U+00C0 to U+00FF
@@ -74,17 +86,40 @@ class WordIds:
         #: Every known word's number; number k has ids[bounds[k]:bounds[k + 1]], number 0 is END.
         self.known, self.ids, self.bounds = {}, np.array([END], np.uint32), np.array([0, 1])
 
+    def _coded(self, plain: list[str], others: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words one after the other, and each word's number of ids.
+        Plain words go together, as one text: each ends with its first id that
+        ends a word."""
+        tokenizer, ids, sizes = _tokenizer(self.path), [], []
+        runs = [plain[a:a + TOGETHER] for a in range(0, len(plain), TOGETHER)]
+        for run, e in zip(runs, tokenizer.encode_batch_fast([" ".join(run) for run in runs], add_special_tokens=False), strict=True):
+            got = np.array(e.ids, dtype=np.uint32)
+            last = np.flatnonzero(_ends_word(self.path)[got])
+            if len(last) != len(run) or last[-1] != len(got) - 1:
+                raise ValueError("the tokenizer does not mark the ends of words")
+            ids.append(got)
+            sizes.append(np.diff(last, prepend=-1))
+        each = [e.ids for e in tokenizer.encode_batch_fast(others, add_special_tokens=False)]
+        ids.append(np.array([i for x in each for i in x], np.uint32))
+        sizes.append(np.array([len(x) for x in each], np.int64))
+        return np.concatenate(ids), np.concatenate(sizes)
+
     def _numbers(self, found: list[str]) -> np.ndarray:
         new = [w for w in found if w not in self.known]
         if len(self.known) + len(new) > KEPT_WORDS:
             self._forget()
             new = found
         if new:
-            coded = [e.ids for e in _tokenizer(self.path).encode_batch_fast(new, add_special_tokens=False)]
-            self.known.update(zip(new, range(len(self.bounds) - 1, len(self.bounds) - 1 + len(new)), strict=True))
-            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum([len(x) for x in coded])])
-            self.ids = np.concatenate([self.ids, np.array([i for x in coded for i in x], np.uint32)])
-        return np.array([self.known[w] for w in found], dtype=np.int64)
+            plain, others = [], []
+            for w in new:
+                (plain if _PLAIN(w) else others).append(w)
+            ids, sizes = self._coded(plain, others)
+            at = len(self.bounds) - 1
+            self.known.update(zip(plain + others, range(at, at + len(new)), strict=True))
+            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
+            self.ids = np.concatenate([self.ids, ids])
+        known = self.known
+        return np.array([known[w] for w in found], dtype=np.int64)
 
     def encode(self, text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a run of texts, END after each, and the texts' bounds in them."""
@@ -282,7 +317,7 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, size: int = SIZE) -> D
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
-    pieces = stage(bounded_batches(docs).select("doc_id", "text").mapInArrow(lambda b: _pieces(b, path, size), f"{schema}, part int, nth long"))
+    pieces = stage(docs.select("doc_id", "text").mapInArrow(lambda b: _pieces(b, path, size), f"{schema}, part int, nth long"))
     counts = stage(pieces.groupBy("part", "length").agg(F.count("*").alias("n")))
     histogram = np.zeros(size + 1, dtype=np.int64)
     for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most ``size`` rows

@@ -113,7 +113,7 @@ def test_word_ids_are_the_tokenizers(tokenizer, monkeypatch):
     marks = [chr(i) for i in range(0x180)] + list("̸̱̀́̌̇  　\x85ẞİΣσ日本…—“”’sStT'.,;:!?<|>AJHTWY") * 3
     marks += ["<|endoftext|>", "'s", "'ll", "J̌", "T̈", "\U0001F600", "ﬁ", "\x1c"]
     texts = ["".join(random.choice(marks) for _ in range(random.randint(0, 40))) for _ in range(8000)] + [t or "" for _, t, _ in ROWS]
-    for kept in (1 << 19, 300):
+    for kept in (1 << 20, 300):
         monkeypatch.setattr(pattern_packing, "KEPT_WORDS", kept)
         encoder = pattern_packing.WordIds(PATH)
         for row, data, offsets in words.pieces(pa.array(texts), 1 << 12):
