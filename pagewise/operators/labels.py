@@ -1,16 +1,22 @@
 """Labelling annotated pages: cells x annotation boxes.
 
 ``center_inside_join`` is a theta join restricted to one page.  Instead of a
-nested loop over all cells x boxes of a page, boxes are exploded into
-horizontal bands of fixed height and joined on (page, band) -- a bucketed
-range join -- then the exact inclusive containment test is applied.  A cell
-centre falls in exactly one band, so there are no duplicates, and a page with
-very many cells is split across (page, band) keys.
+nested loop over all cells x boxes of a page, boxes lie in horizontal bands
+whose height fits theirs: level k has bands of ``BAND * GROWTH ** k``, a box
+goes to the lowest level with bands as high as itself, so it lies in two bands
+whatever its height (three if rounding moves an edge).  A cell centre looks up
+one band on each level that boxes of its page use, then the exact inclusive
+containment test is applied.  A box is on one level and a centre in one band
+of it, so there are no duplicates, and a page with very many cells is split
+across (page, level, band) keys.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import operator
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewise.functions import geometry as G
@@ -28,8 +34,12 @@ MIN_CELL_CHARS = 3
 MAX_HEADING_LEVEL = 6
 OTHER_HEADING = "Other-Heading"
 
-# Band height (page units) of the bucketed containment join.
+# Band height (page units) of the lowest level of the containment join, the
+# growth from level to level, and the level without bands, for boxes higher
+# than all others' bands (2.7e11 units, or infinite).
 BAND = 64.0
+GROWTH = 4
+TOP_LEVEL = 16
 
 
 def with_page_key(images: DataFrame) -> DataFrame:
@@ -46,35 +56,61 @@ def join_pages_cells(images: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def annotated_boxes(annotations: DataFrame, categories: DataFrame, keep=tuple(CATEGORY_PRIORITY)) -> DataFrame:
-    """Annotations with their category name, restricted to ``keep``.  The
-    category table is a fixed-size dimension (a few dozen rows), so it is
-    broadcast."""
-    named = annotations.join(F.broadcast(categories.select("category_id", "name")), "category_id", "left")
-    return named.where(F.col("name").isin(*keep))
+    """Annotations with their category name, restricted to ``keep``.  Of the
+    category table only the rows with these names are joined; Spark broadcasts
+    them if their measured size allows it."""
+    kept = categories.where(F.col("name").isin(*keep)).select("category_id", "name")
+    return annotations.join(kept, "category_id")
+
+
+def _level(height, band: float) -> Column:
+    """The lowest level whose bands are at least as high."""
+    return reduce(operator.add, [(height > band * GROWTH ** k).cast("int") for k in range(TOP_LEVEL)])
+
 
+def _band(y, level, band: float) -> Column:
+    # floor() saturates at the ends of a long and keeps the order
+    return F.when(level == TOP_LEVEL, F.lit(0).cast("bigint")).otherwise(F.floor(y / (band * F.pow(F.lit(float(GROWTH)), level))))
 
-def _bands(lo, hi, band: float):
-    return F.sequence(F.floor(lo / band).cast("bigint"), F.floor(hi / band).cast("bigint"))
+
+def _placed(outer: DataFrame, band: float, oy: str, oh: str, *others: str) -> DataFrame:
+    """The boxes that a centre can lie in, with their ``_level``."""
+    end = F.col(oy) + F.col(oh)
+    ok = (F.col(oh) >= 0) & ~F.isnan(F.col(oh)) & ~F.isnan(end)
+    for c in others:
+        ok = ok & F.col(c).isNotNull()
+    return outer.where(ok).withColumn("_level", _level(F.col(oh), band))
+
+
+def box_levels(outer: DataFrame, page, outer_box=("ax", "ay", "aw", "ah"), band: float = BAND) -> DataFrame:
+    """Per page the levels that its boxes use (``_levels``: at most
+    ``TOP_LEVEL + 1`` numbers); pages without boxes are left out."""
+    ox, oy, ow, oh = outer_box
+    keys = [page] if isinstance(page, str) else list(page)
+    return _placed(outer, band, oy, oh, ox, ow).groupBy(*keys).agg(F.collect_set("_level").alias("_levels"))
 
 
 def center_inside_join(inner: DataFrame, outer: DataFrame, page="image_id",
-                       inner_box=("x", "y", "w", "h"), outer_box=("ax", "ay", "aw", "ah"),
-                       band: float = BAND) -> DataFrame:
+                       inner_box=("x", "y", "w", "h"), outer_box=("ax", "ay", "aw", "ah"), band: float = BAND) -> DataFrame:
     """Pairs (inner row, outer row) of the same page where the inner box's
     centre lies in the outer box, edges inclusive.  Boxes are [x, y, w, h]
     columns; rows with a null coordinate never match.  ``page`` is the page
-    key: a column name or a list of them."""
+    key: a column name or a list of them.  ``inner`` may bring the column
+    ``_levels`` of ``box_levels`` with the same ``band`` (height of the lowest
+    level's bands); without it, it is joined here."""
     ix, iy, iw, ih = inner_box
     ox, oy, ow, oh = outer_box
-    cy = F.col(iy) + F.col(ih) / 2.0
-    inner_b = inner.where(F.col(ix).isNotNull() & F.col(iw).isNotNull() & cy.isNotNull() & ~F.isnan(cy)) \
-        .withColumn("_band", F.floor(cy / band).cast("bigint"))
-    ok = (F.col(ox).isNotNull() & F.col(oy).isNotNull() & F.col(ow).isNotNull() & F.col(oh).isNotNull()
-          & ~F.isnan(F.col(oy)) & ~F.isnan(F.col(oh)) & (F.col(oh) >= 0))
-    outer_b = outer.where(ok).withColumn("_band", F.explode(_bands(F.col(oy), F.col(oy) + F.col(oh), band)))
     keys = [page] if isinstance(page, str) else list(page)
-    joined = inner_b.join(outer_b, on=[*keys, "_band"], how="inner")
-    return joined.where(G.center_inside(ix, iy, iw, ih, ox, oy, ow, oh)).drop("_band")
+    if "_levels" not in inner.columns:
+        inner = inner.join(box_levels(outer, keys, outer_box, band), keys)
+    cy = F.col(iy) + F.col(ih) / 2.0
+    probes = inner.where(F.col(ix).isNotNull() & F.col(iw).isNotNull() & cy.isNotNull() & ~F.isnan(cy)) \
+        .withColumn("_level", F.explode("_levels")).drop("_levels").withColumn("_band", _band(cy, F.col("_level"), band))
+    level = F.col("_level")
+    boxes = _placed(outer, band, oy, oh, ox, ow).withColumn(
+        "_band", F.explode(F.sequence(_band(F.col(oy), level, band), _band(F.col(oy) + F.col(oh), level, band))))
+    joined = probes.join(boxes, on=[*keys, "_level", "_band"], how="inner")
+    return joined.where(G.center_inside(ix, iy, iw, ih, ox, oy, ow, oh)).drop("_level", "_band")
 
 
 def page_key_columns(split_key: bool) -> list[str]:
@@ -101,18 +137,24 @@ def _boxes(annotations: DataFrame, categories: DataFrame, page: list[str], keep,
     return named.select(*cols)
 
 
+def _annotated_cells(images: DataFrame, cells: DataFrame, boxes: DataFrame, page: list[str]) -> DataFrame:
+    """Cells of the pages that have boxes, with the pages' ``_levels``: pages
+    without are dropped before their cells are shuffled."""
+    return join_pages_cells(images.join(box_levels(boxes, page), page), cells)
+
+
 def label_cells(images: DataFrame, cells: DataFrame, annotations: DataFrame, categories: DataFrame,
                 split_key: bool = False) -> DataFrame:
     """Per cell the highest category among the boxes containing its centre
     (Title > Section-header > Text); cells in no box are dropped.  One hash
     aggregate per cell with map-side combine."""
     page = page_key_columns(split_key)
-    pc = join_pages_cells(images, cells)
     boxes = _boxes(annotations, categories, page, tuple(CATEGORY_PRIORITY))
+    pc = _annotated_cells(images, cells, boxes, page)
     prio = F.create_map(*[x for k, v in CATEGORY_PRIORITY.items() for x in (F.lit(k), F.lit(v))])
     pairs = center_inside_join(pc, boxes, page=page).withColumn("prio", prio[F.col("name")])
     keys = [*_record_key(pc), "cell_no"]
-    carry = [c for c in pc.columns if c not in keys]
+    carry = [c for c in pc.columns if c not in keys and c != "_levels"]
     best = pairs.groupBy(*keys).agg(F.max("prio").alias("prio"), *[F.first(c).alias(c) for c in carry])
     inv = F.create_map(*[x for k, v in CATEGORY_PRIORITY.items() for x in (F.lit(v), F.lit(k))])
     return best.withColumn("original_category", inv[F.col("prio")]).withColumn(
@@ -162,9 +204,9 @@ def region_text(images: DataFrame, cells: DataFrame, annotations: DataFrame, cat
     weight of the leftmost cell; the annotation's own box.  Annotations
     containing no cell or only blank text are dropped."""
     page = page_key_columns(split_key)
-    pc = join_pages_cells(images, cells)
     boxes = _boxes(annotations, categories, page, HEADING_CATEGORIES, extra=("ann_id",)) \
         .withColumnRenamed("name", "category")
+    pc = _annotated_cells(images, cells, boxes, page)
     pairs = center_inside_join(pc, boxes, page=page)
     region_key = [*_record_key(pc), *(["ann_split"] if "ann_split" in boxes.columns else []), "ann_id"]
     parts = F.array_sort(F.collect_list(F.struct(F.col("x").alias("k1"), F.col("cell_no").alias("k2"),

@@ -29,6 +29,28 @@ def test_center_inside_join_matches_brute_force(spark):
     assert got == exp
 
 
+def test_center_inside_join_boxes_of_any_height(spark):
+    """From zero to infinite height: equal to brute force, at most three rows a box."""
+    inf, nan = float("inf"), float("nan")
+    rng = random.Random(5)
+    heights = [0.0, 1e-20, 63.9, 64.0, 64.1, 256.0, 1e4, 1e9, 1e12, 1e300, inf]
+    anns = [(1, i, 0.0, rng.choice([-1e-20, 0.0, -64.0, 100.5, -1e300, 1e17, -inf]), 10.0, rng.choice(heights)) for i in range(300)]
+    anns += [(1, 900, 0.0, 0.0, 10.0, -1.0), (1, 901, 0.0, nan, 10.0, 5.0), (1, 902, 0.0, 0.0, 10.0, nan),
+             (1, 903, 0.0, 0.0, 10.0, None), (2, 904, 0.0, -inf, 10.0, inf), (None, 905, 0.0, 0.0, 10.0, 10.0)]
+    cells = [(1, i, 0.0, y, 4.0, h) for i, (y, h) in enumerate(
+        [(0.0, 0.0), (-64.0, 0.0), (64.0, 0.0), (-1e-20, 0.0), (100.5, 3.0), (1e17, 2.0), (1e300, 0.0), (-1e300, 0.0),
+         (inf, 0.0), (-inf, 0.0), (nan, 0.0), (5e8, 1e9)])]
+    cells += [(1, 90, 0.0, None, 4.0, 1.0), (None, 91, 0.0, 1.0, 4.0, 1.0), (3, 92, 0.0, 1.0, 4.0, 1.0)]
+    cdf = spark.createDataFrame(cells, "image_id long, cell_no int, x double, y double, w double, h double")
+    adf = spark.createDataFrame(anns, "image_id long, ann_id int, ax double, ay double, aw double, ah double")
+    got = sorted(tuple(r) for r in L.center_inside_join(cdf, adf).select("image_id", "cell_no", "ann_id").collect())
+    exp = sorted((c[0], c[1], a[1]) for c in cells for a in anns
+                 if c[0] == a[0] and c[0] is not None and None not in c + a and inside(c[2:], a[2:]))
+    assert got == exp and len(got) > 300
+    assert L.box_levels(adf.where("ann_id < 900"), "image_id").selectExpr("size(_levels) n").first()["n"] <= L.TOP_LEVEL + 1
+    assert L.center_inside_join(cdf.limit(0), adf).count() == L.center_inside_join(cdf, adf.limit(0)).count() == 0
+
+
 def test_label_priority_and_noise(spark):
     images = spark.createDataFrame([(1, "PNG/p1.png", "d", 1, None, None)],
                                    "image_id long, file_name string, doc_name string, page_no int, coco_width double, coco_height double")
