@@ -189,33 +189,53 @@ def _texts(outline: DataFrame, key: str) -> DataFrame:
                           py_strip(F.coalesce(F.col("text"), F.lit(""))).alias("text"))
 
 
-def outline_intersect(expected: DataFrame, actual: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Distinct (doc, level, stripped text) present on both sides."""
-    return _texts(expected, key).distinct().intersect(_texts(actual, key).distinct())
+# Side bits of an outline entry or of a document.
+_EXP, _ACT, _EXP_DOC, _ACT_DOC = 1, 2, 4, 8
 
 
-def outline_metrics(expected: DataFrame, actual: DataFrame, exp_docs: DataFrame, act_docs: DataFrame,
-                    key: str = "doc_id") -> DataFrame:
-    """Per document with both an expected and an actual outline: set sizes,
-    matches, recall, precision and F1 over distinct stripped texts and over
-    distinct (level, text) pairs.  Empty expected -> recall 1, empty actual
-    -> precision 1, both zero -> F1 0."""
-    e, a = _texts(expected, key), _texts(actual, key)
-
-    def side_counts(cols, prefix):
-        ed = e.select(key, *cols).distinct().withColumn("_e", F.lit(1))
-        ad = a.select(key, *cols).distinct().withColumn("_a", F.lit(1))
-        both = ed.join(ad, [key, *cols], "full_outer")
-        return both.groupBy(key).agg(F.count("_e").alias(f"{prefix}_exp"), F.count("_a").alias(f"{prefix}_act"),
-                                     F.count(F.when(F.col("_e").isNotNull() & F.col("_a").isNotNull(), 1))
-                                     .alias(f"{prefix}_match"))
-
-    docs = exp_docs.select(key).distinct().join(act_docs.select(key).distinct(), key, "left_semi")
-    t = side_counts(["text"], "t")
-    p = side_counts(["level", "text"], "p")
-    m = docs.join(t, key, "left").join(p, key, "left").fillna(0)
-    out = m.select(
-        key, F.col("p_exp").alias("n_exp_pairs"), F.col("p_act").alias("n_act_pairs"),
+def _side_bits(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
+    """(doc, level, text, bits): distinct entries and the sides that have them."""
+    both = _texts(expected, key).withColumn("bits", F.lit(_EXP)).unionByName(_texts(actual, key).withColumn("bits", F.lit(_ACT)))
+    return both.groupBy(key, "level", "text").agg(F.bit_or("bits").alias("bits"))
+
+
+def outline_intersect(expected: DataFrame, actual: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Distinct (doc, level, stripped text) present on both sides."""
+    return _side_bits(expected, actual, key).where(F.col("bits") == _EXP | _ACT).drop("bits")
+
+
+def outline_counts(expected: DataFrame, actual: DataFrame, exp_docs: DataFrame, act_docs: DataFrame,
+                   key: str = "doc_id") -> DataFrame:
+    """Per document of any table the sizes and matches of its distinct (level,
+    text) pairs (``p_*``) and texts (``t_*``), ``in_exp`` and ``in_act``.
+
+    One scan a table and three aggregates, each with map-side combine: pairs
+    with the bits of the sides that have them, texts with the pairs' bits,
+    documents with the texts' counts.  Documents come in as rows without a
+    text, so no join is needed.  A null document is none."""
+    def docs(df, bit):
+        return df.select(key, F.lit(None).cast("string").alias("text"), F.lit(bit).alias("bits"),
+                         *[F.lit(0).cast("long").alias(c) for c in ("p_exp", "p_act", "p_match")])
+
+    def has(bits, side):
+        return F.col(bits).bitwiseAND(side) == side
+
+    pairs = _side_bits(expected, actual, key).select(
+        key, "text", "bits", has("bits", _EXP).cast("long").alias("p_exp"), has("bits", _ACT).cast("long").alias("p_act"),
+        has("bits", _EXP | _ACT).cast("long").alias("p_match"))
+    every = pairs.unionByName(docs(exp_docs, _EXP_DOC)).unionByName(docs(act_docs, _ACT_DOC)).where(F.col(key).isNotNull())
+    texts = every.groupBy(key, "text").agg(F.bit_or("bits").alias("bits"), *[F.sum(c).alias(c) for c in ("p_exp", "p_act", "p_match")])
+    return texts.groupBy(key).agg(
+        F.max(has("bits", _EXP_DOC)).alias("in_exp"), F.max(has("bits", _ACT_DOC)).alias("in_act"),
+        F.count_if(has("bits", _EXP)).alias("t_exp"), F.count_if(has("bits", _ACT)).alias("t_act"),
+        F.count_if(has("bits", _EXP | _ACT)).alias("t_match"), *[F.sum(c).alias(c) for c in ("p_exp", "p_act", "p_match")])
+
+
+def outline_ratios(counts: DataFrame, key: str = "doc_id", *keep: str) -> DataFrame:
+    """Recall, precision and F1 of ``outline_counts`` rows.  Empty expected ->
+    recall 1, empty actual -> precision 1, both zero -> F1 0."""
+    out = counts.select(
+        key, *keep, F.col("p_exp").alias("n_exp_pairs"), F.col("p_act").alias("n_act_pairs"),
         F.col("t_match").alias("text_matches"),
         _safe_ratio(F.col("t_match"), F.col("t_exp"), 1.0).alias("text_recall"),
         _safe_ratio(F.col("t_match"), F.col("t_act"), 1.0).alias("text_precision"),
@@ -226,6 +246,15 @@ def outline_metrics(expected: DataFrame, actual: DataFrame, exp_docs: DataFrame,
         "pair_f1", _f1(F.col("pair_precision"), F.col("pair_recall")))
 
 
+def outline_metrics(expected: DataFrame, actual: DataFrame, exp_docs: DataFrame, act_docs: DataFrame,
+                    key: str = "doc_id") -> DataFrame:
+    """Per document with both an expected and an actual outline: set sizes,
+    matches, recall, precision and F1 over distinct stripped texts and over
+    distinct (level, text) pairs (``outline_ratios``)."""
+    counts = outline_counts(expected, actual, exp_docs, act_docs, key)
+    return outline_ratios(counts.where(F.col("in_exp") & F.col("in_act")), key)
+
+
 def outline_metrics_avg(per_doc: DataFrame) -> DataFrame:
     """Unweighted mean of the six ratios over documents."""
     cols = ["text_recall", "text_precision", "text_f1", "pair_recall", "pair_precision", "pair_f1"]

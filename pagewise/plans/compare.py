@@ -20,10 +20,9 @@ def compare_summary(expected: DataFrame, actual: DataFrame, exp_docs: DataFrame,
                     key: str = "doc_id") -> DataFrame:
     """One row: documents compared, documents skipped (no actual outline)
     and the six macro averages -- a single aggregation over the expected
-    documents left-joined with their metrics."""
-    per_doc = M.outline_metrics(expected, actual, exp_docs, act_docs, key)
-    docs = exp_docs.select(key).distinct().join(per_doc, key, "left")
+    documents' counts."""
+    counts = M.outline_counts(expected, actual, exp_docs, act_docs, key).where("in_exp")
+    ratios = M.outline_ratios(counts, key, "in_act")
     cols = ["text_recall", "text_precision", "text_f1", "pair_recall", "pair_precision", "pair_f1"]
-    return docs.agg(F.count("text_recall").alias("n_docs"),
-                    F.count(F.when(F.col("text_recall").isNull(), 1)).alias("n_missing"),
-                    *[F.avg(c).alias(f"avg_{c}") for c in cols])
+    return ratios.agg(F.count_if("in_act").alias("n_docs"), F.count_if(~F.col("in_act")).alias("n_missing"),
+                      *[F.avg(F.when(F.col("in_act"), F.col(c))).alias(f"avg_{c}") for c in cols])

@@ -110,3 +110,45 @@ def test_golden_outline_pairs(spark, tmp_path):
         r = got[f]
         vals = (r["text_recall"], r["text_precision"], r["text_f1"], r["pair_recall"], r["pair_precision"], r["pair_f1"])
         assert vals == pytest.approx(exp, abs=1e-4), f
+
+
+def test_outline_counts_against_sets(spark):
+    """Counts and ratios equal plain sets: null and blank texts, repeated
+    entries, documents on one side only, a null document, empty tables."""
+    from pagewise.plans import compare as PC
+    rng = random.Random(8)
+    texts, levels = [None, "", " ", "A", " A ", "B", "Cé"], [None, "", "H1", "H2"]
+    schema = "doc_id long, level string, text string"
+    sides = [[(rng.choice([1, 2, 3, 4, None]), rng.choice(levels), rng.choice(texts)) for _ in range(30)] for _ in range(2)]
+    e_docs, a_docs = [1, 2, 3, 5, 5, None], [2, 3, 4, 5, None]
+    e, a = (spark.createDataFrame(rows, schema) for rows in sides)
+    ed, ad = (spark.createDataFrame([(d,) for d in ds], "doc_id long") for ds in (e_docs, a_docs))
+
+    def sets(rows, d):
+        pairs = {(lv or "", (t or "").strip()) for k, lv, t in rows if k == d}
+        return pairs, {t for _, t in pairs}
+
+    got = {r["doc_id"]: r for r in M.outline_metrics(e, a, ed, ad).collect()}
+    assert set(got) == {2, 3, 5}
+    for d, r in got.items():
+        (ep, et), (ap, at) = sets(sides[0], d), sets(sides[1], d)
+        assert (r["n_exp_pairs"], r["n_act_pairs"], r["pair_matches"], r["text_matches"]) == (len(ep), len(ap), len(ep & ap), len(et & at))
+        assert r["text_recall"] == (len(et & at) / len(et) if et else 1.0)
+        assert r["pair_precision"] == (len(ep & ap) / len(ap) if ap else 1.0)
+    assert M.outline_intersect(e, a).where("doc_id is not null").count() == sum(
+        len(sets(sides[0], d)[0] & sets(sides[1], d)[0]) for d in (1, 2, 3, 4))
+    s = PC.compare_summary(e, a, ed, ad).first()
+    assert (s["n_docs"], s["n_missing"]) == (3, 1)
+    assert s["avg_text_f1"] == pytest.approx(sum(r["text_f1"] for r in got.values()) / 3)
+    assert M.outline_metrics(e.limit(0), a.limit(0), ed.limit(0), ad.limit(0)).count() == 0
+
+
+def test_outline_counts_plan(spark, tmp_path):
+    """One scan a table, three exchanges, no join."""
+    paths = []
+    for i, schema in enumerate(["doc_id long, level string, text string"] * 2 + ["doc_id long"] * 2):
+        paths.append(str(tmp_path / str(i)))
+        spark.createDataFrame([], schema).write.parquet(paths[-1])
+    e, a, ed, ad = map(spark.read.parquet, paths)
+    plan = M.outline_metrics(e, a, ed, ad)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 4 and plan.count("Exchange hashpartitioning") == 3 and "Join" not in plan
