@@ -1,9 +1,10 @@
 """COCO annotation files and page-cell files.
 
 ``read_coco`` and ``read_cells`` read JSON with explicit schemas (no
-inference) and explode the arrays; ``clean_cells`` applies the cell rules.
-Each file is one JSON document, so ``multiLine`` is used; files are read in
-parallel, one task per file.
+inference); ``clean_cells`` applies the cell rules.  An annotation file holds
+a whole split, so it is read by many tasks (``json_records``).  A cell file is
+one page, read as one document (``multiLine``): many files, one task each or
+several small ones.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagewise.functions.text import file_stem, to_number
+from pagewise.session import stage
+from pagewise.sources.json_records import section_records
 
 COCO_SCHEMA = T.StructType([
     T.StructField("images", T.ArrayType(T.StructType([
@@ -39,22 +42,25 @@ SPLITS = ("train", "val", "test")
 def read_coco(spark: SparkSession, coco_dir: str, splits=SPLITS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(images, annotations, categories).  Images and annotations of all
     splits are concatenated with a ``split`` column; categories come from the
-    first split only."""
-    images, anns, cats = None, None, None
-    for s in splits:
-        raw = spark.read.schema(COCO_SCHEMA).option("multiLine", True).json(f"{coco_dir.rstrip('/')}/{s}.json")
-        im = raw.select(F.explode("images").alias("i")).select(
-            F.col("i.id").alias("image_id"), "i.file_name", "i.doc_name", "i.page_no", "i.coco_width",
-            "i.coco_height").withColumn("split", F.lit(s))
-        an = raw.select(F.explode("annotations").alias("a")).select(
-            F.col("a.id").alias("ann_id"), "a.image_id", "a.category_id",
-            F.col("a.bbox")[0].alias("x"), F.col("a.bbox")[1].alias("y"),
-            F.col("a.bbox")[2].alias("w"), F.col("a.bbox")[3].alias("h")).withColumn("split", F.lit(s))
-        images = im if images is None else images.unionByName(im)
-        anns = an if anns is None else anns.unionByName(an)
-        if cats is None:
-            cats = raw.select(F.explode("categories").alias("c")).select(
-                F.col("c.id").alias("category_id"), F.col("c.name").alias("name"))
+    first split only.
+
+    All files are read in one pass by as many tasks as their size asks for
+    (``section_records``), and the records are stored once for the three
+    tables.  A file that is cut off raises ``ValueError``."""
+    paths = {s: f"{coco_dir.rstrip('/')}/{s}.json" for s in splits}
+    stem = F.regexp_extract("file", r"([^/]*)\.json$", 1)
+    wanted = section_records(spark, list(paths.values())).where(F.col("section").isin(*COCO_SCHEMA.names))
+    records = stage(wanted.select(stem.alias("split"), "section", "json"))
+
+    def section(name):
+        schema = COCO_SCHEMA[name].dataType.elementType
+        return records.where(F.col("section") == name).select("split", F.from_json("json", schema).alias("r"))
+
+    images = section("images").select(
+        F.col("r.id").alias("image_id"), "r.file_name", "r.doc_name", "r.page_no", "r.coco_width", "r.coco_height", "split")
+    anns = section("annotations").select(
+        F.col("r.id").alias("ann_id"), "r.image_id", "r.category_id", *[F.get("r.bbox", F.lit(i)).alias(c) for i, c in enumerate("xywh")], "split")
+    cats = section("categories").where(F.col("split") == splits[0]).select(F.col("r.id").alias("category_id"), F.col("r.name").alias("name"))
     return images, anns, cats
 
 
