@@ -555,10 +555,11 @@ q("clean_cells", ("cells",), """select page_key, no as cell_no, x, y, w, h, t as
 q("union_splits", ("images",), """select image_id, doc_name, case when (image_id // 1000) % 10 < 7 then 'train'
  when (image_id // 1000) % 10 < 9 then 'val' else 'test' end as split from images""")
 q("score_corpus", ("outline_flat",), """select d.doc_id,
- case when d.doc_id % 100 = 99 then 'error' when o.title is null then 'empty' else 'ok' end as status,
- case when d.doc_id % 100 = 99 then 'invalid page size' end as error,
- case when d.doc_id % 100 <> 99 then o.title end as title,
- case when d.doc_id % 100 <> 99 and o.title is not null then o.n end as n_headings
+ case when d.doc_id % 100 >= 96 then 'error' when o.title is null then 'empty' else 'ok' end as status,
+ case d.doc_id % 100 when 99 then 'invalid page size' when 98 then 'invalid box' when 97 then 'missing page number'
+  when 96 then 'invalid font size' end as error,
+ case when d.doc_id % 100 < 96 then o.title end as title,
+ case when d.doc_id % 100 < 96 and o.title is not null then o.n end as n_headings
  from documents d left join (select doc_id, any_value(title) as title, count(seq) as n from outline_flat group by doc_id) o using (doc_id)""")
 q("compare_outlines", ("outline_metrics",), """select count(m.text_recall) as n_docs, count(*) filter (where m.text_recall is null) as n_missing,
  round(avg(text_recall), 12) as avg_text_recall, round(avg(text_precision), 12) as avg_text_precision, round(avg(text_f1), 12) as avg_text_f1,

@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 from pagewise.functions.text import font_weight, is_blank, py_strip
 
-PAGE_KEY = ("doc_id", "page_num")
-
 # Fixed values of the line-merging rule: a line continues the block when the
 # vertical gap is below half the previous line's size, the sizes differ by
 # less than one point and the font weights are equal.
@@ -50,11 +48,11 @@ def spans_to_lines(spans: DataFrame, line_key=("doc_id", "page_num", "line_no"))
     return agg.where(F.length("text") > 0)
 
 
-def group_lines(lines: DataFrame, order_tiebreak: str = "line_no") -> DataFrame:
+def group_lines(lines: DataFrame, order_tiebreak: str = "line_no", key: str = "doc_id") -> DataFrame:
     """Assign ``block_no`` (1-based within the page): lines sorted by y0
     (ties in original line order) start a new block unless they continue the
     directly previous line."""
-    w = Window.partitionBy(*PAGE_KEY).orderBy("y0", order_tiebreak)
+    w = Window.partitionBy(key, "page_num").orderBy("y0", order_tiebreak)
     wt = font_weight("font")
     prev_y1, prev_size, prev_wt = F.lag("y1").over(w), F.lag("size").over(w), F.lag(wt).over(w)
     size = F.col("size")
@@ -66,18 +64,17 @@ def group_lines(lines: DataFrame, order_tiebreak: str = "line_no") -> DataFrame:
     )
     starts = F.when(prev_size.isNull() & prev_y1.isNull(), 1).when(continues, 0).otherwise(1)
     flagged = lines.withColumn("_start", starts)
-    running = Window.partitionBy(*PAGE_KEY).orderBy("y0", order_tiebreak).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
+    running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return flagged.withColumn("block_no", F.sum("_start").over(running).cast("int")).drop("_start")
 
 
-def lines_to_blocks(grouped: DataFrame, order_tiebreak: str = "line_no") -> DataFrame:
+def lines_to_blocks(grouped: DataFrame, order_tiebreak: str = "line_no", key: str = "doc_id") -> DataFrame:
     """One row per block: text of its lines joined in order, the union box,
     and the first line's size and font."""
     order = F.struct(F.col("y0"), F.col(order_tiebreak))
     parts = F.array_sort(F.collect_list(F.struct(F.col("y0").alias("k1"), F.col(order_tiebreak).alias("k2"),
                                                  F.col("text").alias("t"))))
-    return grouped.groupBy(*PAGE_KEY, "block_no").agg(
+    return grouped.groupBy(key, "page_num", "block_no").agg(
         F.array_join(F.transform(parts, lambda p: p["t"]), " ").alias("text"),
         F.min("x0").alias("x0"), F.min("y0").alias("y0"),
         F.max("x1").alias("x1"), F.max("y1").alias("y1"),
@@ -88,6 +85,6 @@ def lines_to_blocks(grouped: DataFrame, order_tiebreak: str = "line_no") -> Data
     )
 
 
-def merge_lines(lines: DataFrame) -> DataFrame:
+def merge_lines(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     """``group_lines`` followed by ``lines_to_blocks``."""
-    return lines_to_blocks(group_lines(lines))
+    return lines_to_blocks(group_lines(lines, key=key), key=key)

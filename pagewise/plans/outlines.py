@@ -32,7 +32,7 @@ def block_features(lines: DataFrame, key: str = "doc_id", materialize_blocks: st
     The per-page block table is read twice (body-size aggregate and the
     join back); ``materialize_blocks`` ('checkpoint' / 'persist' / 'none')
     materialises it once so the scan and the page window run once."""
-    blocks = FE.block_text_features(B.merge_lines(lines))
+    blocks = FE.block_text_features(B.merge_lines(lines, key))
     if materialize_blocks != "none":
         blocks = materialize(blocks, materialize_blocks)
     body = FE.body_font_size(blocks, key=key, min_words=FE.INFER_BODY_MIN_WORDS)
@@ -67,7 +67,7 @@ def extract_outlines(lines: DataFrame, scorer: Callable[[DataFrame], DataFrame]
     once; the body sizes, the running headers and the document list are all
     aggregates of it, and only the scored candidates need the body-size
     join."""
-    blocks = FE.block_text_features(B.merge_lines(lines))
+    blocks = FE.block_text_features(B.merge_lines(lines, key))
     if materialize_blocks != "none":
         blocks = materialize(blocks, materialize_blocks)
     body = FE.body_font_size(blocks, key=key, min_words=FE.INFER_BODY_MIN_WORDS)
@@ -102,24 +102,52 @@ def nested_outline(flat: DataFrame, key: str = "doc_id") -> DataFrame:
         e["level"].alias("level"), e["text"].alias("text"), e["page"].alias("page"))).alias("outline"))
 
 
+def _finite(*cols: str):
+    """True if all of them are numbers: not null, NaN or infinite."""
+    ok = F.lit(True)
+    for c in cols:
+        v = F.col(c).cast("double")
+        ok = ok & F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False))
+    return ok
+
+
+# Why a document cannot be processed, the first that holds for a line of it.
+LINE_ERRORS = {
+    "unreadable record": lambda: F.col("_corrupt_record").isNotNull(),
+    "invalid page size": lambda: ~_finite("page_width", "page_height") | (F.col("page_width") <= 0) | (F.col("page_height") <= 0),
+    "missing page number": lambda: F.col("page_num").isNull(),
+    "invalid box": lambda: ~_finite("x0", "y0", "x1", "y1"),
+    "invalid font size": lambda: ~_finite("size"),
+}
+
+
+def line_errors(lines: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, error): one row per document with a line that cannot be processed.
+    Unreadable records are known by the column ``_corrupt_record`` of Spark's
+    readers, if the lines have it.  Lines without a document are no error."""
+    reasons = [(why, holds) for why, holds in LINE_ERRORS.items() if why != "unreadable record" or "_corrupt_record" in lines.columns]
+    found = F.coalesce(*[F.when(holds(), F.lit(i)) for i, (_, holds) in enumerate(reasons)])
+    names = F.array(*[F.lit(why) for why, _ in reasons])
+    bad = lines.where(F.col(key).isNotNull()).select(key, found.alias("_why")).where(F.col("_why").isNotNull())
+    return bad.groupBy(key).agg(F.get(names, F.min("_why")).alias("error"))
+
+
 def corpus_outlines(docs: DataFrame, lines: DataFrame, scorer: Callable[[DataFrame], DataFrame] = O.fixed_score,
                     key: str = "doc_id", materialize_blocks: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(status per document, flat outline of the processable documents).
 
     Status: 'ok' (title, number of headings), 'empty' (no text block) or
-    'error' (invalid page size).  A bad document never stops the others:
-    it is excluded from the plan and reported, all in one distributed job."""
-    bad_pages = lines.where(F.col("page_width").isNull() | F.col("page_height").isNull()
-                            | (F.col("page_width") <= 0) | (F.col("page_height") <= 0)).select(key).distinct()
-    good_lines = lines.join(bad_pages, key, "left_anti")
+    'error' (the first of ``LINE_ERRORS`` that a line of it has).  A bad
+    document never stops the others: it is excluded from the plan and
+    reported, all in one distributed job."""
+    bad_docs = line_errors(lines, key)
+    good_lines = lines.join(bad_docs, key, "left_anti")
     flat = extract_outlines(good_lines, scorer, key, materialize_blocks)
     per_doc = flat.groupBy(key).agg(F.first("title").alias("title"), F.count("seq").alias("n_headings"))
-    out = docs.select(key).join(per_doc, key, "left").join(
-        bad_pages.withColumn("_bad", F.lit(True)), key, "left")
-    bad = F.coalesce(F.col("_bad"), F.lit(False))
+    out = docs.select(key).join(per_doc, key, "left").join(bad_docs, key, "left")
+    bad = F.col("error").isNotNull()
     status = F.when(bad, "error").when(F.col("title").isNull(), "empty").otherwise("ok")
-    error = F.when(bad, F.lit("invalid page size"))
-    return out.select(key, status.alias("status"), error.alias("error"),
+    return out.select(key, status.alias("status"), "error",
                       F.when(~bad, F.col("title")).alias("title"),
                       F.when(F.col("title").isNotNull() & ~bad, F.col("n_headings")).alias("n_headings")), flat
 

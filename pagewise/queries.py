@@ -390,9 +390,10 @@ def q_union_splits(spark, sf_dir):
 def q_score_corpus(spark, sf_dir):
     docs = documents(spark, sf_dir)
     lines = FX.layout_lines(docs)
-    # documents whose id ends in 99 carry a broken page size: reported, not fatal
-    lines = lines.withColumn("page_width", F.when(F.col("doc_id") % 100 == 99, F.lit(0.0))
-                             .otherwise(F.col("page_width")))
+    # documents whose id ends in 96 to 99 carry broken values: reported, not fatal
+    end = F.col("doc_id") % 100
+    broken = {"page_width": (99, 0.0), "x1": (98, float("inf")), "page_num": (97, None), "size": (96, float("nan"))}
+    lines = lines.withColumns({c: F.when(end == at, F.lit(v)).otherwise(F.col(c)) for c, (at, v) in broken.items()})
     return PO.score_corpus(docs, lines)
 
 

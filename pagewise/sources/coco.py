@@ -82,6 +82,15 @@ def read_cells(spark: SparkSession, json_dir: str) -> DataFrame:
         "page_key", "cell_no", F.col("c.bbox").alias("bbox"), F.col("c.text").alias("text"), F.col("c.font").alias("font"))
 
 
+def cell_file_errors(spark: SparkSession, json_dir: str) -> DataFrame:
+    """(page_key, error): the ``*.json`` page files that are no JSON object;
+    ``read_cells`` has no rows of them."""
+    schema = T.StructType([*CELLS_SCHEMA, T.StructField("_corrupt_record", T.StringType())])
+    raw = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.json").json(json_dir)
+    bad = raw.select(F.col("_metadata.file_name").alias("file_name"), "cells", "_corrupt_record").where("_corrupt_record is not null and cells is null")
+    return bad.select(file_stem("file_name").alias("page_key"), F.lit("unreadable record").alias("error")).distinct()
+
+
 def clean_cells(raw: DataFrame, require_box: bool = True) -> DataFrame:
     """Numeric bbox (x, y, w, h); cells whose box does not have exactly four
     numbers are dropped (``require_box``) or kept with null coordinates;
