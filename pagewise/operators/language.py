@@ -17,7 +17,8 @@ share no n-gram with any profile (no letters, another script) are 'unknown'.
 Scale: words are counted first (map-side partial aggregation), n-grams are
 generated once per distinct (text, word) with code-generated regex
 functions, and every window runs over one text's or one language's
-*distinct n-grams* (bounded by the alphabet), never over its rows.
+*distinct n-grams* (bounded by the alphabet), never over its rows.  A text
+with a huge vocabulary is counted by many tasks (``_rank_texts``).
 Measured alternatives at sf0.1: n-grams of every occurrence in the whole
 text (75M string keys) ~50 s, a per-text pandas UDF ~80 s.
 Profiles are checkpointed once (a few hundred rows per language) and
@@ -30,11 +31,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewise.session import cut_lineage, materialize
+
 PROFILE_SIZE = 300
 MAX_N = 3
 UNKNOWN = "unknown"
 # Profiles of at most this many languages are broadcast (<= 300 rows each).
 BROADCAST_MAX_LANGUAGES = 1000
+# A text of more distinct words than this is counted by many tasks; the keys
+# of at most so many such texts are broadcast.
+HUGE_WORDS = 200_000
+BROADCAST_MAX_TEXTS = 10_000
 
 
 def _word_counts(df: DataFrame, key: str, text_col: str, *keep: str) -> DataFrame:
@@ -69,15 +76,33 @@ def language_profiles(corpus: DataFrame, lang_col: str = "lang", text_col: str =
     return _top_ranked(_gram_counts(_word_counts(src, "lang", text_col), "lang", max_n), "lang", top)
 
 
+def _rank_texts(word_counts: DataFrame, key: str, top: int, max_n: int, huge_words: int) -> DataFrame:
+    """(key, gram, rank) from materialised (key, word, cnt) rows.
+
+    A text's distinct words meet in one task (hash-partitioned by the key
+    once; the n-gram aggregation, the ranking window and the later scoring
+    aggregate reuse that partitioning).  Texts of more than ``huge_words``
+    distinct words are counted in two phases instead: partial counts where
+    the word rows lie, then by (text, gram), so one text uses many tasks; the
+    ranking window gets at most ``top`` rows a text from each of them."""
+    word_counts = word_counts.select(key, "word", "cnt")
+    huge = cut_lineage(word_counts.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > huge_words).select(key))
+    n_huge = huge.count()
+    if n_huge == 0:
+        return _top_ranked(_gram_counts(word_counts.repartition(key), key, max_n), key, top)
+    if n_huge <= BROADCAST_MAX_TEXTS:
+        huge = F.broadcast(huge)
+    usual = _gram_counts(word_counts.join(huge, key, "left_anti").repartition(key), key, max_n)
+    spread = _gram_counts(word_counts.join(huge, key, "left_semi"), key, max_n)
+    return _top_ranked(usual, key, top).unionByName(_top_ranked(spread, key, top))
+
+
 def text_profiles(texts: DataFrame, key: str = "doc_id", text_col: str = "text",
-                  top: int = PROFILE_SIZE, max_n: int = MAX_N) -> DataFrame:
+                  top: int = PROFILE_SIZE, max_n: int = MAX_N, huge_words: int = HUGE_WORDS) -> DataFrame:
     """(key, gram, rank): each text's top n-grams.  The distinct (text,
     word) counts -- bounded per text by its vocabulary, not its length --
-    are hash-partitioned by the text key once; the n-gram aggregation, the
-    ranking window and the later scoring aggregate all reuse that
-    partitioning (no further exchange)."""
-    wc = _word_counts(texts, key, text_col).repartition(key)
-    return _top_ranked(_gram_counts(wc, key, max_n), key, top)
+    are materialised once."""
+    return _rank_texts(materialize(_word_counts(texts, key, text_col)), key, top, max_n, huge_words)
 
 
 def _maybe_broadcast(profiles: DataFrame) -> DataFrame:
@@ -88,7 +113,6 @@ def _maybe_broadcast(profiles: DataFrame) -> DataFrame:
 def detect_language(texts: DataFrame, profiles: DataFrame, key: str = "doc_id", text_col: str = "text",
                     top: int = PROFILE_SIZE, max_n: int = MAX_N) -> DataFrame:
     """(key, language) for every row of ``texts``."""
-    from pagewise.session import cut_lineage
     profiles = cut_lineage(profiles)
     prof = _maybe_broadcast(profiles.select("lang", "gram", F.col("rank").alias("lrank")))
     doc = text_profiles(texts, key, text_col, top, max_n)
@@ -96,19 +120,17 @@ def detect_language(texts: DataFrame, profiles: DataFrame, key: str = "doc_id",
 
 
 def profile_and_detect(corpus: DataFrame, key: str = "doc_id", lang_col: str = "lang", text_col: str = "text",
-                       top: int = PROFILE_SIZE, max_n: int = MAX_N) -> tuple[DataFrame, DataFrame]:
+                       top: int = PROFILE_SIZE, max_n: int = MAX_N, huge_words: int = HUGE_WORDS) -> tuple[DataFrame, DataFrame]:
     """Learn profiles from the labelled rows of ``corpus`` and detect the
     language of every row, counting each text's words once: the (key, lang,
     word, cnt) table feeds both the language profiles and the text profiles
     and is materialised once."""
-    from pagewise.session import materialize
     wc = materialize(_word_counts(corpus.select(key, F.col(lang_col).alias("lang"), text_col), key, text_col, "lang"))
     by_lang = wc.where(F.col("lang").isNotNull()).groupBy("lang", "word").agg(F.sum("cnt").alias("cnt"))
     profiles = _top_ranked(_gram_counts(by_lang, "lang", max_n), "lang", top)
-    from pagewise.session import cut_lineage
     profiles = cut_lineage(profiles)
     prof = _maybe_broadcast(profiles.select("lang", "gram", F.col("rank").alias("lrank")))
-    doc = _top_ranked(_gram_counts(wc.select(key, "word", "cnt").repartition(key), key, max_n), key, top)
+    doc = _rank_texts(wc, key, top, max_n, huge_words)
     return profiles, _detect_from_profiles(corpus, doc, prof, key, top)
 
 

@@ -19,6 +19,46 @@ def test_score_corpus_reports_bad_documents(spark):
     assert all(res[d]["status"] == "ok" for d in (0, 1, 2, 4, 5, 6, 7))
 
 
+def test_every_line_error_is_one_row(spark):
+    """One bad line fails its document alone, by the first reason that holds;
+    the others' outlines are those of a corpus without the bad ones."""
+    docs = FX.read_table(spark, SF001, "documents").where("doc_id < 12")
+    lines = FX.layout_lines(docs).withColumn("_corrupt_record", F.lit(None).cast("string"))
+    inf, nan = float("inf"), float("nan")
+    bad = {0: ("page_width", inf, "invalid page size"), 1: ("page_height", None, "invalid page size"), 2: ("page_num", None, "missing page number"),
+           3: ("x0", nan, "invalid box"), 4: ("y1", -inf, "invalid box"), 5: ("size", None, "invalid font size"),
+           6: ("_corrupt_record", "{", "unreadable record"), 7: ("y0", 1e300, None)}
+    first = lines.groupBy("doc_id").agg(F.min("line_no").alias("first_line"))
+    broken = lines.join(first, "doc_id")
+    for d, (c, v, _) in bad.items():
+        broken = broken.withColumn(c, F.when((F.col("doc_id") == d) & (F.col("line_no") == F.col("first_line")), F.lit(v)).otherwise(F.col(c)))
+    # more than one reason: the first of them
+    broken = broken.withColumn("size", F.when(F.col("doc_id") == 3, F.lit(nan)).otherwise(F.col("size")))
+    status, flat = PO.corpus_outlines(docs, broken.drop("first_line"))
+    got = {r["doc_id"]: r for r in status.collect()}
+    assert {d: r["error"] for d, r in got.items()} == {d: bad[d][2] if d in bad else None for d in range(12)}
+    alone = PO.extract_outlines(lines.where("doc_id > 7"))
+    assert sorted(map(str, flat.where("doc_id > 7").collect())) == sorted(map(str, alone.collect()))
+
+
+def test_key_of_another_name(spark):
+    """The document key is an argument of the whole plan."""
+    docs = FX.read_table(spark, SF001, "documents").where("doc_id < 6")
+    lines = FX.layout_lines(docs)
+    renamed = PO.extract_outlines(lines.withColumnRenamed("doc_id", "file"), key="file")
+    assert renamed.columns[0] == "file"
+    assert sorted(map(tuple, renamed.collect()), key=str) == sorted(map(tuple, PO.extract_outlines(lines).collect()), key=str)
+
+
+def test_unreadable_cell_files(spark, tmp_path):
+    from pagewise.sources import coco as CO
+    for name, text in {"a.json": '{"cells": [{"text": "x"}]}', "b.json": '{"cells": [', "c.json": "no json", "d.json": '{"cells": []}', "e.txt": "no"}.items():
+        (tmp_path / name).write_text(text)
+    errors = CO.cell_file_errors(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, errors)) == [("b", "unreadable record"), ("c", "unreadable record")]
+    assert [r["page_key"] for r in CO.read_cells(spark, str(tmp_path)).collect()] == ["a"]
+
+
 def test_language_fallbacks(spark):
     corpus = spark.createDataFrame([(1, "en", "the cat and the dog are here"), (2, "de", "der hund und die katze sind hier"),
                                     (3, None, "1234 !!! 5678"), (4, None, "the dogs and cats"), (5, None, None),
@@ -31,3 +71,17 @@ def test_language_fallbacks(spark):
     assert got[1] == "en" and got[2] == "de"
     alone = {r["doc_id"]: r["language"] for r in LG.detect_language(corpus, profiles).collect()}
     assert alone == got
+
+
+def test_huge_texts_are_counted_by_many_tasks(spark):
+    """Profiles do not depend on which texts count as huge, and a huge text's
+    n-grams are counted by (text, gram)."""
+    rows = [(1, " ".join(f"{a}{b}{a}" for a in "abcdefghij" for b in "klmnopqrst")), (2, "the cat and the dog"), (3, ""), (4, None), (5, "Ärger über Öl")]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    plain, huge, every = (LG.text_profiles(texts, top=20, huge_words=n) for n in (1000, 50, 0))
+    expected = sorted(map(tuple, plain.collect()))
+    assert sorted(map(tuple, huge.collect())) == sorted(map(tuple, every.collect())) == expected
+    assert {r[0] for r in expected} == {1, 2, 5}
+    plan = huge._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Exchange hashpartitioning(doc_id" in plan and ", gram" in plan
+    assert LG.text_profiles(texts.limit(0)).count() == 0
