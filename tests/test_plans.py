@@ -85,3 +85,31 @@ def test_huge_texts_are_counted_by_many_tasks(spark):
     plan = huge._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Exchange hashpartitioning(doc_id" in plan and ", gram" in plan
     assert LG.text_profiles(texts.limit(0)).count() == 0
+
+
+def test_language_where_the_row_lies(spark):
+    """Rows are scored without a shuffle, as the relational path scores them;
+    long texts, repeated keys and null keys too."""
+    import random
+    rng = random.Random(3)
+    letters = ["abcdeé", "abxyz", "ßüöä 12", "ыфж", "𐐀𐐁a", "中文字"]
+    rows = [(i, None if i % 17 == 5 else "".join(rng.choice(rng.choice(letters) + "  -") for _ in range(rng.choice([0, 1, 5, 40, 900]))))
+            for i in range(300)]
+    texts = spark.createDataFrame(rows + [(7, "again xyz"), (None, "abc")], "doc_id long, text string")
+    corpus = spark.createDataFrame([(x, t) for x, t in zip("zyxwvu", letters)] + [("a", "abcdeé")], "lang string, text string")
+    profiles = LG.language_profiles(corpus)
+    found = LG.with_language(texts.where("doc_id <> 7"), profiles)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+    best = {r["doc_id"]: r["best"] for r in LG._best_by_key(texts, profiles, True, "doc_id", "text", 300, 3).collect()}
+    want = sorted((k, best.get(k) or "unknown") if k is not None else (-1, "unknown") for k in [r[0] for r in rows] + [7, None])
+    for long_text in (LG.LONG_TEXT, 30, 0):
+        got = LG.detect_language(texts, profiles, long_text=long_text).collect()
+        assert sorted((-1 if r[0] is None else r[0], r[1]) for r in got) == want, long_text
+    assert len({x for _, x in want}) > 3
+    twice = LG.augment_language(texts.where("doc_id in (7, 8)"), profiles, "doc_id")
+    assert twice.count() == 3 and twice.columns == ["doc_id", "text", "language"]
+    few = LG.language_profiles(corpus.where("lang in ('z', 'y')"), top=5)
+    best = {r["doc_id"]: r["best"] for r in LG._best_by_key(texts, few, True, "doc_id", "text", 3, 3).collect()}
+    got = LG.detect_language(texts.where("doc_id <> 7"), few, top=3).collect()
+    assert all(r["language"] == (best.get(r["doc_id"]) or "unknown") for r in got)
