@@ -86,3 +86,29 @@ def test_no_java_suffixes(spark):
     assert [r[0] for r in coerce_numeric(df, ["v"]).collect()] == [0.0, 0.0, 3.5, 100.0, 0.0]
     feats = df.selectExpr(*[f"v as {c}" for c in FEATURES], "1 as is_heading")
     assert [r[0] for r in prepare(feats).select(FEATURES[0]).collect()] == [0.0, 0.0, 3.5, 100.0, 0.0]
+
+
+def test_words_are_counted_without_a_match_each(spark):
+    from pyspark.sql import functions as F
+    assert "regexp" not in str(T.num_words(F.col("t")))
+    texts = ["", " ", "a", " a  b ", "a\x01b \x02 \x01\x02", "\x02\x01", "x\x1cy　z  w", "\x01 \x01", "é 𐐀   ü" * 3, "\n\t a\r\nb"]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    got = [r[0] for r in df.select(T.num_words("t")).collect()]
+    assert got == [len(t.split()) for t in texts] + [0]
+
+
+def test_only_likely_numbers_are_cast(spark):
+    from pyspark.sql import functions as F
+    good = {"1": 1.0, " 2.5 ": 2.5, "\t3": 3.0, "+4": 4.0, "-.5": -0.5, "1e3": 1000.0, "0x1p3": 8.0, "inf": float("inf"), "Infinity": float("inf"),
+            "-INF": float("-inf"), "iNF": float("inf"), "+infinity": float("inf"), "0x1.8p1": 3.0}
+    bad = ["", " ", "word", "information", "nano", "1d", "2.f", "d", "f", "-", "+d", "٣", "in", "1,5", "1 2"]
+    df = spark.createDataFrame([(t,) for t in [*good, *bad, "NaN", "nan"]] + [(None,)], "t string")
+    cast = F.col("t").try_cast("double")
+    rows = df.select("t", T.to_number(F.col("t")).alias("v"), cast.alias("c")).collect()
+    assert {r["t"]: r["v"] for r in rows if r["t"] in good} == good
+    assert [r["v"] for r in rows if r["t"] in bad or r["t"] is None] == [None] * (len(bad) + 1)
+    assert all(r["v"] != r["v"] for r in rows if r["t"] in ("NaN", "nan"))
+    assert all(str(r["v"]) == str(r["c"]) for r in rows if r["t"] not in ("1d", "2.f"))
+    many = spark.createDataFrame([(chr(i) + x,) for i in range(1, 0x250) for x in ("1", "", "nf", "an")], "t string")
+    old = F.when(~F.trim("t").rlike(r"[0-9.][dDfF]\z"), F.trim("t").try_cast("double"))
+    assert all(str(r[0]) == str(r[1]) for r in many.select(T.to_number(F.col("t")), old).collect())
