@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewise.llm import words
+from pagewise.llm.common import bounded_batches
 
 WINDOW = 7
 SMALLEST, WANTED = 4, 64
@@ -101,8 +102,8 @@ def _walk(batches):
     part = before = now = None
     for batch in batches:
         out = []
-        for p, lead, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("part", "lead", "id", "text")), strict=True):
-            text = text or ""
+        for p, lead, doc_id, text in zip(*(batch.column(c) for c in ("part", "lead", "id", "text")), strict=True):  # one text at a time
+            p, lead, doc_id, text = p.as_py(), lead.as_py(), doc_id.as_py(), text.as_py() or ""
             if p != part:
                 part, before, now = p, None, None
             if now is None or doc_id != now[0]:
@@ -151,5 +152,5 @@ def neighbour_fingerprints(docs: DataFrame) -> DataFrame:
     lead = rows.join(leads, "id").select("part", F.lit(True).alias("lead"), "doc_id", "id", "text")
     dealt = (own.union(lead).repartition(len(tops), "part")
              .sortWithinPartitions("part", F.col("lead").desc(), "id", F.xxhash64("text")))
-    return dealt.mapInArrow(_walk, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, "
+    return bounded_batches(dealt).mapInArrow(_walk, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, "
                                    "edited_fingerprint string, near_edited double, near_next double")

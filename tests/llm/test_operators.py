@@ -508,3 +508,21 @@ def test_pipeline(spark):
     clean = lambda w: not any(tuple(w[k:k + 10]) in grams for k in range(len(w) - 9))
     assert {r["doc_id"] for r in out.collect()} == {i for i, t in left if clean(cut(t))}
     assert set(out.columns) == {*base.columns, "n_tokens", "ids"}
+
+
+def test_piecewise_batches_are_bounded_by_bytes(spark, monkeypatch):
+    """A batch that Python gets holds megabytes, however many long texts a task has."""
+    from pagewise.llm.common import BATCH_BYTES
+
+    def sizes(batches):
+        for batch in batches:
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([0] * n, pa.int64()), pa.array([batch.nbytes] * n, pa.int64()), *[pa.array([""] * n)] * 3, *[pa.array([0.0] * n)] * 2],
+                names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+
+    monkeypatch.setattr(piecewise, "_walk", sizes)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.range(60).selectExpr("id as doc_id", "repeat('x', 300000) as text")
+    top = piecewise.neighbour_fingerprints(docs).agg({"n_chars": "max"}).first()[0]
+    assert top < 2 * BATCH_BYTES
