@@ -25,7 +25,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Bits of the filter in front of the sorted keys; lattice cells worked on at once.
 FILTER_BITS, CELLS = 20, 200_000
-PIECE = 1 << 18
+#: Bytes of text whose distinct words are segmented once: the words of a
+#: longer run repeat more often.
+PIECE = 1 << 20
 
 
 class Vocabulary:
@@ -214,5 +216,5 @@ def round_trips(docs: DataFrame, vocabulary: Vocabulary | None = None) -> DataFr
                      pa.array([hashlib.sha256(x).hexdigest() for x in back]), pa.array(same)],
                     names=["doc_id", "n_tokens", "ids", "decoded_sha256", "exact"])
 
-    return docs.select("doc_id", "text").mapInArrow(
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(
         work, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string, exact boolean")

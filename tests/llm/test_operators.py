@@ -526,3 +526,15 @@ def test_piecewise_batches_are_bounded_by_bytes(spark, monkeypatch):
     docs = spark.range(60).selectExpr("id as doc_id", "repeat('x', 300000) as text")
     top = piecewise.neighbour_fingerprints(docs).agg({"n_chars": "max"}).first()[0]
     assert top < 2 * BATCH_BYTES
+
+
+def test_words_of_a_long_run_are_segmented_once():
+    """The distinct words of a megabyte of rows go through the lattice together."""
+    from pagewise.llm import words
+    text = pa.array([" ".join(f"w{i}" for i in range(3000))] * 40)  # 700 kB
+    vocabulary = pieces.Vocabulary()
+    seen, segment = [], vocabulary.segment
+    vocabulary.segment = lambda w: seen.append(len(w)) or segment(w)
+    for _, data, offsets in words.pieces(text, pieces.PIECE):
+        vocabulary.encode(data, offsets)
+    assert sum(seen) == 3000
