@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from math import comb
 
 import duckdb
@@ -381,6 +382,24 @@ def test_toxicity_held_out(spark):
     assert ((got.score >= 0.5) == (got.predicted == 1)).all() and got.score.between(0, 1).all()
 
 
+def test_toxicity_learns_from_all_rows(spark):
+    base = spark.range(12000).selectExpr("id AS doc_id", "concat('word', id % 50) AS text")
+    labels = base.selectExpr("doc_id", "cast(doc_id % 2 AS int) AS toxic")
+    got = toxicity.learned_rows(base, labels).select("doc_id", "part").collect()
+    assert sorted(r[0] for r in got) == [i for i in range(12000) if zlib.crc32(str(i).encode()) % 5]
+    assert {r[1] for r in got} == set(range(toxicity.ROUNDS + 1))
+    start = toxicity.train(["bad word", "good word"] * 20, [1, 0] * 20, calibrated=False)
+    assert (toxicity.Model.of(start.table()).table() == start.table()).all()
+    marked = spark.createDataFrame([("foul thing", 1), ("nice thing", 0), ("", 0)] * 300, "text string, toxic int").repartition(4)
+    model = toxicity.learn_round(marked, start, (1.0, 1.0), 0.01)  # words that the first rows do not have
+    texts = spark.createDataFrame([(1, "foul thing"), (2, "nice thing")], "doc_id long, text string")
+    foul, nice = [r["score"] for r in toxicity.score_documents(texts, model).orderBy("doc_id").collect()]
+    assert foul > 0.8 and nice < 0.2
+    half = model.logits(*next(toxicity._features(pa.array(["foul thing", "nice thing", ""])))[1:3])
+    p = 1 / (1 + np.exp(-np.rint(half.astype(float) * toxicity.GRAIN) / toxicity.GRAIN))
+    assert np.allclose(toxicity.calibrate(marked, model), toxicity.best_threshold(p, np.array([300, 0, 0]), np.array([300] * 3)))
+
+
 def test_toxicity_difficult_rows(docs, nothing):
     model = toxicity.train(["bad word here", "good word there"] * 20, [1, 0] * 20)
     assert len(rows(toxicity.score_documents(docs, model))) == len(ROWS)
