@@ -113,3 +113,15 @@ def test_language_where_the_row_lies(spark):
     best = {r["doc_id"]: r["best"] for r in LG._best_by_key(texts, few, True, "doc_id", "text", 3, 3).collect()}
     got = LG.detect_language(texts.where("doc_id <> 7"), few, top=3).collect()
     assert all(r["language"] == (best.get(r["doc_id"]) or "unknown") for r in got)
+
+
+def test_training_tables_hold_ids_features_and_label_only(spark):
+    from pagewise import queries as Q
+    from pagewise.operators import ml as ML
+    from pagewise.operators.features import FEATURES
+    cols = [*Q.CELL_IDS, *FEATURES, "label"]
+    narrow = ML.prepare(Q.training_cells(spark, SF001)).select(*cols)
+    wide = ML.prepare(Q.cell_dataset(spark, SF001)).select(*cols)
+    assert narrow.count() == wide.count() > 0 and narrow.exceptAll(wide).count() == 0
+    split = Q.training_split(spark, SF001)
+    assert not {"text", "bbox", "doc_name"} & set(split.columns) and set(cols) < set(split.columns)
