@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewise.llm import words
-from pagewise.llm.common import bounded_batches
+from pagewise.llm.common import bounded_batches, stage
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 12, 12, (1, 2, 3)
 PREFIXES = (4, 5, 6, 7)
@@ -33,6 +33,8 @@ EPOCHS, STEPS, BATCH, RATE = 6, 1000, 32, 0.01
 #: Rounds over all rows and their first rate.  Sums of changes are whole numbers
 #: of 1 / UNIT, so that they do not depend on their order.
 ROUNDS, ROUND_RATE, UNIT = 2, 0.003, 1 << 30
+#: Bitmaps of doc_id hashes, 32,768 bits each: 4 MB in all.
+BIT_BUCKETS = 1024
 #: Scores are counted by logit in steps of 1 / GRAIN to calibrate thresholds.
 GRAIN = 64
 #: (EPOCHS or as many as make STEPS steps.)  Function words by language; a text speaks the language most of its words are of.
@@ -250,23 +252,56 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS)) == 0, F.lit(False))
 
 
-def learned_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic, part): all labelled rows that may be learned from;
-    of rows that repeat a doc_id each counts.  A doc_id with several labels is
-    toxic if one says so.  ``part``, by hash, is the round that learns from a row,
-    or ROUNDS for the rows kept apart, one in FOLDS."""
-    rows = (labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
-            .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
+def learned_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of all labels that may be learned from.  A doc_id with
+    several labels is toxic if one says so."""
+    rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
+    return rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
+def id_bits(rows: DataFrame) -> DataFrame:
+    """(bucket, bits): which hashes of doc_id ``rows`` have, BIT_BUCKETS bitmaps
+    of 4 kB at most, however many rows there are."""
+    bucket, place = _bit(F.col("doc_id"))
+    return rows.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(place).alias("bits"))
+
+
+def _bit(doc_id: Column) -> tuple[Column, Column]:
+    """Bucket of a doc_id and place in its bitmap."""
+    digest = F.xxhash64(F.lit("bit"), doc_id.cast("long"))
+    return F.pmod(digest, F.lit(BIT_BUCKETS)), F.pmod(F.shiftright(digest, 24), F.lit(8 * 4096))
+
+
+def with_bit(rows: DataFrame, bits: DataFrame) -> DataFrame:
+    """``rows`` but those whose doc_id surely has no bit, found where they lie."""
+    bucket, place = _bit(F.col("doc_id"))
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    there = rows.withColumn("bucket", bucket).join(F.broadcast(bits), "bucket")
+    return there.where(F.getbit(byte, (place % 8).cast("int")) == 1).drop("bucket", "bits")
+
+
+def join_labels(docs: DataFrame, known: DataFrame, bits: DataFrame, value: Column) -> DataFrame:
+    """(doc_id, ``value`` of the row of ``docs``, toxic, part): rows that ``known``
+    has a label for; of rows that repeat a doc_id each counts.  ``part``, by hash,
+    is the round that learns from a row, or ROUNDS for the rows kept apart, one in
+    FOLDS.  Only rows that may have a label, with their value alone, are shuffled,
+    and by one plan at every size of the tables."""
     draw = F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(ROUNDS * FOLDS))
     part = F.when(draw % FOLDS == FOLDS - 1, ROUNDS).otherwise(F.floor(draw / FOLDS)).cast("int")
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    return texts.withColumn("part", part).join(rows, "doc_id").select("doc_id", "text", "toxic", "part")
+    rows = docs.where(F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", value)
+    return with_bit(rows.withColumn("part", part), bits).join(known.hint("merge"), "doc_id").select(*rows.columns, "toxic", "part")
+
+
+def learned_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, text, toxic, part): all labelled rows that may be learned from."""
+    known = stage(learned_labels(labels))
+    return join_labels(docs, known, stage(id_bits(known)), F.col("text"))
 
 
 def first_rows(rows: DataFrame) -> DataFrame:
-    """The few of ``rows`` that the first model is learned from, by hash."""
-    draw = F.xxhash64(F.lit("sample"), "doc_id")
-    order = [draw, F.col("doc_id"), F.xxhash64("text")]
+    """The few of ``rows`` (doc_id, digest, toxic) that the first model is learned
+    from, by hash."""
+    order = [F.xxhash64(F.lit("sample"), "doc_id"), F.col("doc_id"), F.col("digest")]
     return rows.where("toxic = 1").orderBy(*order).limit(FIRST_TOXIC).union(rows.where("toxic = 0").orderBy(*order).limit(FIRST_CLEAN))
 
 
@@ -334,14 +369,21 @@ def calibrate(rows: DataFrame, model: Model) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """The model learned from all labelled rows of ``docs`` that may be learned
     from, its thresholds from all of those kept apart."""
-    rows = learned_rows(docs, labels)
-    learn = rows.where(F.col("part") < ROUNDS)
-    first = sorted(first_rows(learn).collect(), key=lambda r: (hash((r["doc_id"] * 2654435761) & 0xFFFFFFFF), r["text"]))
-    model = train([r["text"] for r in first], [int(r["toxic"]) for r in first], calibrated=False)
+    known = stage(learned_labels(labels))
+    bits = stage(id_bits(known))
+    digest = F.xxhash64("text").alias("digest")
+    learn = stage(join_labels(docs, known, bits, digest)).where(F.col("part") < ROUNDS)  # without texts
+    first = stage(first_rows(learn).select("doc_id", "digest", "toxic"))
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text", digest)
+    texts = texts.join(F.broadcast(first.select("doc_id", "digest").distinct()), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
+    found = first.join(texts, ["doc_id", "digest"]).collect()
+    found.sort(key=lambda r: (hash((r["doc_id"] * 2654435761) & 0xFFFFFFFF), r["text"]))
+    model = train([r["text"] for r in found], [int(r["toxic"]) for r in found], calibrated=False)
     n = {int(r["toxic"]): r["count"] for r in learn.groupBy("toxic").count().collect()}
     if len(n) < 2:
         return model
     weights = (0.5 * sum(n.values()) / n[0], 0.5 * sum(n.values()) / n[1])
+    rows = join_labels(docs, known, bits, F.col("text"))
     for at in range(ROUNDS):
         model = learn_round(rows.where(F.col("part") == at), model, weights, ROUND_RATE * (1 - at / ROUNDS))
     model.thresholds = calibrate(rows.where(F.col("part") == ROUNDS), model)

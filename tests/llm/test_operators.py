@@ -400,6 +400,25 @@ def test_toxicity_learns_from_all_rows(spark):
     assert np.allclose(toxicity.calibrate(marked, model), toxicity.best_threshold(p, np.array([300, 0, 0]), np.array([300] * 3)))
 
 
+def test_toxicity_moves_labelled_texts_only(spark):
+    base = spark.range(20000).selectExpr("id AS doc_id", "concat('word', id % 50) AS text").union(
+        spark.createDataFrame([(7, "again"), (7, "again"), (7, None), (None, "no id")], "doc_id long, text string"))
+    labels = spark.range(0, 20000, 100).selectExpr("cast(id + 7 AS int) AS doc_id", "1 AS toxic")
+    known = toxicity.learned_labels(labels)
+    bits = toxicity.id_bits(known)
+    there = toxicity.with_bit(base, bits)
+    labelled = [i for i in range(7, 20000, 100) if zlib.crc32(str(i).encode()) % 5]
+    assert bits.count() <= toxicity.BIT_BUCKETS and there.columns == base.columns
+    assert set(labelled) <= {r["doc_id"] for r in there.collect()} and there.count() < len(labelled) + 20
+    rows = toxicity.learned_rows(base, labels)
+    again = 3 if 7 in labelled else 0
+    assert sorted(r["doc_id"] for r in rows.collect()) == sorted(labelled + [7] * (again - 1))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [doc_id" in plan and "BroadcastHashJoin [bucket" in plan  # as on large tables
+    first = toxicity.first_rows(rows.select("doc_id", F.xxhash64("text").alias("digest"), "toxic"))
+    assert first.where("doc_id = 7").count() == again and first.count() == rows.count()
+
+
 def test_toxicity_difficult_rows(docs, nothing):
     model = toxicity.train(["bad word here", "good word there"] * 20, [1, 0] * 20)
     assert len(rows(toxicity.score_documents(docs, model))) == len(ROWS)
