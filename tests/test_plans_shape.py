@@ -21,3 +21,15 @@ def test_plan_shape(spark, name):
         if "text:string" in schema and "doc_id" in schema:
             assert schema in ("struct<doc_id:bigint,text:string>", "struct<doc_id:bigint,text:string,lang:string>",
                               "struct<doc_id:bigint,lang:string,text:string>"), schema
+
+
+def test_spans_are_not_shuffled(spark):
+    """Documents are spread before their words become rows; lines are the same."""
+    from pagewise import queries as Q
+    got = REGISTRY["spans_to_lines"](spark, SF001)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    parts = Q.SPREAD * Q.documents(spark, SF001).rdd.getNumPartitions()
+    assert [int(n) for n in re.findall(r"Exchange hashpartitioning\(doc_id#\d+L?, (\d+)\)", plan)] == [parts]
+    assert plan.count("Exchange ") == 1 and plan.rindex("Generate") < plan.index("Exchange ")
+    want = Q.B.spans_to_lines(Q.FX.spans(Q.documents(spark, SF001))).withColumn("size", Q.F.round("size", 9))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
