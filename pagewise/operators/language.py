@@ -262,4 +262,4 @@ def profile_and_detect(corpus: DataFrame, key: str = "doc_id", lang_col: str = "
 def augment_language(df: DataFrame, profiles: DataFrame, key: str, text_col: str = "text",
                      out: str = "language") -> DataFrame:
     """Add a detected-language column to any table with a text column."""
-    return with_language(materialize(df), profiles, key, text_col, out)
+    return with_language(materialize(df, columnar=True), profiles, key, text_col, out)
